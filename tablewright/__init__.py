@@ -1,0 +1,9 @@
+"""Spark-native table cleaning, profiling, fact finding and forecasting."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need
+# no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

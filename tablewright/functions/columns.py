@@ -124,3 +124,11 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tablewright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table written to the shared checkpoint folder, so later stages read it and never recompute it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

@@ -68,7 +68,6 @@ def _per_series(rows: DataFrame, by: Sequence[str], window: Column) -> DataFrame
         F.max(gap).alias("max_gap"),
         F.min(month_gap).alias("min_months"),
         F.max(month_gap).alias("max_months"),
-        F.bool_and(gap % DAY == 0).alias("whole_days"),
         F.bool_and(business_step).alias("business_days"),
         F.bool_and(starts).alias("month_starts"),
         F.bool_and(starts | ((dom <= 3) & (weekday == 0))).alias("business_starts"),
