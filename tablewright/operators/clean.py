@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.columns import (
     as_double,
@@ -19,6 +20,12 @@ from tablewright.functions.ranks import quantiles
 UNKNOWN = "Unknown"
 
 
+def incomplete_columns(df: DataFrame) -> list[str]:
+    """Columns with at least one missing cell, found in one pass without a shuffle of rows."""
+    row = df.agg(*[F.max(is_missing(f)).alias(f"m{i}") for i, f in enumerate(df.schema.fields)]).first()
+    return [f.name for i, f in enumerate(df.schema.fields) if row[f"m{i}"]]
+
+
 def column_modes(df: DataFrame) -> DataFrame:
     """Most frequent value of every column, the smallest one on a tie: one row, one column each.
 
@@ -42,8 +49,14 @@ def column_modes(df: DataFrame) -> DataFrame:
 
 
 def fill_values(df: DataFrame, strategy: str) -> dict[str, Column]:
-    """Replacement per column under a strategy, as scalar subqueries (no rows are moved)."""
+    """Replacement per column under a strategy, as scalar subqueries (no rows are moved).
+
+    Medians and modes are worked out only for columns that miss a cell.
+    """
     numbers = numeric_columns(df)
+    if strategy in ("median", "mode"):
+        gaps = set(incomplete_columns(df))
+        numbers = [n for n in numbers if n in gaps]
     if strategy == "mean" and numbers:
         stats = one_row(df, {f"v{i}": F.avg(as_double(df, n)) for i, n in enumerate(numbers)})
         return {n: stats.getField(f"v{i}") for i, n in enumerate(numbers)}
@@ -54,8 +67,12 @@ def fill_values(df: DataFrame, strategy: str) -> dict[str, Column]:
         )
         return {n: stats.getField(f"v{i}") for i, n in enumerate(numbers)}
     if strategy == "mode":
-        modes = one_row(column_modes(df), {f"v{i}": F.any_value(col(n)) for i, n in enumerate(df.columns)})
-        return {n: modes.getField(f"v{i}") for i, n in enumerate(df.columns)}
+        countable = [f.name for f in df.schema.fields if f.name in gaps and not isinstance(f.dataType, T.MapType)]
+        if not countable:
+            return {}
+        modes = column_modes(df.select(*[col(n) for n in countable]))
+        stats = one_row(modes, {f"v{i}": F.any_value(col(n)) for i, n in enumerate(countable)})
+        return {n: stats.getField(f"v{i}") for i, n in enumerate(countable)}
     if strategy == "zero":
         return {n: F.lit(0).cast(df.schema[n].dataType) for n in numbers}
     return {}
@@ -76,12 +93,14 @@ def fill_missing(df: DataFrame, strategy: str | None) -> DataFrame:
     if strategy == "drop":
         return df.na.drop("any")
     fills = fill_values(df, strategy)
-    texts = set(text_columns(df))
+    texts, numbers = set(text_columns(df)), set(numeric_columns(df))
     out = []
     for name in df.columns:
         c = col(name)
+        if strategy in ("mean", "median") and name in numbers:
+            c = as_double(df, name)
         if name in fills:
-            c = F.coalesce(as_double(df, name) if strategy in ("mean", "median") else c, fills[name])
+            c = F.coalesce(c, fills[name])
         if name in texts:
             c = F.coalesce(c, F.lit(UNKNOWN))
         out.append(c.alias(name))

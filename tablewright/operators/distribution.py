@@ -14,7 +14,7 @@ from tablewright.functions.ranks import quantiles
 CHART_COLUMNS = 5  # numeric columns charted by default
 CHART_CATEGORIES = 2  # text columns charted by default
 GRID_POINTS = 200  # points of a density curve
-_CHUNK = 200  # column pairs per aggregation
+_CHUNK = 500  # column pairs per pass
 
 
 def _charted(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
@@ -179,18 +179,24 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column_x string, column_y string, corr double")
     pairs = [(a, b) for a, b in combinations(columns, 2)] + [(a, a) for a in columns]
+    wide = df.select(*[as_double(df, c).alias(c) for c in columns])
     out = None
     for start in range(0, len(pairs), _CHUNK):
-        chunk = pairs[start : start + _CHUNK]
-        wide = df.agg(*[safe_corr(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        entries = []
-        for i, (a, b) in enumerate(chunk):
-            r = F.when(F.col(f"r{i}").isNotNull(), F.lit(1.0)) if a == b else F.col(f"r{i}")
-            for x, y in {(a, b), (b, a)}:
-                entries.append(F.struct(F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), r.alias("corr")))
-        part = wide.select(F.inline(F.array(*entries)))
+        # One entry per pair of columns; they are added up before the shuffle, which moves one row per pair and task.
+        entries = [
+            F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"), col(a).alias("x"), col(b).alias("y"))
+            for a, b in pairs[start : start + _CHUNK]
+        ]
+        part = (
+            wide.select(F.inline(F.array(*entries)))
+            .groupBy("column_x", "column_y")
+            .agg(safe_corr(F.col("x"), F.col("y")).alias("corr"))
+        )
         out = part if out is None else out.unionByName(part)
-    return out
+    same = F.col("column_x") == F.col("column_y")
+    one = F.struct("column_x", "column_y", F.when(same, F.when(F.col("corr").isNotNull(), F.lit(1.0))).otherwise(F.col("corr")).alias("corr"))
+    mirrored = F.struct(F.col("column_y").alias("column_x"), F.col("column_x").alias("column_y"), "corr")
+    return out.select(F.inline(F.when(same, F.array(one)).otherwise(F.array(one, mirrored))))
 
 
 def pair_bins(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20) -> DataFrame:

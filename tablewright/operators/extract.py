@@ -13,6 +13,7 @@ from tablewright.functions.columns import col
 from tablewright.sources.text import BLANKS
 
 CASE = "struct<title:string,description:string,impact:string,effort:string>"
+_LINES = "array<struct<line:string,title:boolean,label:string,level:string>>"
 # What a case gets for a part that its text does not give.
 NO_DESCRIPTION = "No description provided"
 NO_LEVEL = "Medium"
@@ -41,8 +42,7 @@ def _after_colon(line: Column) -> Column:
     return F.when(line.contains(":"), _strip(F.regexp_replace(line, r"(?s)^[^:]*:", ""))).otherwise(line)
 
 
-def _level(line: Column) -> Column:
-    low = F.lower(line)
+def _level(low: Column) -> Column:
     return F.when(low.contains("high"), "High").when(low.contains("medium"), "Medium").when(low.contains("low"), "Low")
 
 
@@ -54,47 +54,48 @@ def _last(lines: Column) -> Column:
     return F.get(lines, F.size(lines) - 1)
 
 
+def _marked(line: Column, low: Column) -> Column:
+    """A line with what it is: title, description (d), impact (i), effort (e) or neither, and its level."""
+    level = _level(low)
+    label = F.when(level.isNull(), "").when(low.contains("impact"), "i").when(low.contains("effort"), "e").otherwise("")
+    # An impact line without a level word is no effort line either.
+    label = F.when(low.contains("description"), "d").when(low.contains("impact") & level.isNull(), "").otherwise(label)
+    return F.struct(line.alias("line"), _is_title(line).alias("title"), label.alias("label"), level.alias("level"))
+
+
 def _case(lines: Column, title_at: Column) -> Column:
-    """One case from its lines; ``title_at`` is the 1-based place of the title among them.
+    """One case from its marked lines; ``title_at`` is the 1-based place of the title among them.
 
     Only the first case has lines before its title.
     """
     before = F.slice(lines, F.lit(1), title_at - 1)
     after = F.slice(lines, title_at + 1, F.size(lines))
-    title = _strip(F.regexp_replace(F.get(lines, title_at - 1), r"(?s)^[^.]*\.", ""))
+    title = _strip(F.regexp_replace(F.get(lines, title_at - 1)["line"], r"(?s)^[^.]*\.", ""))
 
-    def names_description(line: Column) -> Column:
-        return F.lower(line).contains("description")
+    def labelled(part: Column, label: str) -> Column:
+        return F.filter(part, lambda x: x["label"] == label)
 
-    described_before = F.exists(before, names_description)
-    described = F.concat(F.filter(before, names_description), F.filter(after, names_description))
-    description = _after_colon(F.coalesce(_last(described), F.get(after, F.lit(0))))
+    described_before = F.exists(before, lambda x: x["label"] == "d")
+    described = F.concat(labelled(before, "d"), labelled(after, "d"))
+    description = _after_colon(F.coalesce(_last(described), F.get(after, F.lit(0)))["line"])
     # The first line below the title is the description unless one came earlier.
     rest = F.when(described_before, after).otherwise(F.slice(after, F.lit(2), F.size(after)))
-    free = F.filter(F.concat(before, rest), lambda x: ~names_description(x))
-
-    def names_impact(line: Column) -> Column:
-        return F.lower(line).contains("impact")
-
-    impacts = F.filter(free, lambda x: names_impact(x) & _level(x).isNotNull())
-    efforts = F.filter(
-        free, lambda x: F.lower(x).contains("effort") & ~names_impact(x) & _level(x).isNotNull()
-    )
+    free = F.concat(before, rest)
     return F.struct(
         title.alias("title"),
         F.coalesce(description, F.lit(NO_DESCRIPTION)).alias("description"),
-        F.coalesce(_level(_last(impacts)), F.lit(NO_LEVEL)).alias("impact"),
-        F.coalesce(_level(_last(efforts)), F.lit(NO_LEVEL)).alias("effort"),
+        F.coalesce(_last(labelled(free, "i"))["level"], F.lit(NO_LEVEL)).alias("impact"),
+        F.coalesce(_last(labelled(free, "e"))["level"], F.lit(NO_LEVEL)).alias("effort"),
     )
 
 
 def _add_lines(df: DataFrame, text: Column) -> DataFrame:
-    """Adds ``_lines`` (trimmed, not empty) and ``_starts`` (1-based places of titles)."""
+    """Adds ``_lines`` (trimmed, not empty, marked) and ``_starts`` (1-based places of titles)."""
     lines = F.filter(F.transform(F.split(text, "\n"), _strip), lambda x: x != "")
-    places = F.filter(
-        F.transform("_lines", lambda x, i: F.when(_is_title(x), i + 1)), lambda p: p.isNotNull()
-    )
-    return df.withColumn("_lines", F.coalesce(lines, F.array().cast("array<string>"))).withColumn("_starts", places)
+    pairs = F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))
+    marked = F.transform(pairs, lambda p: _marked(p["line"], p["low"]))
+    places = F.filter(F.transform("_lines", lambda x, i: F.when(x["title"], i + 1)), lambda p: p.isNotNull())
+    return df.withColumn("_lines", F.coalesce(marked, F.array().cast(_LINES))).withColumn("_starts", places)
 
 
 def line_cases(df: DataFrame, text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import shared_folder
+from tablewright.functions.columns import checkpointed, shared_folder
 from tablewright.operators import arima, clean, distribution, extract, facts, forecast, profile, transform, validate
 from tablewright.plans import inputs, runs
 from tablewright.sources import files, tables
@@ -802,7 +802,7 @@ _FREQUENCY = f"""
                            pattern IS NOT NULL AS inferred FROM k""",
 )
 def forecast_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return forecast.frequency(made(spark, folder, inputs.RHYTHMS), "ts", by=["series"])
+    return forecast.frequency(checkpointed(made(spark, folder, inputs.RHYTHMS)), "ts", by=["series"])
 
 
 @query(
@@ -820,7 +820,7 @@ def forecast_frequency(spark: SparkSession, folder: str) -> DataFrame:
         FROM k, (SELECT unnest(range(1, 11)) AS step) p WHERE n >= 3""",
 )
 def forecast_dates(spark: SparkSession, folder: str) -> DataFrame:
-    df = forecast.forecast_sma(made(spark, folder, inputs.RHYTHMS), "ts", "value", _PERIODS, by=["series"])
+    df = forecast.forecast_sma(checkpointed(made(spark, folder, inputs.RHYTHMS)), "ts", "value", _PERIODS, by=["series"])
     return df.where("step IS NOT NULL").select("series", "step", "ts")
 
 
@@ -848,14 +848,14 @@ def series_diff(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("forecast_arima_order")
 def forecast_arima_order(spark: SparkSession, folder: str) -> DataFrame:
-    daily = made(spark, folder, inputs.DAILY_ORDERS)
+    daily = checkpointed(made(spark, folder, inputs.DAILY_ORDERS))
     fits = arima.fit_arima(daily, "ts", "value", _PERIODS, by=["o_orderpriority"])
     return fits.select("o_orderpriority", "n", "frequency", "p", "d", "q", "error")
 
 
 @query("forecast_arima")
 def forecast_arima(spark: SparkSession, folder: str) -> DataFrame:
-    daily = made(spark, folder, inputs.DAILY_ORDERS)
+    daily = checkpointed(made(spark, folder, inputs.DAILY_ORDERS))
     return arima.forecast(daily, "ts", "value", _PERIODS, model="arima", by=["o_orderpriority"])
 
 
