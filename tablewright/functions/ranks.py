@@ -21,19 +21,22 @@ from pyspark.sql import types as T
 from tablewright.functions.columns import col, melt
 
 PIECES = 512  # segments a column is cut into; a segment holds about 1/512 of the rows
+SUB_PIECES = 4096  # parts of a segment that is cut again
+MOST_PIECES = 20000
 SPLIT_SHARE = 0.02  # share of the rows looked at for split points
+ROWS_PER_TASK = 4_000_000  # rows one task should sort
 
 
-def _sketch(df: DataFrame, names: Sequence[str], pieces: int) -> list[list[float]]:
-    """Quantile grid of each named double column: at most ``pieces - 1`` numbers per column.
+def _sketch(df: DataFrame, names: Sequence[str], pieces: int) -> tuple[list[list[float]], float]:
+    """Quantile grid of each named double column and the estimated number of rows.
 
     As in a range partitioning, some of the rows are enough to place the
     splits; every row is counted and ranked afterwards.
     """
     grid = [i / pieces for i in range(1, pieces)]
     some = df.sample(False, SPLIT_SHARE, seed=17)
-    row = some.agg(*[F.percentile_approx(n, grid, 4 * pieces) for n in names]).first()
-    return [list(q or []) for q in row]
+    row = some.agg(F.count("*"), *[F.percentile_approx(n, grid, 2 * pieces) for n in names]).first()
+    return [list(q or []) for q in row[1:]], row[0] / SPLIT_SHARE
 
 
 def _segment(df: DataFrame, value: str, splits: Sequence[float], name: str) -> DataFrame:
@@ -52,12 +55,14 @@ def quantiles(
     names: Sequence[str] | None = None,
     exact: bool = True,
     pieces: int = PIECES,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Quantiles (linear interpolation) of numeric columns: ``(by…, column, n, <names>)``.
 
     One pass for the splits, one that counts rows per segment (a tiny shuffle),
-    one that looks only at the segments holding a wanted rank.  Missing cells
-    are skipped.  ``exact=False`` uses the bounded sketch of ``percentile_approx``.
+    one that looks only at the segments holding a wanted rank.  Segments that
+    would still be large are counted in finer parts first.  Missing cells are
+    skipped.  ``exact=False`` uses the bounded sketch of ``percentile_approx``.
     """
     names = list(names or [f"q{round(p * 100):02d}" for p in probs])
     keys = [*by, "column"]
@@ -68,24 +73,10 @@ def quantiles(
         out = long.groupBy(*key_cols).agg(F.count("*").alias("n"), picks.alias("q"))
         return out.select(*key_cols, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
-    (splits,) = _sketch(long, ["value"], min(pieces * len(columns), 4096))
+    pieces = min(pieces * len(columns), 2 * max(pieces, PIECES))
+    (splits,), rows = _sketch(long, ["value"], pieces)
     cut = _segment(long, "value", splits, "seg")
 
-    # Segment counts per key: at most as many rows per key as there are segments.
-    per_key = Window.partitionBy(*key_cols)
-    in_order = per_key.orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = (
-        cut.groupBy(*key_cols, "seg")
-        .agg(F.count("*").alias("c"))
-        .select(
-            *key_cols,
-            "seg",
-            (F.sum("c").over(in_order) - F.col("c")).alias("before"),
-            F.sum("c").over(in_order).alias("upto"),
-            F.sum("c").over(per_key).alias("n"),
-        )
-    )
-
     def place(p: float) -> Column:
         return (F.col("n") - 1) * F.lit(float(p))
 
@@ -101,20 +92,52 @@ def quantiles(
     wanted = F.lit(False)
     for p in probs:
         wanted = wanted | holds(low(p)) | holds(high(p))
-    targets = counts.where(wanted).select(*key_cols, "seg", "before", "n")
-    if not by:
-        # At most 2 * len(probs) rows per column of the schema: a fixed bound.
-        targets = F.broadcast(targets)
+    def holding(counted: DataFrame, inside: list[str], part: str) -> DataFrame:
+        """The parts that hold a wanted rank, with the rows before them; at most 2 * len(probs) per key.
+
+        ``counted`` has one row per key and part, so its windows stay small.
+        """
+        whole = Window.partitionBy(*[col(c) for c in inside])
+        so_far = whole.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        total = F.sum("c").over(whole) if part == "seg" else F.col("n")
+        start = F.lit(0) if part == "seg" else F.col("start")
+        placed = counted.select(
+            *[col(c) for c in inside],
+            part,
+            "lo",
+            "hi",
+            (start + F.sum("c").over(so_far)).alias("upto"),
+            (start + F.sum("c").over(so_far) - F.col("c")).alias("before"),
+            total.alias("n"),
+        )
+        found = placed.where(wanted).select(
+            *[col(c) for c in inside], part, "lo", "hi", F.col("before").alias("start"), "n"
+        )
+        # Without groups there is a fixed number of such rows per column of the schema.
+        return found if by else F.broadcast(found)
+
+    range_of = [F.count("*").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    counts = cut.groupBy(*key_cols, "seg").agg(*range_of)
+    part = ["seg"]
+    near = cut.join(holding(counts, keys, "seg"), [*keys, "seg"])
+    if rows / pieces > rows_per_task:
+        share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        stretch = (F.col("hi") > F.col("lo")) & (F.col("hi") - F.col("lo") < float("inf"))
+        sub = F.when(stretch, F.least(F.floor(share * SUB_PIECES), F.lit(SUB_PIECES - 1)).cast("int")).otherwise(0)
+        finer = near.withColumn("sub", sub).select(*key_cols, "seg", "sub", "value", "start", "n")
+        counts = finer.groupBy(*key_cols, "seg", "sub").agg(
+            *range_of, F.max("start").alias("start"), F.max("n").alias("n")
+        )
+        part = ["seg", "sub"]
+        near = finer.drop("start", "n").join(holding(counts, [*keys, "seg"], "sub"), [*keys, *part])
 
-    cells = (
-        cut.join(targets, [*keys, "seg"])
-        .groupBy(*key_cols, "seg", "value")
-        .agg(F.count("*").alias("c"), F.max("before").alias("start"), F.max("n").alias("n"))
+    cells = near.groupBy(*key_cols, *part, "value").agg(
+        F.count("*").alias("c"), F.max("start").alias("start"), F.max("n").alias("n")
     )
-    in_segment = (
-        Window.partitionBy(*key_cols, "seg").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_part = (
+        Window.partitionBy(*key_cols, *part).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = cells.withColumn("upto", F.sum("c").over(in_segment) + F.col("start")).withColumn(
+    ranked = cells.withColumn("upto", F.sum("c").over(in_part) + F.col("start")).withColumn(
         "before", F.col("upto") - F.col("c")
     )
     picks = []
@@ -178,7 +201,10 @@ def index_rows(
         y = sort_number(col(tie), types[tie])
         work = work.withColumn("_y", F.coalesce(F.nanvl(y, F.lit(None)), F.lit(float("-inf"))))
 
-    grids = _sketch(work, ["_x", "_y"] if tie else ["_x"], pieces)
+    names = ["_x", "_y"] if tie else ["_x"]
+    grids, rows_seen = _sketch(work, names, pieces)
+    if rows_seen / pieces > ROWS_PER_TASK:
+        grids, _ = _sketch(work, names, min(MOST_PIECES, int(rows_seen / ROWS_PER_TASK)))
     frequent = sorted({a for a, b in zip(grids[0], grids[0][1:]) if a == b}) if tie else []
     # A frequent value v gets the segment [v, next double) for itself.
     after = [_next_double(v) for v in frequent]

@@ -19,17 +19,18 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import checkpointed, col
 from tablewright.functions.ranks import in_blocks
 from tablewright.operators.forecast import (
-    Z_95,
     SHORT_SERIES,
+    Z_95,
     _per_series,
     _with_frequency,
+    forecast_sma,
     future_date,
     numbered,
     window_rows,
@@ -325,7 +326,9 @@ def _per_row(df: DataFrame, function, outputs: str) -> DataFrame:
                 if record.get("error") is None:
                     try:
                         result.update(function(record))
-                    except (ValueError, np.linalg.LinAlgError) as e:
+                    except np.linalg.LinAlgError:
+                        result["error"] = "the series is constant or its lags are collinear"
+                    except ValueError as e:
                         result["error"] = str(e)
                 else:
                     result["error"] = record["error"]
@@ -457,7 +460,7 @@ def _rows(fits: DataFrame, by: Sequence[str], periods: int, fraction: float, lea
     known = F.col("step").isNotNull()
     at = F.col("step") - 1
 
-    def pick(array: str, otherwise) -> F.Column:
+    def pick(array: str, otherwise: Column) -> Column:
         return F.when(known, F.when(fitted, F.get(array, at)).otherwise(otherwise)).alias(
             {"values": "value", "lowers": "lower", "uppers": "upper"}[array]
         )
@@ -479,6 +482,4 @@ def _rows(fits: DataFrame, by: Sequence[str], periods: int, fraction: float, lea
 
 def forecast(df: DataFrame, ts: str, value: str, periods: int = 30, model: str | None = None, **options) -> DataFrame:
     """Forecast by model name: ``arima`` or ``sma``; any other name means the moving average."""
-    from tablewright.operators.forecast import forecast_sma
-
     return (forecast_arima if model == "arima" else forecast_sma)(df, ts, value, periods, **options)

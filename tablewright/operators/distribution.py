@@ -55,7 +55,8 @@ def bin_rule(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Bins per column: ``(column, n, lo, hi, bins)``.
 
     The width is the smaller of 2·IQR / n^(1/3) and range / (log2 n + 1), the
-    latter alone when the IQR is 0; integer columns get a width of at least 1.
+    first one raised to range / (2·√n) so that a few far values cannot cause
+    bins without end; integer columns get a width of at least 1.
     """
     q = quantiles(df, columns, [0.25, 0.75], names=["q1", "q3"]).drop("n")
     # One row per column of the schema on both sides.
@@ -64,7 +65,7 @@ def bin_rule(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     n = F.col("n").cast("double")
     sturges = span / (F.log2(n) + 1)
     spread = 2 * (F.col("q3") - F.col("q1")) / F.pow(n, F.lit(1.0 / 3))
-    width = F.when(spread > 0, F.least(spread, sturges)).otherwise(sturges)
+    width = F.least(F.greatest(spread, span / F.sqrt(n) / 2), sturges)
     width = F.when(F.col("integral"), F.greatest(width, F.lit(1.0))).otherwise(width)
     bins = F.greatest(F.coalesce(F.ceil(F.try_divide(span, width)).cast("long"), F.lit(1)), F.lit(1))
     # A constant column is shown as one bin of width 1 around its value.

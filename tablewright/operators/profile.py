@@ -31,9 +31,10 @@ def _table(df: DataFrame, aggregates: Sequence[Column], entries: Sequence[Column
     return df.agg(F.count("*").alias("rows"), *aggregates).select(F.inline(F.array(*entries)))
 
 
-def column_listing(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, type, class and number of present cells."""
+def _column_counts(df: DataFrame) -> DataFrame:
+    """Type, class, present and missing cells of every column."""
     fields = df.schema.fields
+    present = [F.col(f"n{i}") for i in range(len(fields))]
     return _table(
         df,
         [F.count_if(~is_missing(f)).alias(f"n{i}") for i, f in enumerate(fields)],
@@ -43,30 +44,24 @@ def column_listing(df: DataFrame) -> DataFrame:
                 F.lit(f.name).alias("column"),
                 F.lit(f.dataType.simpleString()).alias("type"),
                 F.lit(column_class(f.dataType)).alias("class"),
-                F.col(f"n{i}").alias("present"),
+                present[i].alias("present"),
+                (F.col("rows") - present[i]).alias("missing"),
+                F.try_divide((F.col("rows") - present[i]).cast("double"), F.col("rows").cast("double")).alias("share"),
             )
             for i, f in enumerate(fields)
         ],
-        "position int, column string, type string, class string, present long",
+        "position int, column string, type string, class string, present long, missing long, share double",
     )
 
 
+def column_listing(df: DataFrame) -> DataFrame:
+    """One row per column: position, name, type, class and number of present cells."""
+    return _column_counts(df).select("position", "column", "type", "class", "present")
+
+
 def missing(df: DataFrame, only_missing: bool = False) -> DataFrame:
     """Missing cells per column and their share of the rows."""
-    fields = df.schema.fields
-    out = _table(
-        df,
-        [F.count_if(is_missing(f)).alias(f"n{i}") for i, f in enumerate(fields)],
-        [
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.col(f"n{i}").alias("missing"),
-                F.try_divide(F.col(f"n{i}").cast("double"), F.col("rows").cast("double")).alias("share"),
-            )
-            for i, f in enumerate(fields)
-        ],
-        "column string, missing long, share double",
-    )
+    out = _column_counts(df).select("column", "missing", "share")
     return out.where("missing > 0") if only_missing else out
 
 
@@ -200,10 +195,10 @@ def summary(df: DataFrame, path: str | None = None, size_bytes: Column | None =
 
 def column_details(df: DataFrame, top: int = 10) -> DataFrame:
     """One row per column: type, missing cells; numbers with range, mean, median and std; texts with top values."""
-    listing = column_listing(df).join(F.broadcast(missing(df)), "column")
     numbers = describe(df).select("column", "min", "max", "mean", F.col("q50").alias("median"), "std")
     texts = text_columns(df)
-    out = listing.join(F.broadcast(numbers), "column", "left")
+    # All sides hold one row per column of the schema.
+    out = _column_counts(df).join(F.broadcast(numbers), "column", "left")
     if texts:
         counts = _text_values(df, texts).where(F.col("value").isNotNull())
         place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
@@ -214,7 +209,8 @@ def column_details(df: DataFrame, top: int = 10) -> DataFrame:
             .groupBy("column")
             .agg(F.sort_array(F.collect_list(F.struct("place", "value", "count"))).alias("top_values"))
         )
-        unique = counts.groupBy("column").agg(F.count("*").alias("unique_values"))
+        # Reads the counts column too, so that both uses share one shuffle.
+        unique = counts.groupBy("column").agg(F.when(F.sum("count") > 0, F.count("*")).alias("unique_values"))
         out = out.join(F.broadcast(unique), "column", "left").join(F.broadcast(best), "column", "left")
     else:
         out = out.withColumns(
@@ -243,43 +239,41 @@ def column_details(df: DataFrame, top: int = 10) -> DataFrame:
 
 
 def description_lines(df: DataFrame) -> DataFrame:
-    """A readable description of the table as ``(line_no, line)``, to be sorted by ``line_no``."""
+    """A readable description of the table as ``(line_no, line)``, to be sorted by ``line_no``.
+
+    Sections in order: shape, column names, types, numeric statistics, missing
+    cells, and value counts of the text columns with few values.
+    """
     df = nan_to_null(df)
-    line = []  # (section, DataFrame of (position, text))
-    spark = df.sparkSession
+    place = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])[F.col("column")]
 
-    def fixed(section: int, texts: DataFrame) -> None:
-        line.append(texts.select(F.lit(section).alias("section"), "position", "line"))
+    def section(number: int, rows: DataFrame, position: Column, line: Column) -> DataFrame:
+        return rows.select(F.lit(number).alias("section"), position.alias("position"), line.alias("line"))
 
-    shape = df.agg(F.count("*").alias("rows"))
-    fixed(0, shape.select(F.lit(0).alias("position"), F.format_string("DataFrame shape: %d rows, %d columns", "rows", F.lit(len(df.columns))).alias("line")))
     heads = [(1, 0, f"Columns: {', '.join(df.columns)}"), (2, -1, "Column data types:")]
     heads += [(2, i, f"  - {f.name}: {f.dataType.simpleString()}") for i, f in enumerate(df.schema.fields)]
     heads += [(3, -1, "Numeric column statistics:"), (4, -1, "Missing values by column:")]
     if categorical_columns(df):
         heads.append((5, -1, "Categorical column distributions:"))
-    line.append(spark.createDataFrame(heads, "section int, position int, line string"))
-    order = {c: i for i, c in enumerate(df.columns)}
-    position = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])[F.col("column")]
-    numbers = describe(df)
-    parts = [F.format_string(f"{n} %.6f", n) for n in ("mean", "std", "min", "q25", "q50", "q75", "max")]
-    parts = [F.coalesce(F.when(F.col(n).isNotNull(), p), F.lit(f"{n} null")) for n, p in zip(("mean", "std", "min", "q25", "q50", "q75", "max"), parts)]
-    fixed(3, numbers.select(position.alias("position"), F.concat(F.format_string("  - %s: count %d, ", "column", "count"), F.concat_ws(", ", *parts)).alias("line")))
-    fixed(4, missing(df, only_missing=True).select(position.alias("position"), F.format_string("  - %s: %d missing values (%.2f%%)", "column", "missing", F.col("share") * 100).alias("line")))
+    out = df.sparkSession.createDataFrame(heads, "section int, position int, line string")
+
+    shape = F.format_string("DataFrame shape: %d rows, %d columns", "rows", F.lit(len(df.columns)))
+    out = out.unionByName(section(0, df.agg(F.count("*").alias("rows")), F.lit(0), shape))
+
+    names = ("mean", "std", "min", "q25", "q50", "q75", "max")
+    figures = [
+        F.when(F.col(n).isNotNull(), F.format_string(f"{n} %.6f", n)).otherwise(F.lit(f"{n} null")) for n in names
+    ]
+    lead = F.format_string("  - %s: count %d, ", "column", "count")
+    out = out.unionByName(section(3, describe(df), place, F.concat(lead, F.concat_ws(", ", *figures))))
+
+    gap = F.format_string("  - %s: %d missing values (%.2f%%)", "column", "missing", F.col("share") * 100)
+    out = out.unionByName(section(4, missing(df, only_missing=True), place, gap))
+
     if text_columns(df):
-        listed = value_counts(df).groupBy("column").agg(
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "value"))),
-                    lambda v: F.format_string("'%s': %d", v["value"], -v["c"]),
-                ),
-                ", ",
-            ).alias("items")
-        )
-        fixed(5, listed.select(position.alias("position"), F.format_string("  - %s: {%s}", "column", "items").alias("line")))
-    out = line[0]
-    for more in line[1:]:
-        out = out.unionByName(more)
+        ranked = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "value")))
+        items = F.transform(ranked, lambda v: F.format_string("'%s': %d", v["value"], -v["c"]))
+        listed = value_counts(df).groupBy("column").agg(F.array_join(items, ", ").alias("items"))
+        out = out.unionByName(section(5, listed, place, F.format_string("  - %s: {%s}", "column", "items")))
     # A few lines per column of the schema: small enough for one ordered numbering.
-    numbered = F.row_number().over(Window.orderBy("section", "position"))
-    return out.select(numbered.alias("line_no"), "line")
+    return out.select(F.row_number().over(Window.orderBy("section", "position")).alias("line_no"), "line")

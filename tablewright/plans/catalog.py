@@ -483,9 +483,9 @@ def _long(columns: list[str], source: str) -> str:
     f"""WITH long AS ({_long(_MEASURES, "lineitem")}),
         s AS (SELECT "column", count(*) AS n, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr
               FROM long GROUP BY "column"),
-        r AS (SELECT "column", lo, hi, CAST(ceil((hi - lo) / CASE WHEN iqr > 0
-                     THEN least(2 * iqr / pow(CAST(n AS DOUBLE), CAST(1.0 AS DOUBLE) / 3), (hi - lo) / (log2(CAST(n AS DOUBLE)) + 1))
-                     ELSE (hi - lo) / (log2(CAST(n AS DOUBLE)) + 1) END) AS BIGINT) AS bins FROM s),
+        r AS (SELECT "column", lo, hi, CAST(ceil((hi - lo) / least(
+                     greatest(2 * iqr / pow(CAST(n AS DOUBLE), CAST(1.0 AS DOUBLE) / 3), (hi - lo) / sqrt(CAST(n AS DOUBLE)) / 2),
+                     (hi - lo) / (log2(CAST(n AS DOUBLE)) + 1))) AS BIGINT) AS bins FROM s),
         c AS (SELECT "column", CAST(least(floor((v - lo) / ((hi - lo) / bins)), bins - 1) AS BIGINT) AS bin, count(*) AS n
               FROM long JOIN r USING ("column") GROUP BY 1, 2),
         e AS (SELECT "column", lo, hi, bins, unnest(range(bins)) AS bin FROM r)

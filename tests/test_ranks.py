@@ -17,19 +17,20 @@ def _skewed(spark, rows=6000):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("pieces", [4, 512])
-def test_quantiles_match_pandas(spark, pieces):
+@pytest.mark.parametrize("pieces,rows_per_task", [(4, 10**9), (512, 10**9), (4, 1), (512, 1)])
+def test_quantiles_match_pandas(spark, pieces, rows_per_task):
     pdf, df = _skewed(spark)
-    got = quantiles(df, ["x", "y"], [0.0, 0.1, 0.25, 0.5, 0.75, 1.0], pieces=pieces).toPandas().set_index("column")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = quantiles(df, ["x", "y"], probs, pieces=pieces, rows_per_task=rows_per_task).toPandas().set_index("column")
     for c in ("x", "y"):
         want = pdf[c].quantile([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]).to_numpy()
         assert np.allclose(got.loc[c, ["q00", "q10", "q25", "q50", "q75", "q100"]].astype(float), want)
 
 
-@pytest.mark.parametrize("pieces", [4, 512])
-def test_grouped_quantiles_match_pandas(spark, pieces):
+@pytest.mark.parametrize("pieces,rows_per_task", [(4, 10**9), (512, 10**9), (4, 1)])
+def test_grouped_quantiles_match_pandas(spark, pieces, rows_per_task):
     pdf, df = _skewed(spark)
-    got = quantiles(df, ["x"], [0.25, 0.5], by=["key"], pieces=pieces).toPandas().set_index("key")
+    got = quantiles(df, ["x"], [0.25, 0.5], by=["key"], pieces=pieces, rows_per_task=rows_per_task).toPandas().set_index("key")
     for k, group in pdf.groupby("key"):
         assert got.loc[k, "n"] == len(group)
         assert np.allclose(got.loc[k, ["q25", "q50"]].astype(float), group["x"].quantile([0.25, 0.5]).to_numpy())
@@ -76,3 +77,17 @@ def test_blocks_repeat_only_the_needed_rows(spark):
     halo = sorted((r["t"], r["block"]) for r in rows if not r["own"])
     assert len(own) == 25
     assert halo == [(9, 1), (10, 1), (19, 2), (20, 2)]
+
+
+def test_quantiles_with_infinities_and_one_value(spark):
+    pdf = pd.DataFrame({"a": [1.0] * 500 + [np.inf, -np.inf], "b": [3.0] * 502})
+    got = quantiles(spark.createDataFrame(pdf), ["a", "b"], [0.25, 0.5], rows_per_task=1).collect()
+    assert {r["column"]: (r["q25"], r["q50"]) for r in got} == {"a": (1.0, 1.0), "b": (3.0, 3.0)}
+
+
+def test_plans_keep_segments_apart(spark):
+    """No window of a rank operator is partitioned by the key alone over unaggregated rows."""
+    _, df = _skewed(spark)
+    plan = index_rows(df, ["key"], ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    rank = next(line for line in plan.splitlines() if "row_number()" in line)
+    assert "_seg" in rank.split("row_number()")[1]
