@@ -190,7 +190,7 @@ def index_rows(
     first order column; a value so frequent that it fills segments of its own
     is spread further by the second column.  Rows are shuffled once.
     """
-    keys = list(by) or ["_all"]
+    keys, kept = list(by) or ["_all"], df.columns
     if not by:
         df = df.withColumn("_all", F.lit(0))
     key_cols = [col(k) for k in keys]
@@ -245,7 +245,7 @@ def index_rows(
         rows = rows.withColumn(f"_lag_{i}", F.lag(col(p)).over(inside))
     joined = rows.join(offsets, [*keys, *segment])
     return joined.select(
-        *[col(c) for c in df.columns if c != "_all"],
+        *[col(c) for c in kept],
         (F.col("_before") + F.col("_rn")).alias("t"),
         "n",
         *[
