@@ -59,10 +59,12 @@ def quantiles(
 ) -> DataFrame:
     """Quantiles (linear interpolation) of numeric columns: ``(by…, column, n, <names>)``.
 
-    One pass for the splits, one that counts rows per segment (a tiny shuffle),
-    one that looks only at the segments holding a wanted rank.  Segments that
-    would still be large are counted in finer parts first.  Missing cells are
-    skipped.  ``exact=False`` uses the bounded sketch of ``percentile_approx``.
+    A table of at most ``rows_per_task`` rows is counted by value directly.
+    Beyond that there is one pass for the splits, one that counts rows per
+    segment (a tiny shuffle), and one that looks only at the segments holding a
+    wanted rank; segments that would still be large are counted in finer parts
+    first.  Missing cells are skipped.  ``exact=False`` uses the bounded sketch
+    of ``percentile_approx``.
     """
     names = list(names or [f"q{round(p * 100):02d}" for p in probs])
     keys = [*by, "column"]
@@ -73,10 +75,6 @@ def quantiles(
         out = long.groupBy(*key_cols).agg(F.count("*").alias("n"), picks.alias("q"))
         return out.select(*key_cols, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
-    pieces = min(pieces * len(columns), 2 * max(pieces, PIECES))
-    (splits,), rows = _sketch(long, ["value"], pieces)
-    cut = _segment(long, "value", splits, "seg")
-
     def place(p: float) -> Column:
         return (F.col("n") - 1) * F.lit(float(p))
 
@@ -92,6 +90,7 @@ def quantiles(
     wanted = F.lit(False)
     for p in probs:
         wanted = wanted | holds(low(p)) | holds(high(p))
+
     def holding(counted: DataFrame, inside: list[str], part: str) -> DataFrame:
         """The parts that hold a wanted rank, with the rows before them; at most 2 * len(probs) per key.
 
@@ -116,24 +115,39 @@ def quantiles(
         # Without groups there is a fixed number of such rows per column of the schema.
         return found if by else F.broadcast(found)
 
-    range_of = [F.count("*").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi")]
-    counts = cut.groupBy(*key_cols, "seg").agg(*range_of)
-    part = ["seg"]
-    near = cut.join(holding(counts, keys, "seg"), [*keys, "seg"])
-    if rows / pieces > rows_per_task:
-        share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-        stretch = (F.col("hi") > F.col("lo")) & (F.col("hi") - F.col("lo") < float("inf"))
-        sub = F.when(stretch, F.least(F.floor(share * SUB_PIECES), F.lit(SUB_PIECES - 1)).cast("int")).otherwise(0)
-        finer = near.withColumn("sub", sub).select(*key_cols, "seg", "sub", "value", "start", "n")
-        counts = finer.groupBy(*key_cols, "seg", "sub").agg(
-            *range_of, F.max("start").alias("start"), F.max("n").alias("n")
+    def segmented() -> DataFrame:
+        """Rows of the parts that hold a wanted rank, counted by value."""
+        most = min(pieces * len(columns), 2 * max(pieces, PIECES))
+        (splits,), rows = _sketch(long, ["value"], most)
+        cut = _segment(long, "value", splits, "seg")
+        range_of = [F.count("*").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+        counts = cut.groupBy(*key_cols, "seg").agg(*range_of)
+        near = cut.join(holding(counts, keys, "seg"), [*keys, "seg"]).withColumn("sub", F.lit(0))
+        if rows / most > rows_per_task:
+            share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+            stretch = (F.col("hi") > F.col("lo")) & (F.col("hi") - F.col("lo") < float("inf"))
+            sub = F.when(stretch, F.least(F.floor(share * SUB_PIECES), F.lit(SUB_PIECES - 1)).cast("int")).otherwise(0)
+            finer = near.withColumn("sub", sub).select(*key_cols, "seg", "sub", "value", "start", "n")
+            counts = finer.groupBy(*key_cols, "seg", "sub").agg(
+                *range_of, F.max("start").alias("start"), F.max("n").alias("n")
+            )
+            near = finer.drop("start", "n").join(holding(counts, [*keys, "seg"], "sub"), [*keys, "seg", "sub"])
+        return near.groupBy(*key_cols, "seg", "sub", "value").agg(
+            F.count("*").alias("c"), F.max("start").alias("start"), F.max("n").alias("n")
         )
-        part = ["seg", "sub"]
-        near = finer.drop("start", "n").join(holding(counts, [*keys, "seg"], "sub"), [*keys, *part])
 
-    cells = near.groupBy(*key_cols, *part, "value").agg(
-        F.count("*").alias("c"), F.max("start").alias("start"), F.max("n").alias("n")
-    )
+    if df.count() <= rows_per_task:
+        # Few enough rows for one task, whatever the keys: no segments needed.
+        part = []
+        cells = (
+            long.groupBy(*key_cols, "value")
+            .agg(F.count("*").alias("c"))
+            .withColumn("start", F.lit(0))
+            .withColumn("n", F.sum("c").over(Window.partitionBy(*key_cols)))
+        )
+    else:
+        part = ["seg", "sub"]
+        cells = segmented()
     in_part = (
         Window.partitionBy(*key_cols, *part).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -181,30 +195,42 @@ def index_rows(
     order: Sequence[str],
     previous: Sequence[str] = (),
     pieces: int = PIECES,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Row number ``t`` (from 1) and row count ``n`` of every row within its key.
 
     ``order`` is one or two columns (number, date or timestamp; no nulls in the
     first, nulls first in the second).  ``previous`` adds ``prev_<name>``: the
-    named column of the row before.  A key is spread over the segments of the
-    first order column; a value so frequent that it fills segments of its own
-    is spread further by the second column.  Rows are shuffled once.
+    named column of the row before.  In a table of more than ``rows_per_task``
+    rows a key is spread over the segments of the first order column; a value
+    so frequent that it fills segments of its own is spread further by the
+    second column.  Rows are shuffled once.
     """
     keys, kept = list(by) or ["_all"], df.columns
     if not by:
         df = df.withColumn("_all", F.lit(0))
     key_cols = [col(k) for k in keys]
+    tie = order[1] if len(order) > 1 else None
+    ordering = [col(order[0]), *([col(tie).asc_nulls_first()] if tie else [])]
+    if df.count() <= rows_per_task:
+        whole = Window.partitionBy(*key_cols)
+        in_order = whole.orderBy(*ordering)
+        return df.select(
+            *[col(c) for c in kept],
+            F.row_number().over(in_order).cast("long").alias("t"),
+            F.count("*").over(whole).alias("n"),
+            *[F.lag(col(p)).over(in_order).alias(f"prev_{p}") for p in previous],
+        )
     types = {f.name: f.dataType for f in df.schema.fields}
     work = df.withColumn("_x", sort_number(col(order[0]), types[order[0]]))
-    tie = order[1] if len(order) > 1 else None
     if tie:
         y = sort_number(col(tie), types[tie])
         work = work.withColumn("_y", F.coalesce(F.nanvl(y, F.lit(None)), F.lit(float("-inf"))))
 
     names = ["_x", "_y"] if tie else ["_x"]
     grids, rows_seen = _sketch(work, names, pieces)
-    if rows_seen / pieces > ROWS_PER_TASK:
-        grids, _ = _sketch(work, names, min(MOST_PIECES, int(rows_seen / ROWS_PER_TASK)))
+    if rows_seen / pieces > rows_per_task:
+        grids, _ = _sketch(work, names, min(MOST_PIECES, int(rows_seen / rows_per_task)))
     frequent = sorted({a for a, b in zip(grids[0], grids[0][1:]) if a == b}) if tie else []
     # A frequent value v gets the segment [v, next double) for itself.
     after = [_next_double(v) for v in frequent]
@@ -216,7 +242,6 @@ def index_rows(
         work = work.withColumn("_sub", F.lit(0))
 
     segment = ["_seg", "_sub"]
-    ordering = [col(order[0]), *([col(tie).asc_nulls_first()] if tie else [])]
     stats = [F.count("*").alias("c")]
     if list(previous) == [order[0]]:
         stats.append(F.max(col(order[0])).alias("_last_0"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -239,7 +240,9 @@ def pair_bins(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 2
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10) -> DataFrame:
     """The most frequent values of the first text columns: ``(column, value, count)``."""
     columns = list(columns) if columns is not None else text_columns(df)[:CHART_CATEGORIES]
-    out = df.sparkSession.createDataFrame([], "column string, value string, count long")
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, count long")
+    parts = []
     for c in columns:
         best = (
             df.where(col(c).isNotNull())
@@ -248,7 +251,7 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, top: int = 1
             .orderBy(F.desc("count"), "value")
             .limit(top)
         )
-        out = out.unionByName(best.select(F.lit(c).alias("column"), "value", "count"))
-    return out
+        parts.append(best.select(F.lit(c).alias("column"), "value", "count"))
+    return reduce(DataFrame.unionByName, parts)
 
 

@@ -130,7 +130,9 @@ def extract_cases(df: DataFrame, text: str = "text", keep: list[str] | None = No
     ``source`` is ``json``, ``lines`` or ``default``.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    parsed = line_cases(df.withColumn("_json", json_cases(col(text))), text)
+    # Only a text that is no JSON list is read line by line.
+    tried = df.withColumn("_json", json_cases(col(text)))
+    parsed = line_cases(tried.withColumn(text, F.when(F.col("_json").isNull(), col(text))), text)
     default = F.array(F.struct(*[F.lit(v).alias(k) for k, v in DEFAULT_CASE.items()]))
     use_json = F.col("_json").isNotNull()
     use_lines = F.size("_cases") > 0

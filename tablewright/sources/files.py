@@ -66,7 +66,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON list of records; a top-level object is refused."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     if not whole.where(~F.col("value").rlike(r"^\s*\[")).isEmpty():
         raise IngestError(f"JSON file must hold a list of records: {path}")
     return spark.read.option("multiLine", True).json(path)

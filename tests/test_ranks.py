@@ -17,7 +17,7 @@ def _skewed(spark, rows=6000):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("pieces,rows_per_task", [(4, 10**9), (512, 10**9), (4, 1), (512, 1)])
+@pytest.mark.parametrize("pieces,rows_per_task", [(4, 10**9), (4, 3000), (512, 3000), (4, 1), (512, 1)])
 def test_quantiles_match_pandas(spark, pieces, rows_per_task):
     pdf, df = _skewed(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
@@ -27,7 +27,7 @@ def test_quantiles_match_pandas(spark, pieces, rows_per_task):
         assert np.allclose(got.loc[c, ["q00", "q10", "q25", "q50", "q75", "q100"]].astype(float), want)
 
 
-@pytest.mark.parametrize("pieces,rows_per_task", [(4, 10**9), (512, 10**9), (4, 1)])
+@pytest.mark.parametrize("pieces,rows_per_task", [(4, 10**9), (4, 3000), (512, 3000), (4, 1)])
 def test_grouped_quantiles_match_pandas(spark, pieces, rows_per_task):
     pdf, df = _skewed(spark)
     got = quantiles(df, ["x"], [0.25, 0.5], by=["key"], pieces=pieces, rows_per_task=rows_per_task).toPandas().set_index("key")
@@ -44,10 +44,10 @@ def test_quantiles_skip_missing_and_one_row(spark):
     assert quantiles(empty, ["a"], [0.5]).collect() == []
 
 
-@pytest.mark.parametrize("pieces", [4, 64])
-def test_index_rows_matches_a_sort(spark, pieces):
+@pytest.mark.parametrize("pieces,rows_per_task", [(4, 3000), (64, 3000), (64, 50), (64, 10**9)])
+def test_index_rows_matches_a_sort(spark, pieces, rows_per_task):
     pdf, df = _skewed(spark)
-    got = index_rows(df, ["key"], ["x", "y"], previous=["x", "id"], pieces=pieces).toPandas()
+    got = index_rows(df, ["key"], ["x", "y"], previous=["x", "id"], pieces=pieces, rows_per_task=rows_per_task).toPandas()
     assert len(got) == len(pdf)
     for k, group in got.groupby("key"):
         group = group.sort_values("t")
@@ -65,9 +65,10 @@ def test_index_rows_by_timestamp_without_key(spark):
         F.expr("timestamp_ntz'2024-03-30 00:00:00' + make_interval(0,0,0,0, int(id))").alias("ts"),
         (F.col("id") % 3).alias("v"),
     )
-    got = index_rows(df, [], ["ts", "v"], previous=["ts"], pieces=8).orderBy("t").collect()
-    assert [r["t"] for r in got] == list(range(1, 101))
-    assert [r["prev_ts"] for r in got][1:] == [r["ts"] for r in got][:-1]
+    for rows in (10, 1000):
+        got = index_rows(df, [], ["ts", "v"], previous=["ts"], pieces=8, rows_per_task=rows).orderBy("t").collect()
+        assert [r["t"] for r in got] == list(range(1, 101)) and {r["n"] for r in got} == {100}
+        assert [r["prev_ts"] for r in got][1:] == [r["ts"] for r in got][:-1]
 
 
 def test_blocks_repeat_only_the_needed_rows(spark):
@@ -88,6 +89,6 @@ def test_quantiles_with_infinities_and_one_value(spark):
 def test_plans_keep_segments_apart(spark):
     """No window of a rank operator is partitioned by the key alone over unaggregated rows."""
     _, df = _skewed(spark)
-    plan = index_rows(df, ["key"], ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    plan = index_rows(df, ["key"], ["x", "y"], rows_per_task=1000)._jdf.queryExecution().executedPlan().toString()
     rank = next(line for line in plan.splitlines() if "row_number()" in line)
     assert "_seg" in rank.split("row_number()")[1]
