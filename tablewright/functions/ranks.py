@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.columns import col, melt
+from tablewright.functions.columns import as_double, col
 
 PIECES = 512  # segments a column is cut into; a segment holds about 1/512 of the rows
 SUB_PIECES = 4096  # parts of a segment that is cut again
 MOST_PIECES = 20000
 SPLIT_SHARE = 0.02  # share of the rows looked at for split points
 ROWS_PER_TASK = 4_000_000  # rows one task should sort
+COUNTED_DIRECTLY = 250_000  # rows up to which counting every value is the quicker way
 
 
 def _sketch(df: DataFrame, names: Sequence[str], pieces: int) -> tuple[list[list[float]], float]:
@@ -56,24 +57,32 @@ def quantiles(
     exact: bool = True,
     pieces: int = PIECES,
     rows_per_task: int = ROWS_PER_TASK,
+    counted_directly: int = COUNTED_DIRECTLY,
 ) -> DataFrame:
     """Quantiles (linear interpolation) of numeric columns: ``(by…, column, n, <names>)``.
 
-    A table of at most ``rows_per_task`` rows is counted by value directly.
-    Beyond that there is one pass for the splits, one that counts rows per
+    A table of at most ``counted_directly`` rows is counted by value.  Beyond
+    that there is one pass for the splits, one that counts rows per
     segment (a tiny shuffle), and one that looks only at the segments holding a
     wanted rank; segments that would still be large are counted in finer parts
     first.  Missing cells are skipped.  ``exact=False`` uses the bounded sketch
-    of ``percentile_approx``.
+    of ``percentile_approx``.  The input is read in each pass: checkpoint or
+    write one that is costly to make.
     """
     names = list(names or [f"q{round(p * 100):02d}" for p in probs])
-    keys = [*by, "column"]
-    key_cols = [col(k) for k in keys]
-    long = melt(df, columns, by)
+    # Columns are told apart by a number, which is cheaper to hash than a name.
+    keys = ["_key", "_code"] if by else ["_code"]
+    key_cols = [F.col(k) for k in keys]
+    groups = [F.col("_key")[b].alias(b) for b in by]
+    label = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_code")).alias("column")
+    cells = [F.struct(F.lit(i + 1).alias("_code"), as_double(df, c).alias("value")) for i, c in enumerate(columns)]
+    # A struct is equal to itself in a join also where a group value in it is null.
+    key = [F.struct(*[col(b) for b in by]).alias("_key")] if by else []
+    long = df.select(*key, F.inline(F.array(*cells))).where("value IS NOT NULL")
     if not exact:
         picks = F.percentile_approx("value", list(probs), 10000)
         out = long.groupBy(*key_cols).agg(F.count("*").alias("n"), picks.alias("q"))
-        return out.select(*key_cols, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+        return out.select(*groups, label, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
     def place(p: float) -> Column:
         return (F.col("n") - 1) * F.lit(float(p))
@@ -136,7 +145,7 @@ def quantiles(
             F.count("*").alias("c"), F.max("start").alias("start"), F.max("n").alias("n")
         )
 
-    if df.count() <= rows_per_task:
+    if df.count() <= counted_directly:
         # Few enough rows for one task, whatever the keys: no segments needed.
         part = []
         cells = (
@@ -162,7 +171,8 @@ def quantiles(
         ]
     found = ranked.groupBy(*key_cols).agg(F.max("n").alias("n"), *picks)
     return found.select(
-        *key_cols,
+        *groups,
+        label,
         "n",
         *[
             (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (place(p) - F.floor(place(p)))).alias(name)
@@ -204,12 +214,13 @@ def index_rows(
     named column of the row before.  In a table of more than ``rows_per_task``
     rows a key is spread over the segments of the first order column; a value
     so frequent that it fills segments of its own is spread further by the
-    second column.  Rows are shuffled once.
+    second column.  Rows are shuffled once.  The input is read three times:
+    checkpoint or write one that is costly to make.
     """
-    keys, kept = list(by) or ["_all"], df.columns
-    if not by:
-        df = df.withColumn("_all", F.lit(0))
-    key_cols = [col(k) for k in keys]
+    kept = df.columns
+    # A struct is equal to itself in a join also where a key value in it is null.
+    df = df.withColumn("_key", F.struct(*[col(b) for b in by]) if by else F.struct(F.lit(0).alias("all")))
+    key_cols = [F.col("_key")]
     tie = order[1] if len(order) > 1 else None
     ordering = [col(order[0]), *([col(tie).asc_nulls_first()] if tie else [])]
     if df.count() <= rows_per_task:
@@ -268,7 +279,7 @@ def index_rows(
     rows = work.withColumn("_rn", F.row_number().over(inside))
     for i, p in enumerate(previous):
         rows = rows.withColumn(f"_lag_{i}", F.lag(col(p)).over(inside))
-    joined = rows.join(offsets, [*keys, *segment])
+    joined = rows.join(offsets, ["_key", *segment])
     return joined.select(
         *[col(c) for c in kept],
         (F.col("_before") + F.col("_rn")).alias("t"),

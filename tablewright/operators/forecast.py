@@ -16,12 +16,17 @@ DAY = 86_400_000_000
 _MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 _DAYS = ["MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN"]
 
+# Column names of the results, not available as names of series columns.
+OWN_COLUMNS = {"ts", "value", "t", "n", "step", "kind", "lower", "upper", "model", "frequency", "window_size", "error"}
 SHORT_SERIES = "Need at least 3 dates to infer frequency"
 
 
 def series(df: DataFrame, ts: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """``(by…, ts timestamp_ntz, value double)``; text dates are parsed, a bad or missing date is an error."""
     check_columns(df, [ts, value, *by])
+    clash = sorted(set(by) & OWN_COLUMNS)
+    if clash:
+        raise ValueError(f"Rename series columns that results use themselves: {', '.join(clash)}")
     kind = df.schema[ts].dataType
     if isinstance(kind, T.StringType):
         moment = F.to_timestamp_ntz(col(ts))

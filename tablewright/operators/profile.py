@@ -160,8 +160,10 @@ def value_counts(df: DataFrame, top: int = 10, below: int = 20, columns: Sequenc
     )
 
 
-def summary(df: DataFrame, path: str | None = None, size_bytes: Column | None = None) -> DataFrame:
-    """One-row record of a table: shape, missing cells, column lists."""
+def summary(
+    df: DataFrame, path: str | None = None, size_bytes: Column | None = None, with_stats: bool = False
+) -> DataFrame:
+    """One-row record of a table: shape, missing cells, column lists and, on request, the numeric statistics."""
     total = sum((F.col(f"n{i}") for i in range(len(df.columns))), F.lit(0))
     counts = df.agg(
         F.count("*").alias("rows"), *[F.count_if(is_missing(f)).alias(f"n{i}") for i, f in enumerate(df.schema.fields)]
@@ -181,6 +183,12 @@ def summary(df: DataFrame, path: str | None = None, size_bytes: Column | None =
                 "file_size_kb"
             ),
         ]
+    stats = []
+    if with_stats:
+        figures = describe(df)
+        # One entry per column of the schema.
+        packed = F.sort_array(F.collect_list(F.struct(*figures.columns)))
+        stats = [figures.agg(packed).scalar().alias("stats")]
     return counts.select(
         *lead,
         "rows",
@@ -190,6 +198,7 @@ def summary(df: DataFrame, path: str | None = None, size_bytes: Column | None =
         F.bround(F.try_divide(total.cast("double"), cells.cast("double")) * 100, 2).alias("missing_percentage"),
         *[names(v).alias(f"{k}_columns") for k, v in kinds.items()],
         *[F.lit(len(v)).alias(f"n_{k}") for k, v in kinds.items()],
+        *stats,
     )
 
 

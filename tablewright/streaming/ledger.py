@@ -40,7 +40,8 @@ def append_results(spark: SparkSession, path: str, results: list[dict]) -> DataF
         "message",
         "output_path",
     )
-    out.write.mode("append").parquet(path)
+    # One small file per call.
+    out.coalesce(1).write.mode("append").parquet(path)
     return out
 
 

@@ -21,7 +21,7 @@ def _skewed(spark, rows=6000):
 def test_quantiles_match_pandas(spark, pieces, rows_per_task):
     pdf, df = _skewed(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    got = quantiles(df, ["x", "y"], probs, pieces=pieces, rows_per_task=rows_per_task).toPandas().set_index("column")
+    got = quantiles(df, ["x", "y"], probs, pieces=pieces, rows_per_task=rows_per_task, counted_directly=rows_per_task).toPandas().set_index("column")
     for c in ("x", "y"):
         want = pdf[c].quantile([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]).to_numpy()
         assert np.allclose(got.loc[c, ["q00", "q10", "q25", "q50", "q75", "q100"]].astype(float), want)
@@ -30,7 +30,7 @@ def test_quantiles_match_pandas(spark, pieces, rows_per_task):
 @pytest.mark.parametrize("pieces,rows_per_task", [(4, 10**9), (4, 3000), (512, 3000), (4, 1)])
 def test_grouped_quantiles_match_pandas(spark, pieces, rows_per_task):
     pdf, df = _skewed(spark)
-    got = quantiles(df, ["x"], [0.25, 0.5], by=["key"], pieces=pieces, rows_per_task=rows_per_task).toPandas().set_index("key")
+    got = quantiles(df, ["x"], [0.25, 0.5], by=["key"], pieces=pieces, rows_per_task=rows_per_task, counted_directly=rows_per_task).toPandas().set_index("key")
     for k, group in pdf.groupby("key"):
         assert got.loc[k, "n"] == len(group)
         assert np.allclose(got.loc[k, ["q25", "q50"]].astype(float), group["x"].quantile([0.25, 0.5]).to_numpy())
@@ -82,7 +82,7 @@ def test_blocks_repeat_only_the_needed_rows(spark):
 
 def test_quantiles_with_infinities_and_one_value(spark):
     pdf = pd.DataFrame({"a": [1.0] * 500 + [np.inf, -np.inf], "b": [3.0] * 502})
-    got = quantiles(spark.createDataFrame(pdf), ["a", "b"], [0.25, 0.5], rows_per_task=1).collect()
+    got = quantiles(spark.createDataFrame(pdf), ["a", "b"], [0.25, 0.5], rows_per_task=1, counted_directly=1).collect()
     assert {r["column"]: (r["q25"], r["q50"]) for r in got} == {"a": (1.0, 1.0), "b": (3.0, 3.0)}
 
 
@@ -92,3 +92,13 @@ def test_plans_keep_segments_apart(spark):
     plan = index_rows(df, ["key"], ["x", "y"], rows_per_task=1000)._jdf.queryExecution().executedPlan().toString()
     rank = next(line for line in plan.splitlines() if "row_number()" in line)
     assert "_seg" in rank.split("row_number()")[1]
+
+
+@pytest.mark.parametrize("rows_per_task", [10, 10**9])
+def test_null_keys_are_a_group_of_their_own(spark, rows_per_task):
+    rows = [(None if i % 2 else "k", float(i), float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "key string, x double, y double")
+    got = index_rows(df, ["key"], ["x", "y"], pieces=8, rows_per_task=rows_per_task)
+    assert {(r["key"], r["n"], r["max(t)"]) for r in got.groupBy("key", "n").agg(F.max("t")).collect()} == {("k", 50, 50), (None, 50, 50)}
+    medians = quantiles(df, ["x"], [0.5], by=["key"], pieces=8, counted_directly=rows_per_task).collect()
+    assert {r["key"]: r["q50"] for r in medians} == {"k": 49.0, None: 50.0}

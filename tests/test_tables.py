@@ -157,6 +157,8 @@ def test_describe_text_and_summary(table, staff):
     assert (s["file_name"], s["file_size_kb"], s["rows"], s["columns"], s["missing_values"]) == ("b.csv", 2.0, 400, 6, missing)
     assert s["missing_percentage"] == round(missing / 2400 * 100, 2)
     assert (s["n_numeric"], s["n_categorical"], s["n_date"]) == (4, 1, 1)
+    stats = {r["column"]: r for r in profile.summary(table, with_stats=True).first()["stats"]}
+    assert np.isclose(stats["pay"]["q50"], staff["pay"].median()) and set(stats) == {"id", "pay", "age", "level"}
 
 
 @pytest.mark.parametrize("values,with_null,listed", [(19, False, True), (19, True, False), (20, False, False)])
