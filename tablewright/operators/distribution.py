@@ -182,22 +182,21 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         return df.sparkSession.createDataFrame([], "column_x string, column_y string, corr double")
     pairs = [(a, b) for a, b in combinations(columns, 2)] + [(a, a) for a in columns]
     wide = df.select(*[as_double(df, c).alias(c) for c in columns])
-    out = None
+    parts = []
     for start in range(0, len(pairs), _CHUNK):
         # One entry per pair of columns; they are added up before the shuffle, which moves one row per pair and task.
+        chunk = pairs[start : start + _CHUNK]
         entries = [
-            F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"), col(a).alias("x"), col(b).alias("y"))
-            for a, b in pairs[start : start + _CHUNK]
+            F.struct(F.lit(i + 1).alias("pair"), col(a).alias("x"), col(b).alias("y")) for i, (a, b) in enumerate(chunk)
         ]
-        part = (
-            wide.select(F.inline(F.array(*entries)))
-            .groupBy("column_x", "column_y")
-            .agg(safe_corr(F.col("x"), F.col("y")).alias("corr"))
-        )
-        out = part if out is None else out.unionByName(part)
+        found = wide.select(F.inline(F.array(*entries))).groupBy("pair").agg(safe_corr(F.col("x"), F.col("y")).alias("corr"))
+        first, second = (F.element_at(F.array(*[F.lit(p[k]) for p in chunk]), F.col("pair")) for k in (0, 1))
+        parts.append(found.select(first.alias("column_x"), second.alias("column_y"), "corr"))
+    out = reduce(DataFrame.unionByName, parts)
     same = F.col("column_x") == F.col("column_y")
-    one = F.struct("column_x", "column_y", F.when(same, F.when(F.col("corr").isNotNull(), F.lit(1.0))).otherwise(F.col("corr")).alias("corr"))
-    mirrored = F.struct(F.col("column_y").alias("column_x"), F.col("column_x").alias("column_y"), "corr")
+    r = F.when(same, F.when(F.col("corr").isNotNull(), F.lit(1.0))).otherwise(F.col("corr")).alias("corr")
+    one = F.struct("column_x", "column_y", r)
+    mirrored = F.struct(F.col("column_y").alias("column_x"), F.col("column_x").alias("column_y"), r)
     return out.select(F.inline(F.when(same, F.array(one)).otherwise(F.array(one, mirrored))))
 
 
