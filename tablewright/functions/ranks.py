@@ -28,14 +28,17 @@ ROWS_PER_TASK = 4_000_000  # rows one task should sort
 COUNTED_DIRECTLY = 250_000  # rows up to which counting every value is the quicker way
 
 
-def _sketch(df: DataFrame, names: Sequence[str], pieces: int) -> tuple[list[list[float]], float]:
-    """Quantile grid of each named double column and the estimated number of rows.
+def _some(df: DataFrame) -> DataFrame:
+    return df.sample(False, SPLIT_SHARE, seed=17)
+
+
+def _sketch(some: DataFrame, names: Sequence[str], pieces: int) -> tuple[list[list[float]], float]:
+    """Quantile grid of each named double column over ``_some`` rows, and the estimated number of all rows.
 
     As in a range partitioning, some of the rows are enough to place the
     splits; every row is counted and ranked afterwards.
     """
     grid = [i / pieces for i in range(1, pieces)]
-    some = df.sample(False, SPLIT_SHARE, seed=17)
     row = some.agg(F.count("*"), *[F.percentile_approx(n, grid, 2 * pieces) for n in names]).first()
     return [list(q or []) for q in row[1:]], row[0] / SPLIT_SHARE
 
@@ -78,7 +81,11 @@ def quantiles(
     cells = [F.struct(F.lit(i + 1).alias("_code"), as_double(df, c).alias("value")) for i, c in enumerate(columns)]
     # A struct is equal to itself in a join also where a group value in it is null.
     key = [F.struct(*[col(b) for b in by]).alias("_key")] if by else []
-    long = df.select(*key, F.inline(F.array(*cells))).where("value IS NOT NULL")
+
+    def cells_of(rows: DataFrame) -> DataFrame:
+        return rows.select(*key, F.inline(F.array(*cells))).where("value IS NOT NULL")
+
+    long = cells_of(df)
     if not exact:
         picks = F.percentile_approx("value", list(probs), 10000)
         out = long.groupBy(*key_cols).agg(F.count("*").alias("n"), picks.alias("q"))
@@ -100,16 +107,16 @@ def quantiles(
     for p in probs:
         wanted = wanted | holds(low(p)) | holds(high(p))
 
-    def holding(counted: DataFrame, inside: list[str], part: str) -> DataFrame:
+    def holding(sizes: DataFrame, inside: list[str], part: str) -> DataFrame:
         """The parts that hold a wanted rank, with the rows before them; at most 2 * len(probs) per key.
 
-        ``counted`` has one row per key and part, so its windows stay small.
+        ``sizes`` has one row per key and part, so its windows stay small.
         """
         whole = Window.partitionBy(*[col(c) for c in inside])
         so_far = whole.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         total = F.sum("c").over(whole) if part == "seg" else F.col("n")
         start = F.lit(0) if part == "seg" else F.col("start")
-        placed = counted.select(
+        placed = sizes.select(
             *[col(c) for c in inside],
             part,
             "lo",
@@ -127,7 +134,7 @@ def quantiles(
     def segmented() -> DataFrame:
         """Rows of the parts that hold a wanted rank, counted by value."""
         most = min(pieces * len(columns), 2 * max(pieces, PIECES))
-        (splits,), rows = _sketch(long, ["value"], most)
+        (splits,), rows = _sketch(cells_of(_some(df)), ["value"], most)
         cut = _segment(long, "value", splits, "seg")
         range_of = [F.count("*").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi")]
         counts = cut.groupBy(*key_cols, "seg").agg(*range_of)
@@ -148,7 +155,7 @@ def quantiles(
     if df.count() <= counted_directly:
         # Few enough rows for one task, whatever the keys: no segments needed.
         part = []
-        cells = (
+        counted = (
             long.groupBy(*key_cols, "value")
             .agg(F.count("*").alias("c"))
             .withColumn("start", F.lit(0))
@@ -156,11 +163,11 @@ def quantiles(
         )
     else:
         part = ["seg", "sub"]
-        cells = segmented()
+        counted = segmented()
     in_part = (
         Window.partitionBy(*key_cols, *part).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = cells.withColumn("upto", F.sum("c").over(in_part) + F.col("start")).withColumn(
+    ranked = counted.withColumn("upto", F.sum("c").over(in_part) + F.col("start")).withColumn(
         "before", F.col("upto") - F.col("c")
     )
     picks = []
@@ -239,9 +246,9 @@ def index_rows(
         work = work.withColumn("_y", F.coalesce(F.nanvl(y, F.lit(None)), F.lit(float("-inf"))))
 
     names = ["_x", "_y"] if tie else ["_x"]
-    grids, rows_seen = _sketch(work, names, pieces)
+    grids, rows_seen = _sketch(_some(work), names, pieces)
     if rows_seen / pieces > rows_per_task:
-        grids, _ = _sketch(work, names, min(MOST_PIECES, int(rows_seen / rows_per_task)))
+        grids, _ = _sketch(_some(work), names, min(MOST_PIECES, int(rows_seen / rows_per_task)))
     frequent = sorted({a for a, b in zip(grids[0], grids[0][1:]) if a == b}) if tie else []
     # A frequent value v gets the segment [v, next double) for itself.
     after = [_next_double(v) for v in frequent]

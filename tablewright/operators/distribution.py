@@ -83,7 +83,9 @@ def bin_rule(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Histogram rows ``(column, bin, low, high, count)``, empty bins included, last bin closed."""
     columns = _charted(df, columns)
-    rule = F.broadcast(bin_rule(df, columns))  # one row per column
+    found = bin_rule(df, columns)
+    # One row per column of the schema, worked out once and used twice below.
+    rule = F.broadcast(df.sparkSession.createDataFrame(found.collect(), found.schema))
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     binned = (
         melt(df, columns)
