@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -314,7 +315,7 @@ _FIT = (
 
 def _per_row(df: DataFrame, function, outputs: str) -> DataFrame:
     """Adds what ``function`` makes of each small row; its ValueErrors become the ``error`` column."""
-    added = T._parse_datatype_string(outputs)
+    added = T.StructType.fromDDL(outputs)
     schema = T.StructType([f for f in df.schema.fields if f.name not in added.names] + list(added.fields))
     names, new = [f.name for f in schema.fields], added.names
 
@@ -342,6 +343,13 @@ def _per_row(df: DataFrame, function, outputs: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def _add_to_series(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of two one-row-per-series tables; a null key value matches itself."""
+    other = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = reduce(Column.__and__, [col(k).eqNullSafe(col(f"_other_{k}")) for k in keys])
+    return left.join(other, same, "left").drop(*[f"_other_{k}" for k in keys])
+
+
 def _total(sums: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Block sums added per series and packed in one bounded array."""
     added = sums.groupBy(*[col(k) for k in keys], "i").agg(F.sum("v").alias("v"))
@@ -421,7 +429,7 @@ def fit_arima(
     )
     p = F.least(F.lit(max_order[0]), F.greatest(F.lit(1), F.floor(F.col("n") / 10).cast("int")))
     q = F.least(F.lit(max_order[2]), F.greatest(F.lit(1), F.floor(F.col("n") / 20).cast("int")))
-    joined = edges.join(_total(sums, keys, "sums"), keys, "left").withColumns({"p": p, "q": q})
+    joined = _add_to_series(edges, _total(sums, keys, "sums"), keys).withColumns({"p": p, "q": q})
     # Kept: both later steps must see the same orders.
     chosen = checkpointed(_per_row(joined, lambda r: _choose(r, max_lag, order), _CHOICE))
 
@@ -447,9 +455,9 @@ def fit_arima(
         .applyInPandas(second_step, f"{key_schema}, i int, v double")
     )
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
-    ready = chosen.drop("sums").join(_total(sums2, keys, "sums2"), keys, "left")
+    ready = _add_to_series(chosen.drop("sums"), _total(sums2, keys, "sums2"), keys)
     fitted = _per_row(ready, lambda r: _forecast(r, periods, z), _FIT).drop("edge", "sums2", "long_ar", "n")
-    return stats.join(fitted, keys, "left").drop("_all")
+    return _add_to_series(stats, fitted, keys).drop("_all")
 
 
 def _rows(fits: DataFrame, by: Sequence[str], periods: int, fraction: float, least: int) -> DataFrame:

@@ -109,6 +109,10 @@ def fill_missing(df: DataFrame, strategy: str | None) -> DataFrame:
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
     """Whole-row distinct; nulls are equal to each other.  Copies are merged before the shuffle."""
+    if any(isinstance(f.dataType, T.MapType) for f in df.schema.fields):
+        # Maps can be grouped by, whatever the order of their entries, but not deduplicated as such.
+        columns = [col(c) for c in df.columns]
+        return df.groupBy(*columns).agg(F.count("*").alias("_copies")).select(*columns)
     return df.dropDuplicates()
 
 

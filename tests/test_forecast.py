@@ -232,6 +232,19 @@ def test_unit_root_pvalues():
     assert arima.df_pvalue(5) == 1 and arima.df_pvalue(-30) == 0
 
 
+def test_a_null_key_is_a_series(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(x)) for k in (None, "a") for i, x in enumerate(rng.normal(size=60))]
+    df = spark.createDataFrame(rows, "k string, d date, v double")
+    for model in ("sma", "arima"):
+        got = arima.forecast(df, "d", "v", 2, model=model, by=["k"]).collect()
+        assert sorted((str(r["k"]), r["step"], r["model"]) for r in got) == [
+            ("None", 1, model), ("None", 2, model), ("a", 1, model), ("a", 2, model),
+        ]
+    with pytest.raises(ValueError, match="step"):
+        forecast.forecast_sma(df.withColumnRenamed("k", "step"), "d", "v", 2, by=["step"])
+
+
 def test_model_choice(spark, rhythms):
     daily = rhythms.where("series = 'daily'").drop("series")
     assert arima.forecast(daily, "ts", "v", 2, model="prophet").first()["model"] == "sma"

@@ -113,6 +113,12 @@ def test_rows_differing_only_by_null_are_not_copies(spark):
     assert clean.remove_duplicates(df).count() == 2
 
 
+def test_nested_columns_are_deduplicated(spark):
+    df = spark.createDataFrame([(1, {"a": 1, "b": 2}, [1]), (1, {"b": 2, "a": 1}, [1]), (1, None, [2])], "x int, m map<string,int>, l array<int>")
+    assert clean.clean(df, "mean").count() == 2
+    assert clean.clean(df, "mode").where("m IS NULL").count() == 1
+
+
 def test_transforms(table, staff):
     got = transform.normalize(table, ["pay", "level"]).toPandas().sort_values("id")
     span = staff["pay"].max() - staff["pay"].min()
