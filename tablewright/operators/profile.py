@@ -132,6 +132,34 @@ def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     )
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """Distinct values per column, a null counting as one: ``(column, distinct_values)``.
+
+    Counted in long form, so that no task holds all values of a column;
+    ``exact=False`` uses a bounded sketch and moves no values at all.
+    """
+    df = nan_to_null(df)
+    columns = list(columns if columns is not None else df.columns)
+    schema = "column string, distinct_values long"
+    if not columns:
+        return df.sparkSession.createDataFrame([], schema)
+    if exact:
+        # A long text stands for itself by its digest, longer than any text kept as it is.
+        cells = df.select(
+            *[
+                F.when(F.length(t) > 64, F.concat(F.lit("sha-256 "), F.sha2(t, 256))).otherwise(t).alias(c)
+                for c, t in ((c, col(c).cast("string")) for c in columns)
+            ]
+        )
+        return _text_values(cells, columns).groupBy("column").agg(F.count("*").alias("distinct_values"))
+    sketches = [
+        (F.approx_count_distinct(col(c)) + F.coalesce(F.max(col(c).isNull().cast("long")), F.lit(0))).alias(f"d{i}")
+        for i, c in enumerate(columns)
+    ]
+    entries = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_values")) for i, c in enumerate(columns)]
+    return _table(df, sketches, entries, schema)
+
+
 def value_counts(df: DataFrame, top: int = 10, below: int = 20, columns: Sequence[str] | None = None) -> DataFrame:
     """Most frequent values of the text columns with fewer than ``below`` distinct values.
 

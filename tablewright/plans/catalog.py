@@ -398,6 +398,18 @@ def profile_value_counts(spark: SparkSession, folder: str) -> DataFrame:
     return profile.value_counts(table(spark, folder, "part"))
 
 
+@query(
+    "profile_distinct",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST(count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT)
+            AS distinct_values FROM ({ORDERS}) o"""
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    ),
+)
+def profile_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.distinct_counts(made(spark, folder, inputs.ORDERS_WITH_GAPS))
+
+
 def _column_row(position: int, column: str, kind: str) -> str:
     head = f"""SELECT {position} AS position, '{column}' AS "column", '{kind}' AS type, '{'categorical' if kind == 'string' else 'numeric'}' AS class,
                CAST(count(*) - count({column}) AS BIGINT) AS missing, round((count(*) - count({column})) * 100.0 / count(*), 4) AS missing_percentage"""

@@ -45,6 +45,11 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.*") -> DataFrame
     )
 
 
+def size_of(spark: SparkSession, path: str) -> Column:
+    """Bytes of a file or folder as a scalar subquery; no content is read."""
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("bytes")).scalar()
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Delimited text with a header row; types are found in one pass after null spellings are removed."""
     # A line with an odd number of quotes leaves a quoted cell open.  Without such

@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import forecast
+from tablewright.operators import forecast, profile
 from tablewright.plans import runs
 from tablewright.sources import files, sinks, tables, text
 from tablewright.streaming import ledger, watch
@@ -121,6 +121,9 @@ def test_listing(spark, tmp_path):
         put(tmp_path / "in" / name, "x")
     rows = {r["path"].rsplit("/", 1)[1]: (r["file_type"], r["supported"], r["length"]) for r in files.list_files(spark, str(tmp_path / "in")).collect()}
     assert rows == {"a.CSV": (".csv", True, 1), "b.txt": (".txt", False, 1), "c.json": (".json", True, 1)}
+    size = files.size_of(spark, str(tmp_path / "in" / "c.json"))
+    assert profile.summary(spark.range(3), "/in/c.json", size).first()["file_size_kb"] == 0.0
+    assert spark.range(1).select(size).first()[0] == 1
     df = spark.createDataFrame([("/x/a.b/.hidden",), ("/x/y.tar.gz",), ("z.CSV",)], "p string")
     assert [tuple(r) for r in df.select(files.file_type(F.col("p")), files.base_name(F.col("p"))).collect()] == [
         ("", ".hidden"), (".gz", "y.tar"), (".csv", "z"),

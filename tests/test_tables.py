@@ -176,6 +176,15 @@ def test_value_count_gate(spark, values, with_null, listed):
         assert [(r["value"], r["count"]) for r in got] == [(f"v{i:02d}", i + 1) for i in range(18, 8, -1)]
 
 
+def test_distinct_counts(table, staff):
+    want = {c: len(staff[c].unique()) for c in staff}
+    assert {r["column"]: r["distinct_values"] for r in profile.distinct_counts(table).collect()} == want
+    rough = {r["column"]: r["distinct_values"] for r in profile.distinct_counts(table, exact=False).collect()}
+    texts = table.sparkSession.createDataFrame([("x" * 500 + str(i % 7),) for i in range(30)] + [("x",), (None,)], "s string")
+    assert profile.distinct_counts(texts).first()["distinct_values"] == 9
+    assert rough["unit"] == want["unit"] and abs(rough["id"] - want["id"]) < 60
+
+
 def test_column_details(table, staff):
     got = {r["column"]: r for r in profile.column_details(table).collect()}
     assert got["unit"]["unique_values"] == 3 and got["unit"]["top_values"][0]["value"] == "Sales"
