@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import contamination, language, pieces, quality_model, quality_rules, token_counts, toxicity
+from tablewright.llm import (
+    chat,
+    contamination,
+    language,
+    near_copies,
+    pieces,
+    quality_model,
+    quality_rules,
+    token_counts,
+    toxicity,
+)
 from tablewright.llm.common import public_file, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +102,61 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     return toxicity.score(documents, toxicity.fit(documents, read(spark, folder, "labels")))
+
+
+@query(
+    "op8_near_copies",
+    r"""
+    WITH RECURSIVE doc AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    shingle AS (
+        SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM doc WHERE len(w) > 0) t),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+    ranked AS (
+        SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, s) AS place
+        FROM shingle JOIN (SELECT s, count(*) AS f FROM shingle GROUP BY s) q USING (s) JOIN sizes USING (doc_id)),
+    -- Two sets that share 80 in 100 of their union share one of their rarest n - ceil(0.8 n) + 1 shingles.
+    rare AS (SELECT doc_id, s, n FROM ranked WHERE place <= n - (80 * n + 99) // 100 + 1),
+    pairs AS (
+        SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb
+        FROM rare a JOIN rare b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+    shared AS (
+        SELECT p.a, p.b, p.na, p.nb, count(*) AS both_have
+        FROM pairs p JOIN shingle x ON x.doc_id = p.a JOIN shingle y ON y.doc_id = p.b AND y.s = x.s GROUP BY ALL),
+    link AS (SELECT a, b FROM shared WHERE 100 * both_have >= 80 * (na + nb - both_have)),
+    way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM way UNION SELECT reach.doc_id, way.b FROM reach JOIN way ON way.a = reach.other),
+    comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+    SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc.doc_id) AS component_id,
+           coalesce(component_id, doc.doc_id) = doc.doc_id AS kept
+    FROM doc LEFT JOIN sizes USING (doc_id) LEFT JOIN comp USING (doc_id)""",
+)
+def op8_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies.near_copies(read(spark, folder, "documents"))
+
+
+@query(
+    "op10_chat_format",
+    r"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    -- No text of the table has a backslash, so escaping adds one to each control string.
+    r AS (
+        SELECT *, length(regexp_replace(text, '(</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\])', '\\\1', 'g'))
+                  + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 WHEN 'system' THEN 15 ELSE 17 + length(role) END AS chars
+        FROM t)
+    SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+           CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+    FROM r GROUP BY conv_id""",
+)
+def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    marks = "</s>[INST] ok [/INST]"
+    rows = chat.with_conversation(read(spark, folder, "conversations"), -7, [("user", marks), ("assistant", marks)])
+    return chat.read_back(chat.format_turns(rows))
