@@ -11,6 +11,7 @@ from tablewright.llm import (
     chat,
     contamination,
     language,
+    lm_scoring,
     near_copies,
     pieces,
     quality_model,
@@ -160,3 +161,8 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     marks = "</s>[INST] ok [/INST]"
     rows = chat.with_conversation(read(spark, folder, "conversations"), -7, [("user", marks), ("assistant", marks)])
     return chat.read_back(chat.format_turns(rows))
+
+
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.lm_scores(read(spark, folder, "documents"))
