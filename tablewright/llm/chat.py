@@ -32,9 +32,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
-from tablewright.llm.common import map_batches, pick
+from tablewright.llm.common import map_arrow, map_batches, pick
 
 BEGIN = "<s>"
 #: Opening and closing of the roles with a form of their own (fixed values of the template).
@@ -192,7 +191,7 @@ def read_back(turns: DataFrame) -> DataFrame:
         if reader is not None:
             yield _rows([reader.row()])
 
-    return ordered.select("conv_id", "rendered", "loss_begin", "loss_end").mapInArrow(run, from_arrow_schema(READ))
+    return map_arrow(ordered.select("conv_id", "rendered", "loss_begin", "loss_end"), run, READ)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -13,7 +13,11 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from tablewright.functions.columns import checkpointed, col
 
-__all__ = ["checkpointed", "col", "held_out", "map_batches", "pick", "public_file", "read", "tree_sum"]
+__all__ = ["bounded_batches", "checkpointed", "col", "held_out", "map_arrow", "map_batches", "pick", "public_file", "read", "tree_sum"]
+
+#: Rows of long texts make large batches, so a batch is also bounded in bytes.
+BATCH_BYTES = 8 << 20
+_BYTES_SETTING, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +41,18 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(True))
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session whose Arrow batches are bounded (unless the user has chosen a bound)."""
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES_SETTING) == _SPARK_DEFAULT:
+        conf.set(_BYTES_SETTING, str(BATCH_BYTES))
+    return df
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: pa.Schema) -> DataFrame:
+    return bounded_batches(df).mapInArrow(run, from_arrow_schema(schema))
+
+
 def map_batches(df: DataFrame, schema: pa.Schema, f: Callable[[pa.RecordBatch], dict[str, Iterable] | None]) -> DataFrame:
     """``mapInArrow`` with one output batch of columns per input batch; ``None`` or no rows give no batch."""
 
@@ -46,7 +62,7 @@ def map_batches(df: DataFrame, schema: pa.Schema, f: Callable[[pa.RecordBatch],
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([_array(columns[n], schema.field(n).type) for n in schema.names], schema=schema)
 
-    return df.mapInArrow(run, from_arrow_schema(schema))
+    return map_arrow(df, run, schema)
 
 
 def _array(values: Iterable, kind: pa.DataType) -> pa.Array:
@@ -62,7 +78,7 @@ def tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], object
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(partial(batches), 5)], pa.binary())], ["value"])
 
-    rows = df.mapInArrow(run, "value binary").rdd
+    rows = bounded_batches(df).mapInArrow(run, "value binary").rdd
     depth = max(2, math.ceil(math.log(max(2, rows.getNumPartitions()), 16)))
     found = rows.map(lambda r: pickle.loads(r.value)).treeAggregate(
         None, lambda a, b: b if a is None else merge(a, b), lambda a, b: b if a is None else a if b is None else merge(a, b), depth

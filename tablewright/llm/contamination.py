@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
-from tablewright.llm.common import checkpointed, pick
+from tablewright.llm.common import checkpointed, map_arrow, pick
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -91,7 +90,7 @@ def build_index(df: DataFrame, terms: DataFrame | None = None, id_col: str = "do
             yield _block(ids, raws, wanted.value if wanted else None)
 
     rows = pick(df, doc_id=(id_col, "bigint"), text=(text_col, "string"))
-    return checkpointed(rows.mapInArrow(run, from_arrow_schema(INDEX)))
+    return checkpointed(map_arrow(rows, run, INDEX))
 
 
 def _block(ids: list, raws: list[bytes], wanted: frozenset[bytes] | None) -> pa.RecordBatch:
@@ -214,7 +213,7 @@ def search(index: DataFrame, items: list[tuple[int, list[bytes]]], window: int =
                     found["block"] = [batch.column("block")[i].as_py()] * len(found["row"])
                 yield pa.RecordBatch.from_arrays([pa.array(found[n], schema.field(n).type) for n in schema.names], schema=schema)
 
-    return index.mapInArrow(run, from_arrow_schema(schema))
+    return map_arrow(index, run, schema)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:

@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
-from tablewright.llm.common import checkpointed, map_batches, pick, tree_sum
+from tablewright.llm.common import checkpointed, map_arrow, map_batches, pick, tree_sum
 from tablewright.llm.contamination import words
 
 #: Words with a share of their own (broadcast, some MB); classes of one word; classes by ending.
@@ -68,7 +67,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         columns = list(counts), [ending(w) for w in counts], list(counts.values())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    parts = rows.select("text").mapInArrow(run, from_arrow_schema(schema))
+    parts = map_arrow(rows.select("text"), run, schema)
     return parts.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import col, map_batches, pick
+from tablewright.llm.common import bounded_batches, col, map_batches, pick
 
 LEVEL, CHUNK_BYTES = 3, 4096
 #: Per length in bytes up to which they hold: least and greatest ratio of a whole text.
@@ -110,4 +110,4 @@ def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
 
         return pd.Series([measure((t or "").encode())[6] for t in texts], dtype=bool)
 
-    return df.where(kept(col(text_col).cast("string")))
+    return bounded_batches(df).where(kept(col(text_col).cast("string")))

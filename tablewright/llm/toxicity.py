@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import checkpointed, col, held_out, map_batches, pick, tree_sum
+from tablewright.llm.common import bounded_batches, checkpointed, col, held_out, map_batches, pick, tree_sum
 from tablewright.llm.samples import labelled, with_text
 
 #: Labelled rows the weights are fitted to, at most; n-grams kept; hash buckets.
@@ -172,4 +172,4 @@ def keep_clean(df: DataFrame, model: Linear, text_col: str = "text") -> DataFram
         table = shared.value.table()
         return pd.Series([shared.value.score(t or "", table) < THRESHOLD for t in texts], dtype=bool)
 
-    return df.where(clean(col(text_col).cast("string")))
+    return bounded_batches(df).where(clean(col(text_col).cast("string")))
