@@ -36,8 +36,9 @@ from tablewright.llm.common import checkpointed, map_batches, pick, tree_sum
 
 PERCENT, WORDS = 80, 2
 REGISTERS, MANTISSA, BANDS, BAND_ROWS = 256, 10, 56, 7
-#: Bits of the filter that keeps texts without candidates out of the shuffle; it only saves work.
-FILTER_BITS = 1 << 26
+#: Least and greatest size of the bit filter that keeps texts without candidates out of the
+#: shuffle.  It holds 16 bits per candidate up to 32 MB; beyond that it only saves less work.
+FILTER_BITS = (1 << 20, 1 << 28)
 
 _U = np.uint64
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -178,90 +179,131 @@ def sketches(rows: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """``(key, class, comp)`` of every band of every class."""
-    schema = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("comp", pa.int64())])
+    """``(key, class)`` of every band of every class."""
+    schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        keys = band_keys(np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS))
-        each = {n: np.repeat(batch.column(n).to_numpy(), BANDS) for n in ("class", "comp")}
-        return {"key": keys.ravel()} | each
+        return {"key": band_keys(_registers(batch, "registers")).ravel(), "class": np.repeat(batch.column("class").to_numpy(), BANDS)}
 
-    return map_batches(classes.select("class", "comp", "registers"), schema, run)
+    return map_batches(classes.select("class", "registers"), schema, run)
 
 
-def _leader_pairs(classes: DataFrame, salt: int) -> DataFrame:
+def _registers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _shared_buckets(classes: DataFrame) -> DataFrame:
+    """The rows of buckets with several classes, which are few beside all rows."""
+    buckets = _buckets(classes)
+    shared = buckets.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    return buckets.join(shared, "key")
+
+
+def _active(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes in shared buckets, with one bit of each register besides."""
+    some = classes.join(members.select("class").distinct(), "class", "left_semi")
+    words = [f"bits_{i}" for i in range(REGISTERS // 64)]
+    schema = pa.schema(
+        [("class", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("registers", pa.binary())] + [(w, pa.int64()) for w in words]
+    )
+
+    def run(batch: pa.RecordBatch) -> dict:
+        bits = np.packbits((_registers(batch, "registers") & 1).astype(np.uint8), axis=1).view(np.int64)
+        return {n: batch.column(n) for n in ("class", "rep", "n", "registers")} | dict(zip(words, bits.T))
+
+    return map_batches(some.select("class", "rep", "n", "registers"), schema, run)
+
+
+def _sets_of(rows: DataFrame, active: DataFrame, words: int) -> DataFrame:
+    """``(class, set)`` of the active classes, made from their representatives' texts where these are."""
+    n = active.count()
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * n).bit_length()))
+
+    def mark(batches) -> np.ndarray:
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = _filter_place(batch.column("class").to_numpy(), batch.column("rep").to_numpy(), size)
+            np.bitwise_or.at(bits, at >> _U(3), np.left_shift(np.uint8(1), (at & _U(7)).astype(np.uint8)))
+        return bits
+
+    marked = tree_sum(active.select("class", "rep"), mark, np.bitwise_or, np.zeros(size // 8, np.uint8))
+    bits = rows.sparkSession.sparkContext.broadcast(marked)
+    schema = pa.schema([("class", pa.int64()), ("set", pa.binary())])
+
+    def needed(batch: pa.RecordBatch) -> dict:
+        found = _sets(batch.column("text"), words)
+        classes = np.array([_class(f) if len(f) else 0 for f in found], np.int64)
+        at = _filter_place(classes, batch.column("doc_id").to_numpy(), size)
+        wanted = (bits.value[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1
+        kept = [i for i, f in enumerate(found) if wanted[i] and len(f)]
+        return {"class": classes[kept], "set": [found[i].tobytes() for i in kept]}
+
+    sets = map_batches(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), schema, needed)
+    return sets.dropDuplicates(["class"]).join(active.select("class"), "class", "left_semi")
+
+
+def _filter_place(classes: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    return mix(classes.astype(np.int64).view(_U) ^ mix(ids.astype(np.int64).view(_U))) & _U(size - 1)
+
+
+def _leader_pairs(members: DataFrame, salt: int) -> DataFrame:
     """Pairs of a bucket's leader and its members of other components.
 
     The leader is the member that a hash puts first, so each round has other ones.
     """
-    buckets = _buckets(classes)
     rank = F.xxhash64("class", F.lit(salt))
     leaders = (
-        buckets.groupBy("key")
+        members.groupBy("key")
         .agg(F.min(F.struct(rank.alias("rank"), F.col("class").alias("a"), F.col("comp").alias("a_comp"))).alias("lead"),
              F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low <> high")
         .select("key", "lead.a", "lead.a_comp")
     )
-    pairs = buckets.join(leaders, "key").where("comp <> a_comp")
+    pairs = members.join(leaders, "key").where("comp <> a_comp")
     return pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
 
 
-def _rest_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs of members of different components in the buckets that still hold several."""
-    buckets = _buckets(classes)
-    mixed = buckets.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    left = buckets.join(mixed, "key")
-    other = left.select("key", F.col("class").alias("b"), F.col("comp").alias("b_comp"))
-    pairs = left.join(other, "key").where("comp < b_comp")
-    return pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
-
+def _rest_pairs(members: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in the buckets that still hold several, if size and register bits allow a link.
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and estimated similarity allow a link, with both representatives' ids."""
-    side = {s: classes.select(F.col("class").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"reg_{s}")) for s in "ab"}
+    Bits of two registers differ with half the chance that the registers do; 4.5 standard
+    errors are left, of as many independent bits as the smaller set can have.
+    """
+    bits = [c for c in active.columns if c.startswith("bits_")]
+    mixed = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    left = members.join(mixed, "key").join(active.select("class", "n", *bits), "class")
+    right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "comp", "n", *bits)])
+    apart = (1 - percent / 100) / 2
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"{bits[0]}_b"))))
+    room = F.sqrt(F.lit(apart * (1 - apart)) / F.least(F.col("n"), F.col("n_b"), F.lit(REGISTERS)))
+    fits = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (differ <= REGISTERS * (apart + 4.5 * room))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("comp") < F.col("comp_b")) & fits)
+    return pairs.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b")).distinct()
+
+
+def _likely(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and estimated similarity allow a link."""
+    side = {s: active.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"reg_{s}")) for s in "ab"}
     both = pairs.join(side["a"], "a").join(side["b"], "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("rep_a", pa.int64()), ("rep_b", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        registers = [np.frombuffer(b"".join(batch.column(f"reg_{s}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for s in "ab"]
         n = [batch.column(f"n_{s}").to_numpy() for s in "ab"]
         least = percent / 100
-        error = np.sqrt(least * (1 - least) / np.minimum(REGISTERS, np.maximum(*n)))
-        good = estimate(*registers, *n) >= least - 6 * error
-        return {c: batch.column(c).filter(pa.array(good)) for c in schema.names}
-
-    return map_batches(both, schema, run)
+        error = np.sqrt(least * (1 - least) / np.minimum(REGISTERS, np.minimum(*n)))
+        good = estimate(_registers(batch, "reg_a"), _registers(batch, "reg_b"), *n) >= least - 6 * error
+        return {c: batch.column(c).filter(pa.array(good)) for c in PAIRS.names}
 
+    return map_batches(both, PAIRS, run)
 
-def _links(rows: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs that the full sets confirm."""
-    spark = rows.sparkSession
-
-    def mark(batches) -> np.ndarray:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            for s in "ab":
-                at = _filter_place(batch.column(s).to_numpy(), batch.column(f"rep_{s}").to_numpy())
-                np.bitwise_or.at(bits, at >> _U(3), np.left_shift(1, (at & _U(7)).astype(np.uint8)).astype(np.uint8))
-        return bits
 
-    bits = spark.sparkContext.broadcast(tree_sum(pairs, mark, np.bitwise_or, np.zeros(FILTER_BITS // 8, np.uint8)))
-    schema = pa.schema([("class", pa.int64()), ("set", pa.binary())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def needed(batch: pa.RecordBatch) -> dict:
-        found = _sets(batch.column("text"), words)
-        classes = np.array([_class(f) if len(f) else 0 for f in found], np.int64)
-        at = _filter_place(classes, batch.column("doc_id").to_numpy())
-        wanted = (bits.value[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1
-        kept = [i for i, f in enumerate(found) if wanted[i] and len(f)]
-        return {"class": classes[kept], "set": [found[i].tobytes() for i in kept]}
 
-    sets = map_batches(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), schema, needed).dropDuplicates(["class"])
-    both = pairs.select("a", "b")
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the full sets confirm."""
+    both = pairs
     for s in "ab":
         both = both.join(sets.select(F.col("class").alias(s), F.col("set").alias(f"set_{s}")), s)
-    linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def confirm(batch: pa.RecordBatch) -> dict:
         good = []
@@ -269,13 +311,9 @@ def _links(rows: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataF
             x, y = (np.frombuffer(v.as_py(), _U) for v in (x, y))
             shared = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        return {c: batch.column(c).filter(pa.array(good, pa.bool_())) for c in linked.names}
-
-    return map_batches(both, linked, confirm)
-
+        return {c: batch.column(c).filter(pa.array(good, pa.bool_())) for c in PAIRS.names}
 
-def _filter_place(classes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return mix(classes.astype(np.int64).view(_U) ^ mix(ids.astype(np.int64).view(_U))) & _U(FILTER_BITS - 1)
+    return map_batches(both, PAIRS, confirm)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -311,22 +349,23 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         .groupBy("class")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("registers").alias("registers"))
     )
-    now = classes.withColumn("comp", F.col("class"))
+    members = checkpointed(_shared_buckets(classes))
+    active = checkpointed(_active(members, classes))
+    sets = checkpointed(_sets_of(rows, active, words))
+    now = members.withColumn("comp", F.col("class"))
     tested = links = comps = None
     for step in range(3):
-        pairs = _leader_pairs(now, step) if step < 2 else _rest_pairs(now)
+        pairs = _leader_pairs(now, step) if step < 2 else _rest_pairs(now, active, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        likely = checkpointed(_likely(pairs, classes, percent))
+        likely = checkpointed(_likely(pairs, active, percent))
         if likely.isEmpty():
-            if step == 0:
-                break
             continue
-        found = checkpointed(_links(rows, likely, percent, words))
-        tested = likely.select("a", "b") if tested is None else tested.union(likely.select("a", "b"))
+        found = checkpointed(_links(likely, sets, percent))
+        tested = likely if tested is None else tested.union(likely)
         links = found if links is None else links.union(found)
         comps = components(links)
-        now = classes.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        now = members.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     if comps is None:
         named = classes.select("class", F.col("rep").alias("component_id"))
     else:
