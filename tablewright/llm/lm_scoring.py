@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import checkpointed, map_arrow, map_batches, pick, tree_sum
 from tablewright.llm.contamination import words
 
-#: Words with a share of their own (broadcast, some MB); classes of one word; classes by ending.
+#: Most words with a share of their own (broadcast, some MB); classes of one word; classes by ending.
 VOCABULARY, SINGLE, ENDINGS = 50_000, 191, 64
 CLASSES = SINGLE + ENDINGS
 PAD = CLASSES  # what lies outside the text
@@ -82,11 +82,21 @@ class Vocabulary:
 
     @staticmethod
     def of(counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-        top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+        # Words by steps of their count's logarithm (a few thousand steps at most), so only frequent words come to the driver.
+        step = F.floor(F.log2("n") * 64).cast("int")
+        steps = sorted(((r.step, r.kinds) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("kinds")).collect()), reverse=True)
+        least, room = None, size
+        for at, kinds in steps:
+            room -= kinds
+            if room < 0:
+                break
+            least = at
+        top = [] if least is None else counts.where(step >= least).collect()
+        top = sorted(top, key=lambda r: (-r.n, bytes(r.word)))
         per_class = {r.ending: (r.n, r.kinds) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
         known = [bytes(r.word) for r in top]
         n = np.array([r.n for r in top], float)
-        classes = np.array([i if i < SINGLE else r.ending for i, r in enumerate(top)], np.int64)
+        classes = np.array([i if i < SINGLE else r.ending for i, r in enumerate(top)], np.int64).reshape(-1)
         own = np.array([r.ending for r in top], np.int64)
         total, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
         for c, (m, k) in per_class.items():
