@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import bounded_batches, checkpointed, col, held_out, map_batches, pick, tree_sum
 from tablewright.llm.samples import labelled, with_text
 
-#: Labelled rows the weights are fitted to, at most; n-grams kept; hash buckets.
-SAMPLE, FEATURES, BUCKETS = 40_000, 4096, 1 << 20
+#: Labelled rows the weights are fitted to, at most; n-grams kept, at most; least log ratio of one; hash buckets.
+SAMPLE, FEATURES, LEAST_RATIO, BUCKETS = 20_000, 2048, 1.0, 1 << 20
 SIZES = (4, 5)
 MODULUS, REST, THRESHOLD = 3, 1, 0.7
 STEPS, RIDGE = 200, 2.0
@@ -79,7 +79,7 @@ class Linear:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """Texts by label, and texts holding each bucket by label: of fixed size whatever the data."""
-    counts = np.zeros((2, BUCKETS + 1), np.int64)
+    counts = np.zeros((2, BUCKETS + 1), np.int32)  # the sample is bounded, so are they
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("label")):
             row = counts[int(label.as_py() >= 0.5)]
@@ -91,8 +91,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
 def _regress(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on scaled presences; accelerated gradient steps of bounded length."""
     lengths = np.array([len(r) for r in rows])
-    places = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
+    places = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     n = len(y)
     mean = y.mean()
     weights, bias = np.zeros(len(scale)), float(np.log(mean / (1 - mean)))
@@ -119,7 +119,7 @@ def _regress(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple[
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Linear:
     """Weights from at most ``bound`` labelled texts."""
     sample = checkpointed(with_text(df, labelled(labels, label_col, bound, MODULUS, REST), id_col, text_col))
-    counts = tree_sum(sample, _counts, lambda a, b: a + b, np.zeros((2, BUCKETS + 1), np.int64))
+    counts = tree_sum(sample, _counts, lambda a, b: np.add(a, b, out=a), np.zeros((2, BUCKETS + 1), np.int32))
     texts, counts = counts[:, BUCKETS], counts[:, :BUCKETS]
     if texts.min() == 0:
         mean = min(max(texts[1] / max(1, texts.sum()), 1e-9), 1 - 1e-9)
@@ -127,7 +127,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int =
     other, toxic = counts + 1.0
     ratio = np.log(toxic / (texts[1] + 2)) - np.log(other / (texts[0] + 2))
     surety = np.abs(ratio) / np.sqrt(1 / toxic + 1 / other)
-    surety[counts.sum(axis=0) < 5] = 0
+    surety[(counts.sum(axis=0) < 5) | (np.abs(ratio) < LEAST_RATIO)] = 0
     kept = np.sort(np.argsort(-surety, kind="stable")[:FEATURES])
     kept = kept[surety[kept] > 0]
     model = Linear(kept, ratio[kept], 0.0)
@@ -136,12 +136,12 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int =
     def places(batch: pa.RecordBatch) -> dict:
         table = shared.value.table()
         found = [np.unique(table[grams(t.as_py())]) for t in batch.column("text")]
-        return {"places": [f[f > 0] - 1 for f in found], "label": batch.column("label")}
+        return {"places": [(f[f > 0] - 1).tobytes() for f in found], "label": batch.column("label")}
 
-    rows = map_batches(sample, pa.schema([("places", pa.list_(pa.int16())), ("label", pa.float64())]), places).collect()
+    rows = map_batches(sample, pa.schema([("places", pa.binary()), ("label", pa.float64())]), places).collect()
     # Rows come in any order; the weights must not depend on it.
-    rows = sorted((tuple(r.places), r.label) for r in rows)
-    weights, bias = _regress([np.array(p, np.int64) for p, _ in rows], np.array([float(y >= 0.5) for _, y in rows]), ratio[kept])
+    rows = sorted((bytes(r.places), r.label >= 0.5) for r in rows)
+    weights, bias = _regress([np.frombuffer(p, np.int16) for p, _ in rows], np.array([float(y) for _, y in rows]), ratio[kept])
     return Linear(kept, weights * ratio[kept], bias)
 
 
