@@ -39,7 +39,7 @@ _BYTE, _NORMAL, _USER = 6, 1, 4
 class Pieces:
     """The pieces of a model file, with encoder and decoder."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 150_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
@@ -89,7 +89,7 @@ class Pieces:
         """Whether merging both texts together gives exactly these two pieces."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= self.cache // 2:
+            if len(self.pairs) >= self.cache:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known

@@ -110,7 +110,7 @@ def frequent_pre_tokens(df: DataFrame, path: str, entries: int) -> dict[str, int
 
 
 def token_counts(
-    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", entries: int = 32768, cache: int = 400_000
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", entries: int = 32768, cache: int = 300_000
 ) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens)`` of every row, as the tokenizer file at ``path`` counts.
 
