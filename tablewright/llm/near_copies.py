@@ -274,14 +274,14 @@ def _rest_pairs(members: DataFrame, active: DataFrame, percent: int) -> DataFram
     there = members.join(mixed, "key")
     keys = there.groupBy("class").agg(F.collect_set("key").alias("keys"))  # at most one per band
     left = there.join(active.select("class", "n", *bits), "class").join(keys, "class")
-    right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "comp", "n", "keys", *bits)])
+    right = left.select(*[F.col(c).alias(f"{c}_b") for c in ("key", "class", "comp", "n", "keys", *bits)])
     apart = (1 - percent / 100) / 2
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"{bits[0]}_b"))))
     room = F.sqrt(F.lit(apart * (1 - apart)) / F.least(F.col("n"), F.col("n_b"), F.lit(REGISTERS)))
     fits = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (differ <= REGISTERS * (apart + 4.5 * room))
     # Of all buckets that hold both, only the one with the smallest key gives the pair.
-    once = left["key"] == F.array_min(F.array_intersect("keys", "keys_b"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("comp") < F.col("comp_b")) & fits & once)
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "keys_b"))
+    pairs = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("comp") < F.col("comp_b")) & fits & once)
     return pairs.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b"))
 
 
