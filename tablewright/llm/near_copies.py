@@ -12,7 +12,7 @@
    group of thousands of copies is one component long before that.
 
 With 56 bands of 7 registers a pair of similarity 0.8 is missed by all bands with a
-chance of about 2 in a million; the estimate leaves six standard errors of room.
+chance of about 2 in a million; the estimate leaves 4.5 standard errors of room.
 
 Words: A-Z lower-cased, maximal runs without blanks (x20, x09 to x0D).  Shingles are told
 apart by 64 bits.  Results of odd input: null texts and texts without words have no
@@ -36,6 +36,8 @@ from tablewright.llm.common import checkpointed, map_batches, pick, tree_sum
 
 PERCENT, WORDS = 80, 2
 REGISTERS, MANTISSA, BANDS, BAND_ROWS = 256, 10, 56, 7
+#: Standard errors that the estimate leaves to a pair (4.5: three in a million pairs at the limit), and rounds of leaders.
+ERRORS, ROUNDS = 4.5, 2
 #: Least and greatest size of the bit filter that keeps texts without candidates out of the
 #: shuffle.  It holds 16 bits per candidate up to 32 MB; beyond that it only saves less work.
 FILTER_BITS = (1 << 20, 1 << 28)
@@ -294,7 +296,7 @@ def _likely(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
         n = [batch.column(f"n_{s}").to_numpy() for s in "ab"]
         least = percent / 100
         error = np.sqrt(least * (1 - least) / np.minimum(REGISTERS, np.minimum(*n)))
-        good = estimate(_registers(batch, "reg_a"), _registers(batch, "reg_b"), *n) >= least - 6 * error
+        good = estimate(_registers(batch, "reg_a"), _registers(batch, "reg_b"), *n) >= least - ERRORS * error
         return {c: batch.column(c).filter(pa.array(good)) for c in PAIRS.names}
 
     return map_batches(both, PAIRS, run)
@@ -358,8 +360,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     sets = checkpointed(_sets_of(rows, active, words))
     now = members.withColumn("comp", F.col("class"))
     tested = links = comps = None
-    for step in range(3):
-        pairs = _leader_pairs(now, step) if step < 2 else _rest_pairs(now, active, percent)
+    for step in range(ROUNDS + 1):
+        pairs = _leader_pairs(now, step) if step < ROUNDS else _rest_pairs(now, active, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         likely = checkpointed(_likely(pairs, active, percent))
