@@ -59,26 +59,26 @@ def run(df: DataFrame, mode: str = "full", options: Options | None = None) -> di
     options = options or Options()
     df = nan_to_null(df)
     out: dict[str, DataFrame] = {"validation": validate.validate(df, options.required)}
-    table = df
+    # A forecast alone is one of the processed table, too.
+    table = df if mode == "insights_only" else prepared(df, options)
     if mode in ("full", "process_only"):
-        table = prepared(df, options)
         out["processed"] = table
         out["cleaning_report"] = clean.cleaning_report(df, options.strategy, options.dedupe)
     if mode in ("full", "insights_only"):
-        out.update(_insights(df, table, options))
+        out.update(_insights(table, options))
     if mode in ("full", "forecast_only") and options.date and options.target:
-        ahead = arima.forecast(df, options.date, options.target, options.periods, options.model, by=options.by)
+        ahead = arima.forecast(table, options.date, options.target, options.periods, options.model, by=options.by)
         out["forecast"] = ahead
-        out["forecast_chart"] = forecast.chart_series(df, options.date, options.target, ahead, options.by)
+        out["forecast_chart"] = forecast.chart_series(table, options.date, options.target, ahead, options.by)
     return out
 
 
-def _insights(df: DataFrame, table: DataFrame, options: Options) -> dict[str, DataFrame]:
+def _insights(table: DataFrame, options: Options) -> dict[str, DataFrame]:
     numbers, texts = numeric_columns(table), text_columns(table)
     out = {
-        "summary": profile.summary(df),
-        "missing": profile.missing(df),
-        "complete_rows": profile.complete_rows(df),
+        "summary": profile.summary(table),
+        "missing": profile.missing(table),
+        "complete_rows": profile.complete_rows(table),
         "description": profile.description_lines(table),
     }
     if numbers:

@@ -26,12 +26,10 @@ def write_files(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def write_table(df: DataFrame, table: str, mode: str = "append") -> None:
-    """Catalog table, made if absent; ``replace`` drops the old content first."""
+    """Catalog table, made if absent; ``replace`` puts the new content in place of the old."""
     if mode not in ("append", "replace"):
         raise ValueError(f"Unknown write mode: {mode}")
-    if mode == "replace":
-        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
-    df.write.mode("append").saveAsTable(table)
+    df.write.mode("overwrite" if mode == "replace" else "append").saveAsTable(table)
 
 
 def insights_document(df: DataFrame, file_name: str, insights: Column, use_cases: Column) -> DataFrame:

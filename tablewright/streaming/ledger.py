@@ -21,10 +21,12 @@ def new_files(files: DataFrame, processed: DataFrame, path: str = "path") -> Dat
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger written so far; empty before the first file."""
+    """The ledger written so far; empty before the first file.  A ledger that cannot be read is an error."""
     try:
         return spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LEDGER_SCHEMA)
 
 

@@ -36,7 +36,9 @@ def _start_time(spark: SparkSession, state: str, start: dt.datetime | None) -> d
     place = f"{state}/start"
     try:
         return spark.read.schema("start timestamp").json(place).first()["start"]
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         moment = start or dt.datetime.now()
         spark.createDataFrame([(moment,)], "start timestamp").coalesce(1).write.json(place)
         return spark.read.schema("start timestamp").json(place).first()["start"]
