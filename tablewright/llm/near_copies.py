@@ -7,9 +7,10 @@
 3. Bands of registers are the keys of candidate buckets.  Every class is held against its
    bucket's leader: first by the sketches' collision-corrected estimate, then by the full
    sets, made again from the texts.  Links give components.
-4. Buckets that still hold several components are looked at again with other leaders, and
-   at last between all members of different components, so no candidate is left out.  A
-   group of thousands of copies is one component long before that.
+4. Buckets that still hold several components are looked at again with leaders of their
+   largest one, and at last all members outside it are held against all members of other
+   components, so no candidate is left out.  A group of thousands of copies is one
+   component long before that.
 
 With 56 bands of 7 registers a pair of similarity 0.8 is missed by all bands with a
 chance of about 2 in a million; the estimate leaves 4.5 standard errors of room.
@@ -25,11 +26,11 @@ and kept; an empty table gives an empty table; columns other than id and text ar
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import checkpointed, map_batches, pick, tree_sum
@@ -41,6 +42,8 @@ ERRORS, ROUNDS = 4.5, 2
 #: Least and greatest size of the bit filter that keeps texts without candidates out of the
 #: shuffle.  It holds 16 bits per candidate up to 32 MB; beyond that it only saves less work.
 FILTER_BITS = (1 << 20, 1 << 28)
+#: Words of 64 bits of a set's parities.
+PARITY_WORDS = 16
 
 _U = np.uint64
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -158,6 +161,17 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("registers", pa.binary())])
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether each of ``64 * PARITY_WORDS`` places, dealt out by hash, holds an odd number of the set.
+
+    Every place in which two sets differ takes at least one shingle that only one of them
+    has, so the places that differ never exceed those shingles.
+    """
+    places = 64 * PARITY_WORDS
+    odd = np.bincount(((found >> _U(8)) % _U(places)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _class(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -217,7 +231,7 @@ def _active(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets_of(rows: DataFrame, active: DataFrame, words: int) -> DataFrame:
-    """``(class, set)`` of the active classes, made from their representatives' texts where these are."""
+    """``(class, set, parities)`` of the active classes, made from their representatives' texts where these are."""
     n = active.count()
     size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * n).bit_length()))
 
@@ -230,7 +244,8 @@ def _sets_of(rows: DataFrame, active: DataFrame, words: int) -> DataFrame:
 
     marked = tree_sum(active.select("class", "rep"), mark, np.bitwise_or, np.zeros(size // 8, np.uint8))
     bits = rows.sparkSession.sparkContext.broadcast(marked)
-    schema = pa.schema([("class", pa.int64()), ("set", pa.binary())])
+    names = [f"odd_{i}" for i in range(PARITY_WORDS)]
+    schema = pa.schema([("class", pa.int64()), ("set", pa.binary())] + [(name, pa.int64()) for name in names])
 
     def needed(batch: pa.RecordBatch) -> dict:
         found = _sets(batch.column("text"), words)
@@ -238,7 +253,8 @@ def _sets_of(rows: DataFrame, active: DataFrame, words: int) -> DataFrame:
         at = _filter_place(classes, batch.column("doc_id").to_numpy(), size)
         wanted = (bits.value[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1
         kept = [i for i, f in enumerate(found) if wanted[i] and len(f)]
-        return {"class": classes[kept], "set": [found[i].tobytes() for i in kept]}
+        odd = np.array([parities(found[i]) for i in kept], np.int64).reshape(-1, PARITY_WORDS)
+        return {"class": classes[kept], "set": [found[i].tobytes() for i in kept]} | dict(zip(names, odd.T))
 
     sets = map_batches(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), schema, needed)
     return sets.dropDuplicates(["class"]).join(active.select("class"), "class", "left_semi")
@@ -248,42 +264,57 @@ def _filter_place(classes: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray
     return mix(classes.astype(np.int64).view(_U) ^ mix(ids.astype(np.int64).view(_U))) & _U(size - 1)
 
 
-def _leader_pairs(members: DataFrame, salt: int) -> DataFrame:
+def _leaders(members: DataFrame, rank: Column) -> DataFrame:
+    """Of every bucket with several components: the largest one there, and the first of its members by ``rank``."""
+    first = F.min(F.struct(rank.alias("rank"), F.col("class").alias("a"))).alias("first")
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("size"), first)
+    lead = F.max(F.struct("size", "first.rank", "first.a", F.col("comp").alias("a_comp"))).alias("lead")
+    return sizes.groupBy("key").agg(lead, F.count("*").alias("n_comps")).where("n_comps > 1").select("key", "lead.a", "lead.a_comp")
+
+
+def _leader_pairs(members: DataFrame, step: int) -> DataFrame:
     """Pairs of a bucket's leader and its members of other components.
 
-    The leader is the member that a hash puts first, so each round has other ones.
+    At first all buckets of a group share few leaders, which settles most of the group by few
+    pairs.  Later each bucket has its own, so whoever is left meets as many leaders as it has
+    buckets, all of the component that most of the bucket belongs to.
     """
-    rank = F.xxhash64("class", F.lit(salt))
-    leaders = (
-        members.groupBy("key")
-        .agg(F.min(F.struct(rank.alias("rank"), F.col("class").alias("a"), F.col("comp").alias("a_comp"))).alias("lead"),
-             F.min("comp").alias("low"), F.max("comp").alias("high"))
-        .where("low <> high")
-        .select("key", "lead.a", "lead.a_comp")
-    )
-    pairs = members.join(leaders, "key").where("comp <> a_comp")
+    rank = F.xxhash64("class", F.lit(step)) if step == 0 else F.xxhash64("class", "key", F.lit(step))
+    pairs = members.join(_leaders(members, rank), "key").where("comp <> a_comp")
     return pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
 
 
-def _rest_pairs(members: DataFrame, active: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the buckets that still hold several, if size and register bits allow a link.
+def _differ(names: list[str]) -> Column:
+    """Number of bits in which the columns differ from those of the other side."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in names])
+
 
-    Bits of two registers differ with half the chance that the registers do; 4.5 standard
-    errors are left, of as many independent bits as the smaller set can have.
+def _rest_pairs(members: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in the buckets that still hold several, if sizes, parities and register bits allow a link.
+
+    One of the two is always outside the bucket's largest component, so only those are held
+    against the bucket.  Parities that differ are a lower bound of the shingles that do, so
+    they rule out no link, and few but links pass them in sets that are not much larger than
+    the parities.  For larger ones, bits of two registers differ with half the chance that
+    the registers do; 4.5 standard errors are left, of as many independent bits as the
+    smaller set can have.
     """
-    bits = [c for c in active.columns if c.startswith("bits_")]
-    mixed = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    there = members.join(mixed, "key")
+    bits, odd = ([c for c in df.columns if c.startswith(p)] for df, p in ((active, "bits_"), (sets, "odd_")))
+    there = members.join(_leaders(members, F.col("class")).select("key", "a_comp"), "key").withColumn("outside", F.expr("comp <> a_comp"))
     keys = there.groupBy("class").agg(F.collect_set("key").alias("keys"))  # at most one per band
-    left = there.join(active.select("class", "n", *bits), "class").join(keys, "class")
-    right = left.select(*[F.col(c).alias(f"{c}_b") for c in ("key", "class", "comp", "n", "keys", *bits)])
+    known = keys.join(active.select("class", "n", *bits), "class").join(sets.select("class", *odd), "class")
+    right = checkpointed(there.join(known, "class"))
+    left = right.where("outside").select(*[F.col(c).alias(f"{c}_b") for c in ("key", "class", "comp", "n", "keys", *bits, *odd)])
     apart = (1 - percent / 100) / 2
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"{bits[0]}_b"))))
     room = F.sqrt(F.lit(apart * (1 - apart)) / F.least(F.col("n"), F.col("n_b"), F.lit(REGISTERS)))
-    fits = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (differ <= REGISTERS * (apart + 4.5 * room))
+    alike = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (
+        (100 + percent) * _differ(odd) <= (100 - percent) * (F.col("n") + F.col("n_b"))
+    )
+    other = F.expr("NOT outside OR comp < comp_b") & (F.col("comp") != F.col("comp_b"))
     # Of all buckets that hold both, only the one with the smallest key gives the pair.
     once = F.col("key") == F.array_min(F.array_intersect("keys", "keys_b"))
-    pairs = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("comp") < F.col("comp_b")) & fits & once)
+    fits = alike & (_differ(bits) <= REGISTERS * (apart + 4.5 * room)) & once
+    pairs = left.join(right, (F.col("key") == F.col("key_b")) & other & fits)
     return pairs.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b"))
 
 
@@ -361,7 +392,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     now = members.withColumn("comp", F.col("class"))
     tested = links = comps = None
     for step in range(ROUNDS + 1):
-        pairs = _leader_pairs(now, step) if step < ROUNDS else _rest_pairs(now, active, percent)
+        pairs = _leader_pairs(now, step) if step < ROUNDS else _rest_pairs(now, active, sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         likely = checkpointed(_likely(pairs, active, percent))

@@ -297,3 +297,37 @@ def test_pipeline(spark, sf_dir):
     kept = kept.join(bad, "doc_id", "left_anti")
     want = sorted(map(tuple, pieces.encode_digests(kept, PIECES_FILE).collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == want and len(want) > 50
+
+
+def test_parities_rule_out_no_link():
+    """Places that differ never exceed the shingles that only one of two sets has."""
+    random = np.random.Generator(np.random.Philox(key=5))
+    for size in (0, 1, 40, 150, 3000):
+        base = random.integers(0, 1 << 63, size, dtype=np.uint64)
+        for own in (0, 1, 20, 700):
+            other = np.union1d(base[: size - min(size, own)], random.integers(0, 1 << 63, own, dtype=np.uint64))
+            differ = int(np.bitwise_count((near_copies.parities(base) ^ near_copies.parities(other)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(base, other))
+
+
+def test_large_group_around_the_limit(spark):
+    """Many texts of one base, most pairs of them just below the limit: the groups are those of all pairs."""
+    random = np.random.Generator(np.random.Philox(key=9))
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in random.choice(150, int(random.integers(4, 14)), replace=False):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    sets = [set(near_copies.shingles(t.encode()).tolist()) for t in texts]
+    comp = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    assert 1 < len(set(comp)) < 150
+    found = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(comp))
