@@ -266,8 +266,14 @@ def _forecast(row: dict, periods: int, z: float) -> dict:
     levels = [tail]
     for _ in range(d):
         levels.append(levels[-1][1:] - levels[-1][:-1])
-    w = list(np.nan_to_num(levels[d], nan=0.0))
     long_ar = list(row["long_ar"])
+    # A forecast needs the last p differences, and those that the last q shocks are made of.
+    needed = max(p, q + len(long_ar) - 1 if q else 0, 1)
+    if np.isnan(levels[d][-needed:]).any():
+        raise ValueError("the last rows of the series are missing")
+    if p > len(levels[d]):
+        raise ValueError(f"{p} lags are more than the rows kept from the end of the series")
+    w = list(np.nan_to_num(levels[d], nan=0.0))
     shocks = [0.0] * len(w)
     for t in range(len(long_ar) - 1, len(w)):
         shocks[t] = w[t] - long_ar[0] - sum(c * w[t - i] for i, c in enumerate(long_ar[1:], start=1))

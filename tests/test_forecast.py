@@ -248,3 +248,21 @@ def test_a_null_key_is_a_series(spark):
 def test_model_choice(spark, rhythms):
     daily = rhythms.where("series = 'daily'").drop("series")
     assert arima.forecast(daily, "ts", "v", 2, model="prophet").first()["model"] == "sma"
+
+
+def test_arima_null_among_needed_rows_is_an_error(spark):
+    """A hole among the last lags never counts as the value 0."""
+    from datetime import date, timedelta
+
+    import numpy as np
+
+    from tablewright.operators.arima import forecast
+
+    noise = np.random.Generator(np.random.Philox(key=3)).normal(size=60)
+    level = [0.0, 0.0]
+    for e in noise:
+        level.append(0.5 * level[-1] + 0.3 * level[-2] + float(e))
+    rows = [(date(2024, 1, 1) + timedelta(i), 1000 + v) for i, v in enumerate(level)]
+    rows[-2] = (rows[-2][0], None)
+    found = forecast(spark.createDataFrame(rows, "d date, v double"), "d", "v", periods=3, model="arima").collect()
+    assert all(r["value"] is None or r["value"] > 900 for r in found)
