@@ -20,28 +20,35 @@ POLL_SECONDS = 5  # pause between looks at the folder
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str = "*.*", files_per_batch: int = 1000) -> DataFrame:
-    """Stream of the files of a folder (path, modificationTime, length); contents are not read."""
+    """Stream of the files of a folder (path, modificationTime, length); contents are not read.
+
+    Files of any age are taken; the source remembers every path for that.
+    """
     return (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
         .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", "36500d")
         .load(folder)
         .select("path", "modificationTime", "length")
     )
 
 
-def _start_time(spark: SparkSession, state: str, start: dt.datetime | None) -> dt.datetime:
-    """The time the watch was first started, remembered beside the stream's checkpoint."""
-    place = f"{state}/start"
+def _present(spark: SparkSession, folder: str, glob: str, state: str, start: dt.datetime | None) -> DataFrame:
+    """Paths that were there when the watch was first started, remembered beside the stream's checkpoint."""
+    place = f"{state}/present"
     try:
-        return spark.read.schema("start timestamp").json(place).first()["start"]
+        return spark.read.parquet(place)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        # A folder without a schema is what a first start leaves that was lost while it wrote.
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        moment = start or dt.datetime.now()
-        spark.createDataFrame([(moment,)], "start timestamp").coalesce(1).write.json(place)
-        return spark.read.schema("start timestamp").json(place).first()["start"]
+        there = list_files(spark, folder, glob)
+        if start is not None:
+            there = there.where(F.col("modificationTime") <= F.lit(start))
+        there.select("path").write.mode("overwrite").parquet(place)
+        return spark.read.parquet(place)
 
 
 def _handle(path: str, on_file: Callable[[str], dict | None]) -> dict:
@@ -72,21 +79,21 @@ def watch(
 ) -> StreamingQuery:
     """Calls ``on_file(path)`` once for each supported file that arrives after the first start.
 
-    ``state`` is a folder on shared storage: it holds the stream's checkpoint,
-    the first start time and the ledger, so a restart goes on where it was.  A
+    Files are told apart by path: those there at the first start are left out, all
+    others are new, whatever their times.  With ``start``, only files there whose time is
+    not after it are left out.  ``state`` is a folder on shared storage: it holds the
+    stream's checkpoint, the paths left out and the ledger, so a restart goes on where it was.  A
     failing file gets an error row and is not tried again.  With
     ``poll_seconds=None`` everything present is handled and the query ends.
     """
-    began = _start_time(spark, state, start)
+    present = _present(spark, folder, glob, state, start)
     ledger = f"{state}/ledger"
-    arrived = file_stream(spark, folder, glob, files_per_batch).where(
-        is_supported(F.col("path")) & (F.col("modificationTime") > F.lit(began))
-    )
+    arrived = file_stream(spark, folder, glob, files_per_batch).where(is_supported(F.col("path")))
 
     def handle(batch: DataFrame, _: int) -> None:
         # A batch that is run again after a failure skips what the ledger already has.
         done = read_ledger(spark, ledger).select(F.col("file_path").alias("path")).distinct()
-        todo = batch.select("path").distinct().join(done, "path", "left_anti")
+        todo = batch.select("path").distinct().join(present, "path", "left_anti").join(done, "path", "left_anti")
         # Bounded by files_per_batch.
         for results in _handle_all((r["path"] for r in todo.toLocalIterator()), on_file, parallel):
             append_results(spark, ledger, results)

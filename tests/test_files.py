@@ -215,6 +215,26 @@ def test_stream_sees_each_new_file_once_across_a_restart(spark, tmp_path):
     assert got == {"new": ("success", None), "late": ("success", None), "bad": ("error", "cannot read this one")}
 
 
+def test_stream_goes_by_path_and_not_by_time(spark, tmp_path):
+    source, state, seen = tmp_path / "in", str(tmp_path / "state"), []
+
+    def on_file(path):
+        seen.append(path.rsplit("/", 1)[1])
+
+    def look():
+        watch.watch(spark, str(source), state, on_file, poll_seconds=None).awaitTermination()
+
+    there = put(source / "there.csv", "a\n1\n")
+    os.utime(there, (time.time() + 3600, time.time() + 3600))
+    look()
+    assert seen == []
+    for name, days in (("unpacked.csv", 30), ("copied.csv", 1)):
+        os.utime(put(source / name, "a\n2\n"), (time.time() - days * 86400,) * 2)
+    look()
+    look()
+    assert sorted(seen) == ["copied.csv", "unpacked.csv"]
+
+
 def test_run_modes(spark):
     rows = [(i, ["x", "y"][i % 2], float(i % 7) if i % 5 else None, dt.date(2024, 1, 1) + dt.timedelta(days=i)) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, k string, v double, d date")
