@@ -15,6 +15,7 @@ from tablewright.sources.text import BLANKS
 CASE = "struct<title:string,description:string,impact:string,effort:string>"
 _LINES = "array<struct<line:string,title:boolean,label:string,level:string>>"
 # What a case gets for a part that its text does not give.
+NO_TITLE = "Untitled Use Case"
 NO_DESCRIPTION = "No description provided"
 NO_LEVEL = "Medium"
 # The case reported for a text without any.
@@ -141,7 +142,7 @@ def extract_cases(df: DataFrame, text: str = "text", keep: list[str] | None = No
     rows = parsed.select(*[col(k) for k in keep], source.alias("source"), F.posexplode(cases).alias("pos", "case"))
     parts = {p: F.col(f"case.{p}") for p in ("title", "description", "impact", "effort")}
     if fill_json:
-        parts["title"] = F.coalesce(parts["title"], F.lit("Untitled Use Case"))
+        parts["title"] = F.coalesce(parts["title"], F.lit(NO_TITLE))
         parts["description"] = F.coalesce(parts["description"], F.lit(NO_DESCRIPTION))
         parts["impact"] = F.coalesce(parts["impact"], F.lit(NO_LEVEL))
         parts["effort"] = F.coalesce(parts["effort"], F.lit(NO_LEVEL))
