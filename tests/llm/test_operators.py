@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -153,6 +154,25 @@ def test_toxicity(spark, odd):
     assert all(r.score < 1e-6 for r in toxicity.score(odd, none).collect())
 
 
+def test_toxicity_keeps_rare_and_weak_evidence(spark):
+    """Thousands of surer n-grams of one source leave room for the evidence of a small one."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefghijklm") for _ in range(7))
+    bad, plain = [word() for _ in range(900)], [word() for _ in range(300)]
+    rows = [(" ".join(draw.sample(bad, 60) + draw.sample(plain, 10)), 1) for _ in range(300)]
+    rows += [(" ".join(draw.sample(plain, 70)), 0) for _ in range(300)]
+    rows += [(f"{'zorvux' if i % 2 else 'wyquop'} {' '.join(draw.sample(plain, 5))}", i % 2) for i in range(24)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"))
+    assert set(toxicity.grams("zorvux").tolist()) <= set(model.buckets.tolist())
+    table, rest = model.table(), " ".join(plain[:5])
+    assert model.score(f"zorvux {rest}", table) > model.score(f"wyquop {rest}", table) + 0.3
+    # The sample's counts by hand: every n-gram that enough rows hold has a weight, however even its counts.
+    sampled = [t for i, (t, _) in enumerate(rows) if zlib.crc32(str(i).encode()) % toxicity.MODULUS != toxicity.REST]
+    held = Counter(g for t in sampled for g in np.unique(toxicity.grams(t)).tolist())
+    assert set(model.buckets.tolist()) == {g for g, n in held.items() if n >= 5}
+
+
 def test_language(spark, odd):
     folder = "/root/testdata/sf0.01"
     docs = read(spark, folder, "documents")
