@@ -7,9 +7,9 @@ classed by their last two bytes.
 * Words are counted over all texts, so shares, classes and the room left for unknown
   words come from the whole corpus.
 * The class network (position tables of the four neighbours, one hidden layer, softmax)
-  is trained in numpy on every ``STRIDE``-th word of every text: each partition takes
-  gradient steps on its own windows, then the parameters are averaged in a tree, for a
-  few rounds.  What is gathered grows with the corpus; each message has a fixed size.
+  is trained in numpy on every word of every text, once: in each of a few rounds, every
+  partition takes gradient steps on its share of its own words, then the parameters are
+  averaged in a tree.  What is gathered grows with the corpus; each message has a fixed size.
 * All words of all texts are then scored.
 
 Words: A-Z lower-cased, runs of letters, digits and signs beyond ASCII.  Results of odd
@@ -38,9 +38,10 @@ from tablewright.llm.contamination import words
 VOCABULARY, SINGLE, ENDINGS = 50_000, 191, 64
 CLASSES = SINGLE + ENDINGS
 PAD = CLASSES  # what lies outside the text
-HIDDEN, STRIDE, ROUNDS, BATCH, STEP = 32, 32, 3, 512, 0.01
+HIDDEN, ROUNDS, BATCH, STEP = 32, 3, 512, 0.01
 _FLUSH, _CHUNK = 300_000, 2048
 _AROUND = (0, 1, 3, 4)  # of a window of five
+_WINDOW = np.arange(-2, 3)
 
 
 def ending(word: bytes) -> int:
@@ -183,23 +184,23 @@ def _gradients(network: Network, window: np.ndarray) -> list[np.ndarray]:
     n = len(window)
     around, target = [window[:, i] for i in _AROUND], window[:, 2]
     hidden = network.hidden(around)
-    error = hidden @ network.out + network.out_bias
+    error = hidden @ network.out
+    error += network.out_bias
     np.exp(error, out=error)
     error /= error.sum(axis=1, keepdims=True)
     error[np.arange(n), target] -= 1
     error /= n
     back = (error @ network.out.T) * (1 - hidden * hidden)
-    tables = np.empty_like(network.tables)
-    rows = np.arange(n)
-    for i, classes in enumerate(around):
-        which = np.zeros((n, CLASSES + 1), np.float32)
-        which[rows, classes] = 1
-        tables[i] = which.T @ back
+    tables = np.zeros_like(network.tables)
+    for table, classes in zip(tables, around):
+        order = np.argsort(classes, kind="stable")
+        present, first = np.unique(classes[order], return_index=True)
+        table[present] = np.add.reduceat(back[order], first, axis=0)
     return [tables, back.sum(axis=0), hidden.T @ error, error.sum(axis=0)]
 
 
 def train(samples: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """Rounds of local steps on each partition's windows, and averages weighted by their number."""
+    """Rounds of local steps on each partition's words, each word in one round, and averages weighted by their number."""
     network = Network.start(prior)
     for turn in range(rounds):
         shared = samples.sparkSession.sparkContext.broadcast(network)
@@ -208,12 +209,12 @@ def train(samples: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> Networ
             own = Network(*[p.copy() for p in shared.value.parts()])
             steps, random, seen = _Adam(own), np.random.Generator(np.random.Philox(key=turn)), 0
             for batch in batches:
-                for value in batch.column("windows"):
-                    window = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 5)
-                    window = window[random.permutation(len(window))]
-                    for at in range(0, len(window), BATCH):
-                        part = window[at : at + BATCH]
-                        steps.step(own, _gradients(own, part))
+                for value in batch.column("classes"):
+                    padded = np.frombuffer(value.as_buffer(), np.uint8)
+                    middles = random.permutation(middles_of(padded, turn, rounds))
+                    for at in range(0, len(middles), BATCH):
+                        part = middles[at : at + BATCH]
+                        steps.step(own, _gradients(own, padded[part[:, None] + _WINDOW]))
                         seen += len(part)
             return seen, [p.astype(np.float64) * seen for p in own.parts()]
 
@@ -235,19 +236,20 @@ def _coded(batch: pa.RecordBatch, numbers: _Numbers) -> list[np.ndarray]:
     return [np.fromiter(map(numbers.__getitem__, f), np.int64, len(f)) for f in found]
 
 
-def training_windows(rows: DataFrame, vocabulary, stride: int = STRIDE) -> DataFrame:
-    """Every ``stride``-th word of every text with its neighbours, five classes each; the first place depends on the text."""
-    schema = pa.schema([("windows", pa.binary())])
+def middles_of(padded: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Places of the words that a round trains on; the rounds share out all words."""
+    return np.flatnonzero(padded != PAD)[turn::rounds]
+
+
+def training_classes(rows: DataFrame, vocabulary) -> DataFrame:
+    """Classes of every word of every text, one byte each, with pads between texts."""
+    schema = pa.schema([("classes", pa.binary())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        known = vocabulary.value
-        numbers, out = _numbers_of(vocabulary), []
-        for n in _coded(batch, numbers):
-            first = int(n[: 4 * stride].sum()) % stride
-            at = np.arange(first, len(n), stride)
-            padded = windows([n], known.classes)
-            out.append(np.stack([padded[at + i] for i in range(5)], axis=1))
-        return {"windows": [np.concatenate(out).tobytes()]}
+        known, numbers, out = vocabulary.value, _numbers_of(vocabulary), []
+        for at in range(0, batch.num_rows, 64):
+            out.append(windows(_coded(batch.slice(at, 64), numbers), known.classes).tobytes())
+        return {"classes": [b"".join(out)]}
 
     return map_batches(rows.select("text"), schema, run)
 
@@ -265,7 +267,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     rows = pick(df, doc_id=(id_col, "bigint"), text=(text_col, "string"))
     context = df.sparkSession.sparkContext
     vocabulary = context.broadcast(Vocabulary.of(checkpointed(word_counts(rows)), size))
-    samples = checkpointed(training_windows(rows, vocabulary))
+    samples = checkpointed(training_classes(rows, vocabulary))
     network = context.broadcast(train(samples, vocabulary.value.prior))
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -292,6 +292,19 @@ def test_lm_scores(spark, odd):
     assert lm_scoring.lm_scores(odd).count() == odd.count()
 
 
+def test_lm_trains_on_every_word(spark):
+    """Texts of three words teach the network as long ones do, and each word is trained on in one round."""
+    phrases = [[f"a{i}", f"b{i}", f"c{i}"] for i in range(20)]
+    rows = [(i, " ".join(phrases[i % 20])) for i in range(20_000)]
+    rows += [(-1 - i, f"a{i} b{(i + 7) % 20} c{i}") for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    scores = {r.doc_id: r.per_word for r in lm_scoring.lm_scores(table).where("doc_id < 20").collect()}
+    assert min(scores[i] - scores[-1 - i] for i in range(20)) > 0.3
+    padded = lm_scoring.windows([np.arange(n) for n in (1, 0, 40, 2)], np.arange(50))
+    parts = [lm_scoring.middles_of(padded, turn, 3).tolist() for turn in range(3)]
+    assert sorted(sum(parts, [])) == [i for i, c in enumerate(padded) if c != lm_scoring.PAD] and sum(map(len, parts)) == 43
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_empty_tables(spark, tmp_path, sf_dir, name):
     for t in ("documents", "benchmark", "labels", "conversations"):
