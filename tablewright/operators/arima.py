@@ -37,8 +37,7 @@ from tablewright.operators.forecast import (
     window_rows,
 )
 
-MAX_LAG = 12  # largest lag of the unit-root test: the usual rule's value at 100 rows
-EDGE = 32  # rows kept from both ends of a series for start values
+EDGE = 32  # rows kept from both ends of a series for start values, at least
 # Published response-surface coefficients of the Dickey-Fuller distribution (constant, one variable).
 DF_MIN, DF_MAX, DF_STAR = -18.83, 2.74, -1.61
 DF_LEFT = (2.1659, 1.4412, 0.038269)
@@ -55,15 +54,28 @@ def df_pvalue(stat: float) -> float:
     return NormalDist().cdf(sum(c * stat**i for i, c in enumerate(coefficients)))
 
 
-def _test_lags(n: int, max_lag: int) -> int:
-    return min(max_lag, math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+def _test_lags(n: int, max_lag: int | None) -> int:
+    """Lags of the unit-root test: the usual rule, or fewer where the caller says so."""
+    lags = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+    return lags if max_lag is None else min(max_lag, lags)
 
 
-def _depth(n: int, max_lag: int) -> int:
+def _depth(n: int, max_lag: int | None) -> int:
     """Differences kept per row: enough for the tests on the series and on its first difference."""
     return max(_test_lags(n, max_lag), _test_lags(n - 1, max_lag) + 1)
 
 
+def _long(n: int, p: int, q: int) -> int:
+    """Lags of the long autoregression."""
+    return max(1, min(max(2 * (p + q), 4), n // 4))
+
+
+def _full_depth(n: int, max_lag: int | None, max_order: tuple[int, int, int], order: tuple[int, int, int] | None) -> int:
+    """Differences kept per row: enough for the tests and for the long autoregression on any difference."""
+    p, _, q = order or max_order
+    return max(_depth(n, max_lag), _long(n, p, q) + 1)
+
+
 def _basis(y: np.ndarray, depth: int) -> np.ndarray:
     """Rows ``(1, y[t-1], d[t], d[t-1], …, d[t-depth])`` with d the first difference; NaN where out of reach."""
     out = np.full((len(y), depth + 3), np.nan)
@@ -149,7 +161,7 @@ def _solve(gram: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     return beta, max(float(yy - beta @ xy), 0.0), inverse
 
 
-def _unit_root(m: _Moments, d: int, n: int, max_lag: int) -> float:
+def _unit_root(m: _Moments, d: int, n: int, max_lag: int | None) -> float:
     """p-value of the unit-root test on the d-th difference (n rows)."""
     lags = min(_test_lags(n, max_lag), m.depth - d)
     if lags < 0:
@@ -176,18 +188,18 @@ def _unit_root(m: _Moments, d: int, n: int, max_lag: int) -> float:
     return df_pvalue(beta[0] / math.sqrt(variance))
 
 
-def _ends(points: Sequence, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last rows of a series from its collected edge points."""
+def _ends(points: Sequence, n: int, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last ``edge`` rows of a series from its collected edge points."""
     values = {p["t"]: np.nan if p["value"] is None else p["value"] for p in points}
-    head = np.array([values[t] for t in range(1, min(n, EDGE) + 1)], dtype=float)
-    tail = np.array([values[t] for t in range(max(1, n - EDGE + 1), n + 1)], dtype=float)
+    head = np.array([values[t] for t in range(1, min(n, edge) + 1)], dtype=float)
+    tail = np.array([values[t] for t in range(max(1, n - edge + 1), n + 1)], dtype=float)
     return head, tail
 
 
-def _choose(row: dict, max_lag: int, order: tuple[int, int, int] | None) -> dict:
+def _choose(row: dict, max_lag: int | None, order: tuple[int, int, int] | None, edge: int) -> dict:
     """Orders and long autoregression of one series from its sums."""
     n = int(row["n"])
-    head, _ = _ends(row["edge"], n)
+    head, _ = _ends(row["edge"], n, edge)
     if row["sums"] is None or len(row["sums"]) == 0:
         raise ValueError("sample size is too short for the unit-root test")
     moments = _Moments(_unflatten(list(row["sums"])), head)
@@ -198,7 +210,7 @@ def _choose(row: dict, max_lag: int, order: tuple[int, int, int] | None) -> dict
         if _unit_root(moments, 0, n, max_lag) > 0.05:
             d = 2 if _unit_root(moments, 1, n - 1, max_lag) > 0.05 else 1
         p, q = int(row["p"]), int(row["q"])
-    long = max(1, min(moments.depth - 1, max(2 * (p + q), 4), n // 4))
+    long = _long(n, p, q)
     one = np.zeros(moments.size)
     one[0] = 1
     inputs = [one, *[moments.lagged(d, i) for i in range(1, long + 1)]]
@@ -236,7 +248,7 @@ def _damped(coefficients: np.ndarray, sign: float) -> np.ndarray:
     return coefficients * (0.99 / largest) ** np.arange(1, len(coefficients) + 1)
 
 
-def _forecast(row: dict, periods: int, z: float) -> dict:
+def _forecast(row: dict, periods: int, z: float, edge: int) -> dict:
     """Coefficients, fit measures and forecast of one series from the second-step sums."""
     p, d, q, n = int(row["p"]), int(row["d"]), int(row["q"]), int(row["n"])
     gram = _unflatten(list(row["sums2"]))
@@ -262,7 +274,7 @@ def _forecast(row: dict, periods: int, z: float) -> dict:
     k = p + q + 1 + int(constant)
     loglik = -rows / 2 * (math.log(2 * math.pi * sigma2) + 1)
 
-    _, tail = _ends(row["edge"], n)
+    _, tail = _ends(row["edge"], n, edge)
     levels = [tail]
     for _ in range(d):
         levels.append(levels[-1][1:] - levels[-1][:-1])
@@ -272,7 +284,7 @@ def _forecast(row: dict, periods: int, z: float) -> dict:
     if np.isnan(levels[d][-needed:]).any():
         raise ValueError("the last rows of the series are missing")
     if p > len(levels[d]):
-        raise ValueError(f"{p} lags are more than the rows kept from the end of the series")
+        raise ValueError(f"{p} lags are more than the rows of the series")
     w = list(np.nan_to_num(levels[d], nan=0.0))
     shocks = [0.0] * len(w)
     for t in range(len(long_ar) - 1, len(w)):
@@ -373,7 +385,7 @@ def forecast_arima(
     by: Sequence[str] = (),
     confidence: float = 0.95,
     order: tuple[int, int, int] | None = None,
-    max_lag: int = MAX_LAG,
+    max_lag: int | None = None,
     max_order: tuple[int, int, int] = (5, 2, 2),
     block_rows: int = 65536,
     window_fraction: float = 0.3,
@@ -382,7 +394,8 @@ def forecast_arima(
     """ARIMA forecast per series; a series that cannot be fitted gets its moving average with the reason kept.
 
     Columns as in ``forecast_sma`` plus ``p, d, q, aic, bic``.  Rows whose
-    needed lags are missing are left out of the fit.
+    needed lags are missing are left out of the fit.  Unit-root lags follow the usual rule,
+    ceil(12 (n/100)^0.25) for a series of n rows, unless ``max_lag`` bounds them.
     """
     return _rows(
         fit_arima(df, ts, value, periods, by, confidence, order, max_lag, max_order, block_rows, window_fraction, min_window),
@@ -401,7 +414,7 @@ def fit_arima(
     by: Sequence[str] = (),
     confidence: float = 0.95,
     order: tuple[int, int, int] | None = None,
-    max_lag: int = MAX_LAG,
+    max_lag: int | None = None,
     max_order: tuple[int, int, int] = (5, 2, 2),
     block_rows: int = 65536,
     window_fraction: float = 0.3,
@@ -419,17 +432,23 @@ def fit_arima(
     def first_step(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         n = int(pdf["n"].iloc[0])
-        depth = _depth(n, max_lag)
-        if _test_lags(n - 1, max_lag) < 0 or depth < 1:
+        depth = _full_depth(n, max_lag, max_order, order)
+        if _test_lags(n - 1, max_lag) < 0:
             return _sums(pdf, np.empty((0, 0)), keys)
         x = _basis(pdf["value"].to_numpy(dtype=float), depth)
         x = x[pdf["own"].to_numpy() & ~np.isnan(x).any(axis=1)]
         return _sums(pdf, x, keys)
 
-    blocks = in_blocks(slim, max_lag + 3, block_rows)
+    # Rows that the longest series' lags reach back to: some tens, as the rule grows with the fourth root.
+    depth = _full_depth(rows.agg(F.max("n")).first()[0] or 1, max_lag, max_order, order)
+    reach = depth + max(max_order[0], max_order[2], *(order or (0,))) + 4
+    # Start values: the lags of a forecast, behind them those of its shocks.
+    edge = max(EDGE, 2 * reach)
+    block_rows = max(block_rows, reach)
+    blocks = in_blocks(slim, depth + 3, block_rows)
     sums = blocks.groupBy(*key_cols, "block").applyInPandas(first_step, f"{key_schema}, i int, v double")
-    near_end = (F.col("t") <= EDGE) | (F.col("t") > F.col("n") - EDGE)
-    # At most 2 * EDGE rows per series are gathered.
+    near_end = (F.col("t") <= edge) | (F.col("t") > F.col("n") - edge)
+    # At most 2 * edge rows per series are gathered.
     edges = slim.where(near_end).groupBy(*key_cols).agg(
         F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("t", "value"))).alias("edge")
     )
@@ -437,7 +456,7 @@ def fit_arima(
     q = F.least(F.lit(max_order[2]), F.greatest(F.lit(1), F.floor(F.col("n") / 20).cast("int")))
     joined = _add_to_series(edges, _total(sums, keys, "sums"), keys).withColumns({"p": p, "q": q})
     # Kept: both later steps must see the same orders.
-    chosen = checkpointed(_per_row(joined, lambda r: _choose(r, max_lag, order), _CHOICE))
+    chosen = checkpointed(_per_row(joined, lambda r: _choose(r, max_lag, order, edge), _CHOICE))
 
     def second_step(key: tuple, pdf: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         if not len(plan) or not len(pdf):
@@ -453,7 +472,6 @@ def fit_arima(
         chosen.where("error IS NULL")
         .select(*key_cols, "p", "d", "q", "long_ar", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
     )
-    reach = max_lag + max(max_order[0], max_order[2], *(order or (0,))) + 4
     blocks2 = in_blocks(slim, reach, block_rows)
     sums2 = (
         blocks2.groupBy(*key_cols, "block")
@@ -462,7 +480,7 @@ def fit_arima(
     )
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
     ready = _add_to_series(chosen.drop("sums"), _total(sums2, keys, "sums2"), keys)
-    fitted = _per_row(ready, lambda r: _forecast(r, periods, z), _FIT).drop("edge", "sums2", "long_ar", "n")
+    fitted = _per_row(ready, lambda r: _forecast(r, periods, z, edge), _FIT).drop("edge", "sums2", "long_ar", "n")
     return _add_to_series(stats, fitted, keys).drop("_all")
 
 

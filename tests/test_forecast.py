@@ -224,6 +224,26 @@ def test_unit_root_from_sums_equals_least_squares(n):
         assert np.isclose(arima._unit_root(sums, 1, n - 1, 12), _unit_root_directly(np.diff(y), 12), atol=1e-6)
 
 
+def test_arima_lags_follow_the_rule_and_the_order(spark):
+    """Lags past 12 decide the differences of a series with a long season, and a long order uses all its lags."""
+    rng = np.random.default_rng(24)
+    y = rng.normal(size=2000)
+    for t in range(24, 2000):
+        y[t] += 0.99 * y[t - 24]
+    days = pd.date_range("2010-01-01", periods=2000)
+    df = spark.createDataFrame([(d.to_pydatetime(), float(x)) for d, x in zip(days, y)], "ts timestamp_ntz, v double")
+    rule = 10**6  # no cap: the rule's own number of lags
+    assert _unit_root_directly(y, 12) < 0.05 < _unit_root_directly(y, rule)
+    want = 1 + (_unit_root_directly(np.diff(y), rule) > 0.05)
+    for block_rows in (65536, 300):
+        got = arima.fit_arima(df, "ts", "v", 3, block_rows=block_rows).first()
+        assert got["error"] is None and got["d"] == want
+    assert arima.fit_arima(df, "ts", "v", 3, max_lag=12).first()["d"] == 0
+    long = arima.fit_arima(df, "ts", "v", 1, order=(36, 0, 0)).first()
+    assert long["error"] is None and len(long["ar"]) == 36
+    assert np.isclose(long["values"][0], long["const"] + np.dot(long["ar"], y[:-37:-1]))
+
+
 def test_unit_root_pvalues():
     # well-known critical values of the test with a constant: 1 %, 5 %, 10 %
     assert abs(arima.df_pvalue(-3.43) - 0.01) < 0.002
