@@ -13,7 +13,8 @@ Test items are searched in blocks of bounded size, each broadcast by itself.
 Words: A-Z lower-cased, then maximal runs of signs that are neither ASCII punctuation,
 blank nor control sign.  Results of odd input: null and empty texts have no words, so no
 hits and no contamination; items without words have no windows; equal items are found as
-often as they are listed; texts of any length are indexed whole (a long one is a block of
+often as they are listed; items without id are searched and their hits count, but they
+are in no list or number of items; texts of any length are indexed whole (a long one is a block of
 its own); repeated rows are counted one by one; empty tables give an empty table or no
 hits; columns other than id and text are not read.
 """
@@ -123,7 +124,7 @@ def _block(ids: list, raws: list[bytes], wanted: frozenset[bytes] | None) -> pa.
 class _Phrases:
     """Windows of some items, as rows of term numbers (-1 past the end of a short one)."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
         numbers: dict[bytes, int] = {}
         of: dict[tuple[int, ...], list[int]] = {}
         for item, found in items:
@@ -131,7 +132,7 @@ class _Phrases:
             for i in range(max(1, len(coded) - window + 1)):
                 of.setdefault(tuple(coded[i : i + window]), []).append(item)
         self.terms = list(numbers)
-        self.items = [sorted(set(x)) for x in of.values()]
+        self.items = [sorted(set(x) - {None}) for x in of.values()]  # items without id hit words, but have no id to list
         self.lengths = np.array([len(w) for w in of], np.int32)
         self.codes = np.full((len(of), window), -1, np.int32)
         for i, w in enumerate(of):
@@ -219,7 +220,7 @@ def search(index: DataFrame, items: list[tuple[int, list[bytes]]], window: int =
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     """Items with words, a bounded number of words at a time; partitions of the test table come to the driver one by one."""
     block, size = [], 0
-    for r in pick(benchmark, item_id=(id_col, "bigint"), text=(text_col, "string")).where("item_id is not null").toLocalIterator():
+    for r in pick(benchmark, item_id=(id_col, "bigint"), text=(text_col, "string")).toLocalIterator():
         found = words((r.text or "").encode())
         if found:
             block.append((r.item_id, found))
@@ -275,7 +276,7 @@ def _join_blocks(index: DataFrame, blocks: Iterable, window: int, slop: int) ->
     """
     found = None
     for items in blocks:
-        one = search(index, items, window, slop).where(F.size("near_items") + F.size("items") > 0)
+        one = search(index, items, window, slop).where(F.size("spans") + F.size("near_items") + F.size("items") > 0)
         one = checkpointed(one.select("block", "row", "spans", "items", "near_items"))
         found = one if found is None else found.unionByName(one)
     grouped = found.groupBy("block", "row").agg(

@@ -202,6 +202,16 @@ def test_contamination(spark, odd):
     assert contamination.contamination(odd, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_by_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c"), (5, "p q r s"), (6, "c d")], "item_id long, text string")
+    for block_words in (1000, 2):
+        rows = contamination.contamination(docs, items, block_words=block_words).collect()
+        assert {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in rows} == {(1, 3, 1, True), (2, 0, 0, False)}
+        alone = contamination.contamination(docs, items.where("item_id IS NULL"), block_words=block_words).collect()
+        assert {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in alone} == {(1, 2, 0, True), (2, 0, 0, False)}
+
+
 def test_near_copies_of_planted_groups(spark):
     draw = random.Random(2)
     words = [f"w{i}" for i in range(4000)]
