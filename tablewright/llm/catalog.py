@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from tablewright.llm import (
     chat,
     contamination,
+    exact_copies,
     language,
     lm_scoring,
     near_copies,
     pieces,
+    prefix_trie,
     quality_model,
     quality_rules,
+    repair,
     token_counts,
     toxicity,
 )
@@ -166,3 +169,124 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_lm_scoring")
 def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.lm_scores(read(spark, folder, "documents"))
+
+
+@query(
+    "op11_exact_copies",
+    r"""
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+           sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+)
+def op11_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_copies.exact_copies(read(spark, folder, "documents"))
+
+
+#: crc32 of an ASCII text, which the other engine has no function for.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({s}) + 1), lambda i: ord(substr({s}, i, 1))::BIGINT)),
+            lambda c, b: xor(c >> 8, list_reduce(list_prepend(xor(c, b) & 255, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                lambda d, z: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END))), 4294967295)"""
+
+
+@query(
+    "op12_conversation_repair",
+    r"""
+    WITH RECURSIVE raw AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+    fate AS (SELECT *, """ + _CRC.format(s="name") + r""" % 20 AS f FROM raw),
+    hurt AS (
+        SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+               CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS again
+        FROM fate WHERE f <> 0),
+    line AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), again) AS i,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS seen,
+               regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending, left(role, 1) AS letter
+        FROM hurt),
+    row_fault AS (
+        SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+               lag(letter) OVER (PARTITION BY conv_id ORDER BY i) || letter AS pair
+        FROM line),
+    counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+               count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+        FROM row_fault GROUP BY conv_id),
+    -- From the last row on: cost and audit of what is left, behind nothing (q), a system (s), a user (u) and an assistant (a) row.
+    togo AS (
+        SELECT conv_id, n AS i, {'c': 0::BIGINT, 'e': ''} AS q, {'c': 4::BIGINT, 'e': 'II'} AS s, {'c': 2::BIGINT, 'e': 'I'} AS u, {'c': 0::BIGINT, 'e': ''} AS a FROM counts
+        UNION ALL
+        SELECT conv_id, i, list_min([q, {'c': 2 + list_min([u, {'c': 2 + a.c, 'e': 'I' || a.e}]).c, 'e': 'I' || list_min([u, {'c': 2 + a.c, 'e': 'I' || a.e}]).e}]),
+               list_min([s, {'c': 2 + list_min([u, {'c': 2 + a.c, 'e': 'I' || a.e}]).c, 'e': 'I' || list_min([u, {'c': 2 + a.c, 'e': 'I' || a.e}]).e}]),
+               list_min([u, {'c': 2 + a.c, 'e': 'I' || a.e}]), list_min([a, {'c': 2 + u.c, 'e': 'I' || u.e}])
+        FROM (
+            SELECT t.conv_id, t.i - 1 AS i,
+                   list_min([{'c': 3 + q.c, 'e': 'D' || q.e}, CASE WHEN ok THEN {'c': 2 + cut + u.c, 'e': 'R' || u.e} END,
+                             CASE WHEN ok AND letter = 's' THEN {'c': cut + s.c, 'e': 'K' || s.e} WHEN ok AND letter = 'u' THEN {'c': cut + u.c, 'e': 'K' || u.e} END]) AS q,
+                   list_min([{'c': 3 + s.c, 'e': 'D' || s.e}, CASE WHEN ok THEN {'c': 2 + cut + u.c, 'e': 'R' || u.e} END,
+                             CASE WHEN ok AND letter = 'u' THEN {'c': cut + u.c, 'e': 'K' || u.e} END]) AS s,
+                   list_min([{'c': 3 + u.c, 'e': 'D' || u.e}, CASE WHEN ok THEN {'c': 2 + cut + a.c, 'e': 'R' || a.e} END,
+                             CASE WHEN ok AND letter = 'a' THEN {'c': cut + a.c, 'e': 'K' || a.e} END]) AS u,
+                   list_min([{'c': 3 + a.c, 'e': 'D' || a.e}, CASE WHEN ok THEN {'c': 2 + cut + u.c, 'e': 'R' || u.e} END,
+                             CASE WHEN ok AND letter = 'u' THEN {'c': cut + u.c, 'e': 'K' || u.e} END]) AS a
+            FROM togo t JOIN (SELECT conv_id, i, letter, fault NOT IN ('blank', 'duplicate') AS ok, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM row_fault) r
+                 ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i) x),
+    best AS (SELECT conv_id, q.c AS cost, q.e AS audit FROM togo WHERE i = 0),
+    edit AS (
+        SELECT conv_id, p, e, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS i,
+               sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS k
+        FROM (SELECT conv_id, p, substr(audit, p, 1) AS e FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM best) y) z),
+    placed AS (
+        SELECT e.conv_id, e.p, e.e, e.k, r.role, r.text,
+               max(CASE WHEN e.k = 1 AND e.e = 'K' AND r.letter = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+        FROM edit e LEFT JOIN row_fault r ON e.e <> 'I' AND r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i
+        WHERE e.e <> 'D'),
+    mended AS (
+        SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                   || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS digest
+        FROM placed GROUP BY conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+         LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM o.conv_id""",
+)
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(read(spark, folder, "conversations"))
+
+
+@query(
+    "op13_prefix_trie",
+    r"""
+    WITH RECURSIVE said AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+        FROM conversations WHERE conv_id IS NOT NULL),
+    conv AS (SELECT conv_id, """ + _CRC.format(s="name") + r""" % 9 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS name FROM said) x),
+    rebuilt AS (
+        SELECT c.conv_id, s.i, s.role, s.text FROM conv c JOIN said s ON s.conv_id = c.conv_id - c.conv_id % 5 AND s.i <= c.h
+        UNION ALL SELECT c.conv_id, s.i, s.role, s.text FROM conv c JOIN said s ON s.conv_id = c.conv_id AND s.i > c.h),
+    step AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d, sha256(length(role) || ':' || role || text) AS t, strlen(text) AS n_bytes FROM rebuilt),
+    member AS (
+        SELECT conv_id, d, string_agg(t, ',') OVER (PARTITION BY conv_id ORDER BY d) AS node, n_bytes, d = count(*) OVER (PARTITION BY conv_id) AS ends FROM step
+        UNION ALL SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM step) FROM conv),
+    node AS (
+        SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_bytes) AS n_bytes,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+               CASE WHEN d > 1 THEN left(node, 65 * (d - 1) - 1) WHEN d = 1 THEN '' END AS parent
+        FROM member GROUP BY node, d),
+    child AS (SELECT parent, count(*) AS n FROM node GROUP BY parent),
+    under AS (
+        SELECT n.node AS top, n.node, n.d FROM node n
+        UNION ALL SELECT u.top, n.node, n.d FROM under u JOIN node n ON n.parent = u.node),
+    total AS (
+        SELECT u.top, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.n_bytes) AS saved
+        FROM under u JOIN node n ON n.node = u.node LEFT JOIN child c ON c.parent = u.node GROUP BY u.top)
+    SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children,
+           CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM node n LEFT JOIN node p ON p.node = n.parent LEFT JOIN child c ON c.parent = n.node JOIN total t ON t.top = n.node""",
+)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, folder, "conversations"))
