@@ -6,14 +6,18 @@ per series.  Orders, coefficients and intervals follow from these few sums:
 
 * differencing order from augmented Dickey-Fuller tests (constant, lags by AIC),
 * a long autoregression for the innovations (first Hannan-Rissanen step),
-* a regression on lagged values and lagged innovations (second step).
+* a regression on lagged values and lagged innovations (second step), the start of
+* the least conditional sum of squares (``css``), which gives coefficients, AIC and BIC.
 
-This estimates the same model as an exact likelihood fit, not the same digits.
+Missing rows are left out of all sums, and the forecast goes over them by a filter.
+This estimates the same model as an exact likelihood fit; the digits differ by the weight of the first rows.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from statistics import NormalDist
@@ -24,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.columns import checkpointed, col
-from tablewright.functions.ranks import in_blocks
+from tablewright.functions.columns import checkpointed, col, shared_folder
+from tablewright.functions.ranks import in_blocks, index_rows
+from tablewright.operators import css
 from tablewright.operators.forecast import (
     SHORT_SERIES,
     Z_95,
@@ -34,6 +39,7 @@ from tablewright.operators.forecast import (
     forecast_sma,
     future_date,
     numbered,
+    series,
     window_rows,
 )
 
@@ -163,6 +169,11 @@ def _solve(gram: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
 
 def _unit_root(m: _Moments, d: int, n: int, max_lag: int | None) -> float:
     """p-value of the unit-root test on the d-th difference (n rows)."""
+    return df_pvalue(_unit_root_test(m, d, n, max_lag)[0])
+
+
+def _unit_root_test(m: _Moments, d: int, n: int, max_lag: int | None) -> tuple[float, int]:
+    """Statistic of the unit-root test on the d-th difference (n rows), and the lags it uses."""
     lags = min(_test_lags(n, max_lag), m.depth - d)
     if lags < 0:
         raise ValueError("sample size is too short for the unit-root test")
@@ -185,7 +196,7 @@ def _unit_root(m: _Moments, d: int, n: int, max_lag: int | None) -> float:
     variance = error / (rows - best_lag - 2) * inverse[0, 0]
     if not variance > 0:
         raise ValueError("the series has no variation to test")
-    return df_pvalue(beta[0] / math.sqrt(variance))
+    return beta[0] / math.sqrt(variance), best_lag
 
 
 def _ends(points: Sequence, n: int, edge: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,19 +207,31 @@ def _ends(points: Sequence, n: int, edge: int) -> tuple[np.ndarray, np.ndarray]:
     return head, tail
 
 
+def _test_moments(sums: Sequence | None, head: Sequence | None) -> _Moments:
+    if sums is None or len(sums) == 0:
+        raise ValueError("sample size is too short for the unit-root test")
+    return _Moments(_unflatten(list(sums)), np.array(list(head), dtype=float))
+
+
 def _choose(row: dict, max_lag: int | None, order: tuple[int, int, int] | None, edge: int) -> dict:
-    """Orders and long autoregression of one series from its sums."""
+    """Orders and long autoregression of one series from its sums.
+
+    The tests are made on the series without its missing rows, and on its differences without theirs.
+    """
     n = int(row["n"])
     head, _ = _ends(row["edge"], n, edge)
-    if row["sums"] is None or len(row["sums"]) == 0:
-        raise ValueError("sample size is too short for the unit-root test")
-    moments = _Moments(_unflatten(list(row["sums"])), head)
+    moments = _test_moments(row["sums"], head)
+    gaps = row["sums_0"] is not None
     if order:
         p, d, q = order
     else:
         d = 0
-        if _unit_root(moments, 0, n, max_lag) > 0.05:
-            d = 2 if _unit_root(moments, 1, n - 1, max_lag) > 0.05 else 1
+        if _unit_root(_test_moments(row["sums_0"], row["head_0"]) if gaps else moments, 0, int(row["n_0"]) if gaps else n, max_lag) > 0.05:
+            if gaps:
+                again = _unit_root(_test_moments(row["sums_1"], row["head_1"]), 0, int(row["n_1"]), max_lag)
+            else:
+                again = _unit_root(moments, 1, n - 1, max_lag)
+            d = 2 if again > 0.05 else 1
         p, q = int(row["p"]), int(row["q"])
     long = _long(n, p, q)
     one = np.zeros(moments.size)
@@ -248,67 +271,45 @@ def _damped(coefficients: np.ndarray, sign: float) -> np.ndarray:
     return coefficients * (0.99 / largest) ** np.arange(1, len(coefficients) + 1)
 
 
-def _forecast(row: dict, periods: int, z: float, edge: int) -> dict:
-    """Coefficients, fit measures and forecast of one series from the second-step sums."""
-    p, d, q, n = int(row["p"]), int(row["d"]), int(row["q"]), int(row["n"])
-    gram = _unflatten(list(row["sums2"]))
-    rows = gram[0, 0]
-    constant = d == 0  # a differenced series has no drift term
-    keep = np.arange(0 if constant else 1, len(gram))
+def _start(gram: np.ndarray, orders: css.Orders) -> np.ndarray:
+    """Start of the search: the second-step regression, pulled to a stable model."""
+    rows, constant = gram[0, 0], orders.const
+    keep = np.arange(0 if constant else 1, len(gram))  # a differenced series has no drift term
     gram = gram[np.ix_(keep, keep)]
     if rows <= len(gram):
         raise ValueError("too few complete rows for the chosen orders")
     beta, _, _ = _solve(gram)
-    const = beta[0] if constant else 0.0
-    ar, ma = beta[constant : constant + p], beta[constant + p :]
+    const, ar, ma = orders.split(beta)
     steady, still = _damped(ar, 1.0), _damped(ma, -1.0)
-    if steady is not ar or still is not ma:
-        if constant:
-            mean = const / (1 - ar.sum()) if abs(1 - ar.sum()) > 1e-8 else gram[0, -1] / rows
-            const = mean * (1 - steady.sum())
-        ar, ma = steady, still
-    full = np.concatenate([[const] if constant else [], ar, ma, [-1.0]])
-    sigma2 = float(full @ gram @ full) / rows
+    if constant and (steady is not ar or still is not ma):
+        mean = const / (1 - ar.sum()) if abs(1 - ar.sum()) > 1e-8 else gram[0, -1] / rows
+        const = mean * (1 - steady.sum())
+    return np.concatenate([[const] * constant, steady, still])
+
+
+def _forecast(row: dict, periods: int, z: float, edge: int) -> dict:
+    """Coefficients, fit measures and forecast of one series from its least sum of squares and its last state."""
+    orders = css.Orders(int(row["p"]), int(row["d"]), int(row["q"]))
+    beta, rows, n = np.array(list(row["beta"]), dtype=float), int(row["n_residuals"]), int(row["n"])
+    if rows <= orders.size:
+        raise ValueError("too few complete rows for the chosen orders")
+    const, ar, ma = orders.split(beta)
+    sigma2 = float(row["sse"]) / rows
     if not sigma2 > 0:
         raise ValueError("the fitted model leaves no error to scale intervals with")
-    k = p + q + 1 + int(constant)
+    k = orders.size + 1
     loglik = -rows / 2 * (math.log(2 * math.pi * sigma2) + 1)
-
-    _, tail = _ends(row["edge"], n, edge)
-    levels = [tail]
-    for _ in range(d):
-        levels.append(levels[-1][1:] - levels[-1][:-1])
-    long_ar = list(row["long_ar"])
-    # A forecast needs the last p differences, and those that the last q shocks are made of.
-    needed = max(p, q + len(long_ar) - 1 if q else 0, 1)
-    if np.isnan(levels[d][-needed:]).any():
-        raise ValueError("the last rows of the series are missing")
-    if p > len(levels[d]):
-        raise ValueError(f"{p} lags are more than the rows of the series")
-    w = list(np.nan_to_num(levels[d], nan=0.0))
-    shocks = [0.0] * len(w)
-    for t in range(len(long_ar) - 1, len(w)):
-        shocks[t] = w[t] - long_ar[0] - sum(c * w[t - i] for i, c in enumerate(long_ar[1:], start=1))
-    if np.isnan(tail[-(d + 1) :]).any():
-        raise ValueError("the last rows of the series are missing")
-    for _ in range(periods):
-        t = len(w)
-        value = const
-        value += sum(ar[i] * w[t - 1 - i] for i in range(p) if t - 1 - i >= 0)
-        value += sum(ma[j] * shocks[t - 1 - j] for j in range(q) if t - 1 - j >= 0)
-        w.append(value)
-        shocks.append(0.0)
-    path = np.array(w[-periods:])
-    for k_d in range(d - 1, -1, -1):
-        path = levels[k_d][-1] + np.cumsum(path)
-    # Weights of past innovations, integrated as often as the series was differenced.
-    psi = np.zeros(periods)
-    psi[0] = 1
-    for h in range(1, periods):
-        psi[h] = (ma[h - 1] if h <= q else 0) + sum(ar[i] * psi[h - 1 - i] for i in range(min(p, h)))
-    for _ in range(d):
-        psi = np.cumsum(psi)
-    width = z * np.sqrt(sigma2 * np.cumsum(psi**2))
+    head, tail = _ends(row["edge"], n, edge)
+    need = max(orders.p, 1) + orders.d
+    if row["filter"] is not None:
+        mean, spread = css.filtered(_unpacked(row["filter"], orders), _known(head, orders))
+    else:
+        if len(tail) < need or np.isnan(tail[-need:]).any():
+            raise ValueError(f"{need} rows are more than the series has")
+        mean = css.known_state(tail[-need:], orders, list(row["residuals"]))
+        spread = np.zeros((len(mean), len(mean)))
+    path, variance = css.ahead(mean, spread, orders, beta, sigma2, periods)
+    width = z * np.sqrt(variance)
     if not np.isfinite(path).all() or not np.isfinite(width).all():
         raise ValueError("the forecast is not finite")
     return {
@@ -324,6 +325,34 @@ def _forecast(row: dict, periods: int, z: float, edge: int) -> dict:
     }
 
 
+def _known(head: np.ndarray, orders: css.Orders) -> np.ndarray:
+    """State behind the first complete run among the first rows."""
+    at = css.start_row(head, orders)
+    if at is None:
+        raise ValueError("no complete run among the first rows to start the filter from")
+    return css.known_state(head[at + 1 - max(orders.p, 1) - orders.d : at + 1], orders)
+
+
+def _packed(element: css.Element | None) -> list[float] | None:
+    return None if element is None else np.concatenate([np.ravel(m) for m in element]).tolist()
+
+
+def _unpacked(values: Sequence[float] | None, orders: css.Orders) -> css.Element | None:
+    if values is None or not len(values):
+        return None
+    size = max(orders.p, 1) + orders.q + orders.d
+    shapes = [(size, size), (size,), (size, size), (size,), (size, size)]
+    ends = np.cumsum([math.prod(x) for x in shapes])
+    parts = np.split(np.array(list(values), dtype=float), ends[:-1])
+    return tuple(m.reshape(x) for m, x in zip(parts, shapes))
+
+
+def _filter_part(t: np.ndarray, y: np.ndarray, head: np.ndarray, orders: css.Orders, beta: np.ndarray, sigma2: float) -> css.Element | None:
+    """The filter over those of these rows that come after the start."""
+    at = css.start_row(head, orders)
+    return None if at is None else css.filter_steps(y[t > at + 1], orders, beta, sigma2)
+
+
 _CHOICE = "p int, d int, q int, long_ar array<double>, error string"
 _FIT = (
     "ar array<double>, ma array<double>, const double, sigma2 double, aic double, bic double, "
@@ -424,64 +453,251 @@ def fit_arima(
     keys = list(by) or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(0))
     key_cols = [col(k) for k in keys]
-    rows = checkpointed(numbered(source, ts, value, keys))
+    rows = checkpointed(numbered(source, ts, value, keys, previous=("ts", "value")))
     stats = _with_frequency(_per_series(rows, keys, window_rows(F.col("n"), window_fraction, min_window)))
     slim = rows.select(*key_cols, "t", "n", "value")
     key_schema = ", ".join(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys)
-
-    def first_step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        n = int(pdf["n"].iloc[0])
-        depth = _full_depth(n, max_lag, max_order, order)
-        if _test_lags(n - 1, max_lag) < 0:
-            return _sums(pdf, np.empty((0, 0)), keys)
-        x = _basis(pdf["value"].to_numpy(dtype=float), depth)
-        x = x[pdf["own"].to_numpy() & ~np.isnan(x).any(axis=1)]
-        return _sums(pdf, x, keys)
-
+    size = rows.agg(F.max("n").alias("n"), F.max(F.col("value").isNull()).alias("gaps")).first()
     # Rows that the longest series' lags reach back to: some tens, as the rule grows with the fourth root.
-    depth = _full_depth(rows.agg(F.max("n")).first()[0] or 1, max_lag, max_order, order)
+    depth = _full_depth(size["n"] or 1, max_lag, max_order, order)
     reach = depth + max(max_order[0], max_order[2], *(order or (0,))) + 4
     # Start values: the lags of a forecast, behind them those of its shocks.
     edge = max(EDGE, 2 * reach)
     block_rows = max(block_rows, reach)
-    blocks = in_blocks(slim, depth + 3, block_rows)
-    sums = blocks.groupBy(*key_cols, "block").applyInPandas(first_step, f"{key_schema}, i int, v double")
+
     near_end = (F.col("t") <= edge) | (F.col("t") > F.col("n") - edge)
     # At most 2 * edge rows per series are gathered.
-    edges = slim.where(near_end).groupBy(*key_cols).agg(
-        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("t", "value"))).alias("edge")
+    edges = slim.groupBy(*key_cols).agg(
+        F.max("n").alias("n"),
+        F.max(F.col("value").isNull()).alias("gaps"),
+        F.sort_array(F.collect_list(F.when(near_end, F.struct("t", "value")))).alias("edge"),
     )
     p = F.least(F.lit(max_order[0]), F.greatest(F.lit(1), F.floor(F.col("n") / 10).cast("int")))
     q = F.least(F.lit(max_order[2]), F.greatest(F.lit(1), F.floor(F.col("n") / 20).cast("int")))
+    sums = _block_sums(slim, keys, key_schema, depth, block_rows, max_lag, max_order, order)
     joined = _add_to_series(edges, _total(sums, keys, "sums"), keys).withColumns({"p": p, "q": q})
-    # Kept: both later steps must see the same orders.
+    if size["gaps"] and not order:
+        # The tests skip missing rows, so these are numbered anew.
+        present = rows.where("value IS NOT NULL").select(*key_cols, "t", "value")
+        steps = rows.select(*key_cols, "t", (F.col("value") - F.col("prev_value")).alias("value")).where("value IS NOT NULL")
+        for name, part in (("0", present), ("1", steps)):
+            again = checkpointed(index_rows(part.withColumnRenamed("t", "_at"), keys, ["_at"])).drop("_at")
+            head = again.groupBy(*key_cols).agg(
+                F.max("n").alias(f"n_{name}"), F.sort_array(F.collect_list(F.when(F.col("t") <= edge, F.struct("t", "value")))).alias("head")
+            )
+            head = head.withColumn(f"head_{name}", F.col("head.value")).drop("head")
+            found = _total(_block_sums(again, keys, key_schema, depth, block_rows, max_lag, max_order, None), keys, f"sums_{name}")
+            joined = _add_to_series(joined, _add_to_series(head, found, keys), keys)
+        own = [F.when(F.col("gaps"), F.col(f"sums_{i}")).alias(f"sums_{i}") for i in (0, 1)]
+        joined = joined.withColumns({f"sums_{i}": c for i, c in enumerate(own)})
+    else:
+        joined = joined.withColumn("sums_0", F.lit(None).cast("array<double>"))
+    # Kept: the later steps must see the same orders.
     chosen = checkpointed(_per_row(joined, lambda r: _choose(r, max_lag, order, edge), _CHOICE))
+    fits = _least_squares(slim, chosen, keys, key_schema, reach, block_rows, edge)
+    z = NormalDist().inv_cdf(0.5 + confidence / 2)
+    ready = _add_to_series(chosen.select(*key_cols, "n", "edge", "p", "d", "q", F.col("error").alias("choice_error")), fits, keys)
+    ready = ready.withColumn("error", F.coalesce("choice_error", "error", F.when(F.col("beta").isNull(), F.lit("too few complete rows for the chosen orders"))))
+    fitted = _per_row(ready.drop("choice_error"), lambda r: _forecast(r, periods, z, edge), _FIT)
+    return _add_to_series(stats, fitted.drop("edge", "n", "beta", "sse", "start_sse", "n_residuals", "residuals", "filter"), keys).drop("_all")
 
-    def second_step(key: tuple, pdf: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        if not len(plan) or not len(pdf):
-            return pd.DataFrame(columns=[*keys, "i", "v"])
-        pdf, plan = pdf.sort_values("t"), plan.iloc[0]
-        x = _design(pdf["value"].to_numpy(dtype=float), int(plan["p"]), int(plan["d"]), int(plan["q"]), list(plan["long_ar"]))
+
+def _block_sums(slim: DataFrame, keys: list[str], key_schema: str, depth: int, block_rows: int, max_lag, max_order, order) -> DataFrame:
+    """Cross-products of the lagged values of each block."""
+
+    def first_step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        n = int(pdf["n"].iloc[0])
+        if _test_lags(n - 1, max_lag) < 0:
+            return _sums(pdf, np.empty((0, 0)), keys)
+        x = _basis(pdf["value"].to_numpy(dtype=float), _full_depth(n, max_lag, max_order, order))
         x = x[pdf["own"].to_numpy() & ~np.isnan(x).any(axis=1)]
         return _sums(pdf, x, keys)
 
+    blocks = in_blocks(slim, depth + 3, block_rows)
+    return blocks.groupBy(*[col(k) for k in keys], "block").applyInPandas(first_step, f"{key_schema}, i int, v double")
+
+
+_SUMMARY = "gram array<double>, tail array<double>, n_residuals long"
+_SEARCH = "beta array<double>, sse double, start_sse double, n_residuals long, residuals array<double>, filter array<double>"
+
+
+def _found(search: css.Search, element: css.Element | None) -> dict:
+    """The end of a search as a row of :data:`_SEARCH`."""
+    return {
+        "beta": search.best.tolist(),
+        "sse": search.found["sse"],
+        "start_sse": search.start_sse,
+        "n_residuals": int(search.found["n"]),
+        "residuals": search.found["residuals"].tolist(),
+        "filter": _packed(element),
+    }
+
+
+def _least_squares(slim: DataFrame, chosen: DataFrame, keys: list[str], key_schema: str, reach: int, block_rows: int, edge: int) -> DataFrame:
+    """The least conditional sum of squares of every series, with its last state.
+
+    A series of one block is searched in one task.  Longer ones take one pass over their blocks for each step;
+    what a pass gives of a block is a small matrix, and the search goes on from those.
+    """
+    key_cols = [col(k) for k in keys]
     last = F.floor((F.col("n") - 1) / F.lit(block_rows)).cast("long")
-    # The orders go to every block of a series, so no join meets a whole series under one key.
-    plans = (
-        chosen.where("error IS NULL")
-        .select(*key_cols, "p", "d", "q", "long_ar", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
-    )
-    blocks2 = in_blocks(slim, reach, block_rows)
-    sums2 = (
-        blocks2.groupBy(*key_cols, "block")
+    # What a block needs to know of its series goes to every block, so no join meets a whole series under one key.
+    plans = chosen.where("error IS NULL").select(*key_cols, "n", "gaps", "p", "d", "q", "long_ar", "edge", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    blocks = in_blocks(slim, reach, block_rows)
+
+    def whole(orders: css.Orders, pdf: pd.DataFrame, plan: pd.Series, gram: np.ndarray) -> dict:
+        y, own = pdf["value"].to_numpy(dtype=float), pdf["own"].to_numpy()
+        search = css.fit([(y, own)], orders, _start(gram, orders))
+        element = None
+        if plan["gaps"] and search.found["n"] and search.found["sse"] > 0:
+            head, _ = _ends(plan["edge"], int(plan["n"]), edge)
+            element = _filter_part(pdf["t"].to_numpy(), y, head, orders, search.best, search.found["sse"] / search.found["n"])
+        return _found(search, element)
+
+    def second_step(key: tuple, pdf: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        if not len(plan) or not len(pdf):
+            return pd.DataFrame(columns=[*keys, "gram2", "hint", *names, "error"])
+        pdf, plan = pdf.sort_values("t"), plan.iloc[0]
+        orders = css.Orders(int(plan["p"]), int(plan["d"]), int(plan["q"]))
+        x = _design(pdf["value"].to_numpy(dtype=float), orders.p, orders.d, orders.q, list(plan["long_ar"]))
+        x = x[pdf["own"].to_numpy() & ~np.isnan(x).any(axis=1)]
+        gram = x.T @ x
+        row: dict = dict.fromkeys(["gram2", "hint", *names, "error"])
+        if int(plan["n"]) <= block_rows:
+            try:
+                row |= whole(orders, pdf, plan, gram)
+            except np.linalg.LinAlgError:
+                row["error"] = "the series is constant or its lags are collinear"
+            except ValueError as e:
+                row["error"] = str(e)
+        else:
+            row["gram2"] = gram[np.triu_indices(len(gram))].tolist()
+            if int(plan["block"]) == 0:
+                # The fit of the first block brings the search of the whole series near its end.
+                with contextlib.suppress(np.linalg.LinAlgError, ValueError):
+                    row["hint"] = whole(orders, pdf, plan, gram)["beta"]
+        out = pd.DataFrame([row])
+        for k, v in zip([*keys, "block"], key):
+            if k != "block":
+                out[k] = pd.Series([pdf[k].iloc[0]], dtype=pdf[k].dtype)
+        return out[[*keys, "gram2", "hint", *names, "error"]]
+
+    names = [c.split()[0] for c in _SEARCH.split(", ")]
+    done = (
+        blocks.groupBy(*key_cols, "block")
         .cogroup(plans.groupBy(*key_cols, "block"))
-        .applyInPandas(second_step, f"{key_schema}, i int, v double")
+        .applyInPandas(second_step, f"{key_schema}, gram2 array<double>, hint array<double>, {_SEARCH}, error string")
     )
-    z = NormalDist().inv_cdf(0.5 + confidence / 2)
-    ready = _add_to_series(chosen.drop("sums"), _total(sums2, keys, "sums2"), keys)
-    fitted = _per_row(ready, lambda r: _forecast(r, periods, z, edge), _FIT).drop("edge", "sums2", "long_ar", "n")
-    return _add_to_series(stats, fitted, keys).drop("_all")
+    if not chosen.where((F.col("n") > block_rows) & F.col("error").isNull()).limit(1).count():
+        return done.drop("gram2", "hint")
+    done = checkpointed(done)
+    long = _long_series(slim, chosen, done, keys, key_schema, reach, block_rows, edge)
+    return done.where("gram2 IS NULL").drop("gram2", "hint").unionByName(long)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """One small row per series, written and read again, so that a pass's plan holds nothing of the passes before."""
+    path = f"{shared_folder(df.sparkSession)}/search-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _long_series(slim: DataFrame, chosen: DataFrame, done: DataFrame, keys: list[str], key_schema: str, reach: int, block_rows: int, edge: int) -> DataFrame:
+    """Series of many blocks: one pass over the blocks for each step of all their searches."""
+    key_cols = [col(k) for k in keys]
+    names = [c.split()[0] for c in _SEARCH.split(", ")]
+    wanted = chosen.where((F.col("n") > block_rows) & F.col("error").isNull()).select(*key_cols, "n", "gaps", "p", "d", "q", "edge")
+    added = done.where("gram2 IS NOT NULL").select(*key_cols, F.posexplode("gram2").alias("i", "v"))
+    hints = done.where("hint IS NOT NULL").select(*key_cols, F.col("hint").alias("first_hint"))
+    state = _add_to_series(_add_to_series(wanted, _total(added, keys, "gram2"), keys), hints, keys)
+
+    def begin(row: dict) -> dict:
+        orders = css.Orders(int(row["p"]), int(row["d"]), int(row["q"]))
+        hint = None if row["first_hint"] is None else np.array(list(row["first_hint"]), dtype=float)
+        return css.Search(orders, _start(_unflatten(list(row["gram2"])), orders), hint).row()
+
+    state = _stored(_per_row(state, begin, f"{css.Search.COLUMNS}, error string").drop("gram2", "first_hint"))
+    search = ["p", "d", "q", *[c.split()[0] for c in css.Search.COLUMNS.split(", ")]]
+    # A block of a series as one row, written once; every pass reads it where it lies.
+    packed = in_blocks(slim.where(F.col("n") > block_rows), reach, block_rows).groupBy(*key_cols, "block")
+    packed = checkpointed(packed.agg(F.sort_array(F.collect_list(F.struct("t", "value", "own"))).alias("rows")))
+    packed = packed.select(*key_cols, "block", F.col("rows.t").alias("t"), F.col("rows.value").alias("y"), F.col("rows.own").alias("own"))
+
+    def with_state(state: DataFrame, *columns: str) -> DataFrame:
+        last = F.floor((F.col("n") - 1) / F.lit(block_rows)).cast("long")
+        plans = state.select(*key_cols, *columns, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+        plans = plans.withColumnsRenamed({k: f"_other_{k}" for k in [*keys, "block"]})
+        same = reduce(Column.__and__, [col(k).eqNullSafe(col(f"_other_{k}")) for k in [*keys, "block"]])
+        return packed.join(plans, same).drop(*[f"_other_{k}" for k in [*keys, "block"]])
+
+    def summary(row: dict) -> dict:
+        search = css.Search.of(row)
+        got = css.block_sums(np.array(row["y"], dtype=float), np.array(row["own"], dtype=bool), search.orders, search.candidate)
+        return {"gram": got["gram"].ravel().tolist(), "tail": got["tail"].ravel().tolist(), "n_residuals": int(got["n"])}
+
+    def advance(row: dict) -> dict:
+        search = css.Search.of(row)
+        if row["searching"]:
+            width = search.orders.basis
+            parts = [
+                {"gram": np.reshape(b["gram"], (width, width)), "tail": np.reshape(b["tail"], (-1, width)), "n": b["n_residuals"]}
+                for b in row["parts"]
+            ]
+            search.tell(css.series_sums(parts, search.orders))
+        return search.row()
+
+    while state.where("searching").limit(1).count():
+        part = _per_row(with_state(state.where("searching"), *search), summary, f"{_SUMMARY}, error string")
+        part = part.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("block", "gram", "tail", "n_residuals"))).alias("parts"))
+        told = _per_row(_add_to_series(state, part, keys), advance, f"{css.Search.COLUMNS}, error string")
+        state = _stored(told.drop("parts"))
+
+    def over_gaps(row: dict) -> dict:
+        search, own = css.Search.of(row), np.array(row["own"], dtype=bool)
+        head, _ = _ends(row["edge"], int(row["n"]), edge)
+        t, y = np.array(row["t"])[own], np.array(row["y"], dtype=float)[own]
+        sigma2 = search.found["sse"] / max(search.found["n"], 1)
+        return {"filter": _packed(_filter_part(t, y, head, search.orders, search.best, sigma2)) if sigma2 > 0 else None}
+
+    def end(row: dict) -> dict:
+        if row["error"]:
+            raise ValueError(row["error"])
+        search, element = css.Search.of(row), None
+        if row["parts"] is not None:
+            element = css.composed([e for e in (_unpacked(b["filter"], search.orders) for b in row["parts"]) if e is not None])
+        return _found(search, element)
+
+    gappy = with_state(state.where("gaps AND error IS NULL"), *search, "edge", "n")
+    parts = _per_row(gappy, over_gaps, "filter array<double>, error string").where("filter IS NOT NULL")
+    parts = parts.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("block", "filter"))).alias("parts"))
+    return _per_row(_add_to_series(state, parts, keys), end, f"{_SEARCH}, error string").select(*key_cols, *names, "error")
+
+
+def unit_root_tests(
+    df: DataFrame, ts: str, value: str, by: Sequence[str] = (), max_lag: int | None = None, block_rows: int = 65536
+) -> DataFrame:
+    """Augmented Dickey-Fuller test with a constant of each series: ``(by…, n, lags, statistic, p_value, error)``.
+
+    ``n`` are the rows that are not missing, lags are chosen by AIC.
+    """
+    keys = list(by) or ["_all"]
+    source = df if by else df.withColumn("_all", F.lit(0))
+    present = series(source, ts, value, keys).where("value IS NOT NULL")
+    rows = checkpointed(index_rows(present, keys, ["ts", "value"])).select(*[col(k) for k in keys], "t", "n", "value")
+    depth = _depth(rows.agg(F.max("n")).first()[0] or 1, max_lag)
+    key_schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    first = F.sort_array(F.collect_list(F.when(F.col("t") <= depth + 2, F.struct("t", "value")))).alias("head")
+    heads = rows.groupBy(*[col(k) for k in keys]).agg(F.max("n").alias("n"), first).withColumn("head", F.col("head.value"))
+    sums = _total(_block_sums(rows, keys, key_schema, depth, max(block_rows, depth + 4), max_lag, (0, 0, 0), None), keys, "sums")
+
+    def test(row: dict) -> dict:
+        n = int(row["n"])
+        statistic, lags = _unit_root_test(_test_moments(row["sums"], row["head"]), 0, n, max_lag)
+        return {"lags": lags, "statistic": statistic, "p_value": df_pvalue(statistic)}
+
+    found = _per_row(_add_to_series(heads, sums, keys), test, "lags int, statistic double, p_value double, error string")
+    return found.select(*[col(b) for b in by], "n", "lags", "statistic", "p_value", "error")
 
 
 def _rows(fits: DataFrame, by: Sequence[str], periods: int, fraction: float, least: int) -> DataFrame:

@@ -871,6 +871,41 @@ def forecast_arima(spark: SparkSession, folder: str) -> DataFrame:
     return arima.forecast(daily, "ts", "value", _PERIODS, model="arima", by=["o_orderpriority"])
 
 
+@query(
+    "unit_root",
+    """WITH s AS (SELECT event_type, value AS y, lag(value) OVER (PARTITION BY event_type ORDER BY ts, value) AS x FROM events),
+            f AS (SELECT event_type, count(*) AS n, regr_slope(y - x, x) AS b, regr_syy(y - x, x) - regr_sxy(y - x, x) * regr_slope(y - x, x) AS error,
+                         regr_count(y - x, x) AS m, regr_sxx(y - x, x) AS sxx FROM s GROUP BY event_type)
+       SELECT event_type, CAST(n AS BIGINT) AS n, CAST(0 AS INTEGER) AS lags, round(b / sqrt(error / (m - 2) / sxx), 6) AS statistic FROM f""",
+)
+def unit_root(spark: SparkSession, folder: str) -> DataFrame:
+    found = arima.unit_root_tests(table(spark, folder, "events"), "ts", "value", by=["event_type"], max_lag=0)
+    return rounded(found.select("event_type", "n", "lags", "statistic"), 6, "statistic")
+
+
+@query(
+    "forecast_ar1",
+    """WITH RECURSIVE s AS (
+           SELECT event_type, ts, value AS y, lag(value) OVER w AS x, row_number() OVER w AS t, count(*) OVER (PARTITION BY event_type) AS n
+           FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, value)),
+       f AS (
+           SELECT event_type, regr_intercept(y, x) AS c, regr_slope(y, x) AS a, regr_count(y, x) AS m,
+                  (regr_syy(y, x) - regr_sxy(y, x) * regr_slope(y, x)) / regr_count(y, x) AS s2, max(CASE WHEN t = n THEN y END) AS last
+           FROM s GROUP BY event_type),
+       h AS (
+           SELECT event_type, 1 AS step, c + a * last AS value, s2 AS spread, a, c, s2, m FROM f
+           UNION ALL SELECT event_type, step + 1, c + a * value, s2 + a * a * spread, a, c, s2, m FROM h WHERE step < 10)
+       SELECT event_type, CAST(step AS INTEGER) AS step, round(value, 6) AS value, round(value - 1.959963984540054 * sqrt(spread), 6) AS lower,
+              round(value + 1.959963984540054 * sqrt(spread), 6) AS upper, CAST(1 AS INTEGER) AS p, CAST(0 AS INTEGER) AS d, CAST(0 AS INTEGER) AS q,
+              round(m * (ln(2 * pi() * s2) + 1) + 6, 6) AS aic, round(m * (ln(2 * pi() * s2) + 1) + 3 * ln(m), 6) AS bic
+       FROM h""",
+)
+def forecast_ar1(spark: SparkSession, folder: str) -> DataFrame:
+    df = arima.forecast_arima(table(spark, folder, "events"), "ts", "value", _PERIODS, by=["event_type"], order=(1, 0, 0))
+    found = df.select("event_type", "step", "value", "lower", "upper", "p", "d", "q", "aic", "bic")
+    return rounded(found, 6, "value", "lower", "upper", "aic", "bic")
+
+
 # --- incremental -------------------------------------------------------------------------------------------------
 
 

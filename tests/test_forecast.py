@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 
-from tablewright.operators import arima, forecast
+from tablewright.operators import arima, css, forecast
 
 DATES = {
     "daily": pd.date_range("2024-01-01", periods=40, freq="D"),
@@ -270,19 +270,54 @@ def test_model_choice(spark, rhythms):
     assert arima.forecast(daily, "ts", "v", 2, model="prophet").first()["model"] == "sma"
 
 
-def test_arima_null_among_needed_rows_is_an_error(spark):
-    """A hole among the last lags never counts as the value 0."""
-    from datetime import date, timedelta
-
-    import numpy as np
-
-    from tablewright.operators.arima import forecast
-
-    noise = np.random.Generator(np.random.Philox(key=3)).normal(size=60)
+def test_arima_forecasts_over_missing_rows(spark):
+    """A hole among the last rows widens the interval, and never counts as the value 0."""
+    noise = np.random.Generator(np.random.Philox(key=3)).normal(size=200)
     level = [0.0, 0.0]
     for e in noise:
         level.append(0.5 * level[-1] + 0.3 * level[-2] + float(e))
-    rows = [(date(2024, 1, 1) + timedelta(i), 1000 + v) for i, v in enumerate(level)]
-    rows[-2] = (rows[-2][0], None)
-    found = forecast(spark.createDataFrame(rows, "d date, v double"), "d", "v", periods=3, model="arima").collect()
-    assert all(r["value"] is None or r["value"] > 900 for r in found)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(len(level))]
+    rows = []
+    for k, holes in (("full", ()), ("last", (1,)), ("inner", (2, 60, 61))):
+        rows += [(k, d, None if len(days) - i in holes else 1000 + v) for i, (d, v) in enumerate(zip(days, level))]
+    df = spark.createDataFrame(rows, "k string, d date, v double")
+    got = {}
+    for block_rows in (65536, 70):
+        fits = arima.fit_arima(df, "d", "v", 3, by=["k"], order=(2, 0, 1), block_rows=block_rows).collect()
+        got[block_rows] = {r["k"]: r for r in fits}
+        assert all(r["error"] is None for r in fits)
+    for k in ("full", "last", "inner"):
+        one, cut = got[65536][k], got[70][k]
+        assert np.allclose(one["values"], cut["values"], atol=1e-3) and np.isclose(one["aic"], cut["aic"], atol=1e-5)
+        assert min(one["values"]) > 900
+    width = {k: r["uppers"][0] - r["lowers"][0] for k, r in got[65536].items()}
+    assert width["last"] > 1.05 * width["full"] and width["inner"] > 0.9 * width["full"]
+    # The whole series' filter by hand.
+    one, orders = got[65536]["inner"], css.Orders(2, 0, 1)
+    beta, y = np.array([one["const"], *one["ar"], *one["ma"]]), np.array([r[2] if r[2] is not None else np.nan for r in rows[-len(days) :]])
+    move, add, load, read = css.transition(orders, beta)
+    mean, spread = css.known_state(y[:2], orders), np.zeros((3, 3))
+    for value in y[2:]:
+        mean, spread = move @ mean + add, move @ spread @ move.T + one["sigma2"] * np.outer(load, load)
+        if not np.isnan(value):
+            gain = spread @ read / (read @ spread @ read)
+            mean, spread = mean + gain * (value - read @ mean), spread - np.outer(gain, read @ spread)
+    assert np.allclose(css.ahead(mean, spread, orders, beta, one["sigma2"], 3)[0], one["values"])
+
+
+def test_unit_root_tests_skip_missing_rows(spark):
+    y = np.cumsum(np.random.default_rng(8).normal(size=400))
+    days = pd.date_range("2020-01-01", periods=500)
+    full = [(d.to_pydatetime(), float(v)) for d, v in zip(days, y)]
+    gaps = [(d.to_pydatetime(), None) for d in days[400:450]]
+    df = spark.createDataFrame(full + gaps, "ts timestamp_ntz, v double")
+    for block_rows in (65536, 90):
+        got = arima.unit_root_tests(df, "ts", "v", block_rows=block_rows).first()
+        assert got["n"] == 400 and np.isclose(got["p_value"], _unit_root_directly(y, 10**6), atol=1e-6)
+    # Holes inside: the test goes over the rows that are there, and over the differences that are.
+    y[37:390:9] = np.nan
+    df = spark.createDataFrame([(d.to_pydatetime(), None if np.isnan(v) else float(v)) for d, v in zip(days, y)], "ts timestamp_ntz, v double")
+    steps = np.diff(y)
+    unstable = _unit_root_directly(y[~np.isnan(y)], 10**6) > 0.05
+    want = unstable * (1 + (_unit_root_directly(steps[~np.isnan(steps)], 10**6) > 0.05))
+    assert arima.fit_arima(df, "ts", "v", 2, max_order=(1, 2, 1)).first()["d"] == want
