@@ -685,7 +685,7 @@ def unit_root_tests(
     source = df if by else df.withColumn("_all", F.lit(0))
     present = series(source, ts, value, keys).where("value IS NOT NULL")
     rows = checkpointed(index_rows(present, keys, ["ts", "value"])).select(*[col(k) for k in keys], "t", "n", "value")
-    depth = _depth(rows.agg(F.max("n")).first()[0] or 1, max_lag)
+    depth = _full_depth(rows.agg(F.max("n")).first()[0] or 1, max_lag, (0, 0, 0), None)
     key_schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     first = F.sort_array(F.collect_list(F.when(F.col("t") <= depth + 2, F.struct("t", "value")))).alias("head")
     heads = rows.groupBy(*[col(k) for k in keys]).agg(F.max("n").alias("n"), first).withColumn("head", F.col("head.value"))

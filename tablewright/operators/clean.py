@@ -16,6 +16,7 @@ from tablewright.functions.columns import (
     text_columns,
 )
 from tablewright.functions.ranks import quantiles
+from tablewright.functions.texts import top_texts
 
 UNKNOWN = "Unknown"
 
@@ -30,13 +31,20 @@ def column_modes(df: DataFrame) -> DataFrame:
     """Most frequent value of every column, the smallest one on a tie: one row, one column each.
 
     Columns of one type are counted together in long form, so that counting is
-    spread by (column, value) and no task holds all values of a column.
+    spread by (column, value) and no task holds all values of a column.  Texts are counted by digest.
     """
     df = nan_to_null(df)
     by_type: dict[str, list[str]] = {}
+    texts = text_columns(df)
     for f in df.schema.fields:
+        if f.name in texts:
+            continue
         by_type.setdefault(f.dataType.simpleString(), []).append(f.name)
     picked: list[Column] = []
+    if texts:
+        best = top_texts(df, texts, 1)
+        wide = best.agg(F.struct(*[F.max(F.when(F.col("column") == n, F.col("value"))).alias(f"m{i}") for i, n in enumerate(texts)])).scalar()
+        picked += [wide.getField(f"m{i}").alias(n) for i, n in enumerate(texts)]
     for names in by_type.values():
         long = df.select(*[col(n) for n in names]).unpivot([], [col(n) for n in names], "column", "value")
         counts = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("c"))

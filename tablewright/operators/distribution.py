@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import math
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import as_double, col, melt, numeric_columns, safe_corr, text_columns
+from tablewright.functions.columns import as_double, col, melt, numeric_columns, text_columns
 from tablewright.functions.ranks import quantiles
+from tablewright.functions.texts import top_texts
 
 CHART_COLUMNS = 5  # numeric columns charted by default
 CHART_CATEGORIES = 2  # text columns charted by default
 GRID_POINTS = 200  # points of a density curve
-_CHUNK = 500  # column pairs per pass
 
 
 def _charted(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
@@ -176,32 +178,83 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[s
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix of the numeric columns: ``(column_x, column_y, corr)``.
 
-    Each pair uses the rows where both are present; a constant column gives
-    null.  All pairs of columns share one pass, wide tables take a few.
+    Each pair uses the rows where both are present; a constant column gives null.  One scan adds up four
+    matrix products for each task, whatever the number of columns, so no row is made for a pair of columns.
     """
     columns = list(columns if columns is not None else numeric_columns(df))
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column_x string, column_y string, corr double")
-    pairs = [(a, b) for a, b in combinations(columns, 2)] + [(a, a) for a in columns]
-    wide = df.select(*[as_double(df, c).alias(c) for c in columns])
-    parts = []
-    for start in range(0, len(pairs), _CHUNK):
-        # One entry per pair of columns; they are added up before the shuffle, which moves one row per pair and task.
-        chunk = pairs[start : start + _CHUNK]
-        entries = [
-            F.struct(F.lit(i + 1).alias("pair"), col(a).alias("x"), col(b).alias("y")) for i, (a, b) in enumerate(chunk)
-        ]
-        found = wide.select(F.inline(F.array(*entries))).groupBy("pair").agg(safe_corr(F.col("x"), F.col("y")).alias("corr"))
-        first, second = (F.element_at(F.array(*[F.lit(p[k]) for p in chunk]), F.col("pair")) for k in (0, 1))
-        parts.append(found.select(first.alias("column_x"), second.alias("column_y"), "corr"))
-    out = reduce(DataFrame.unionByName, parts)
+    wide = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    # Products of values far from 0 lose their digits, so values are taken from one of the column's own.
+    near = wide.limit(CENTRE_ROWS).agg(*[F.percentile_approx(c, 0.5) for c in wide.columns]).first()
+    centre = np.array([0.0 if v is None or not math.isfinite(v) else v for v in near])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(_PRODUCTS), len(columns), len(columns)))
+        for batch in batches:
+            total += _products(batch, centre)
+        yield _matrix_rows(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, np.ndarray] = {}
+        for batch in batches:
+            got = np.stack([np.stack(batch.column(n).to_numpy(zero_copy_only=False)) for n in _PRODUCTS], axis=1)
+            for i, row in zip(batch.column("i").to_pylist(), got):
+                rows[i] = rows[i] + row if i in rows else row
+        if rows:
+            yield _matrix_rows(np.stack([rows[i] for i in sorted(rows)], axis=1), sorted(rows))
+
+    # Rows of the matrices meet in two rounds, first with those of a few hundred tasks, so no task adds up all.
+    sums = wide.mapInArrow(partial, _MATRIX).withColumn("part", F.spark_partition_id() % TASKS_PER_ROUND)
+    sums = sums.repartition("i", "part").drop("part").mapInArrow(add, _MATRIX).repartition("i").mapInArrow(add, _MATRIX)
+    cells = sums.select("i", F.posexplode(F.arrays_zip(*_PRODUCTS)).alias("j", "a"))
+    # A pair needs its cell from either side of the diagonal.
+    first, second = F.least("i", "j"), F.greatest("i", "j")
+    upper = F.col("i") <= F.col("j")
+    sided = [F.max(F.when(upper, F.col(f"a.{n}"))).alias(f"{n}_x") for n in _PRODUCTS]
+    sided += [F.max(F.when(F.col("i") >= F.col("j"), F.col(f"a.{n}"))).alias(f"{n}_y") for n in _PRODUCTS]
+    pairs = cells.groupBy(first.alias("x"), second.alias("y")).agg(*sided)
+
+    def spread(side: str) -> Column:
+        squares, drift = F.col(f"squares_{side}"), F.col(f"sums_{side}") * F.col(f"sums_{side}") / F.col("rows_x")
+        left = squares - drift
+        # What rounding alone can leave of a constant column.
+        return F.when(left > squares * 1e-14, left)
+
+    enough = F.col("rows_x") > 1
+    r = F.when(enough, (F.col("both_x") - F.col("sums_x") * F.col("sums_y") / F.col("rows_x")) / F.sqrt(spread("x") * spread("y")))
+    r = F.when(F.col("odd_x") + F.col("odd_y") > 0, F.lit(float("nan"))).otherwise(F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))))
+    r = F.when(F.col("x") == F.col("y"), F.when(r.isNotNull(), F.lit(1.0))).otherwise(r).alias("corr")
+    named = [F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(n) + 1) for n in ("x", "y")]
+    out = pairs.select(named[0].alias("column_x"), named[1].alias("column_y"), r)
+    one = F.struct("column_x", "column_y", "corr")
+    mirrored = F.struct(F.col("column_y").alias("column_x"), F.col("column_x").alias("column_y"), "corr")
     same = F.col("column_x") == F.col("column_y")
-    r = F.when(same, F.when(F.col("corr").isNotNull(), F.lit(1.0))).otherwise(F.col("corr")).alias("corr")
-    one = F.struct("column_x", "column_y", r)
-    mirrored = F.struct(F.col("column_y").alias("column_x"), F.col("column_x").alias("column_y"), r)
     return out.select(F.inline(F.when(same, F.array(one)).otherwise(F.array(one, mirrored))))
 
 
+CENTRE_ROWS = 1000  # rows that show where a column's values lie
+TASKS_PER_ROUND = 256
+#: For a pair (a, b) over the rows where both are: rows, sum of a, sum of a squared, sum of a times b, infinite values of a.
+_PRODUCTS = ["rows", "sums", "squares", "both", "odd"]
+_MATRIX = "i int, " + ", ".join(f"{n} array<double>" for n in _PRODUCTS)
+
+
+def _products(batch: pa.RecordBatch, centre: np.ndarray) -> np.ndarray:
+    x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - centre
+    odd = np.isinf(x)
+    present = (~np.isnan(x)).astype(float)
+    x = np.where(np.isfinite(x), x, 0.0)
+    strange = odd.T.astype(float) @ present if odd.any() else np.zeros((x.shape[1],) * 2)
+    return np.stack([present.T @ present, x.T @ present, (x * x).T @ present, x.T @ x, strange])
+
+
+def _matrix_rows(total: np.ndarray, places: Sequence[int] | None = None) -> pa.RecordBatch:
+    places = range(total.shape[1]) if places is None else places
+    columns = [pa.array(list(places), pa.int32())] + [pa.array(list(m), pa.list_(pa.float64())) for m in total]
+    return pa.RecordBatch.from_arrays(columns, ["i", *_PRODUCTS])
+
+
 def pair_bins(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20) -> DataFrame:
     """Scatter of each pair of numeric columns as counts on a ``bins`` × ``bins`` grid.
 
@@ -241,18 +294,4 @@ def pair_bins(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 2
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10) -> DataFrame:
     """The most frequent values of the first text columns: ``(column, value, count)``."""
     columns = list(columns) if columns is not None else text_columns(df)[:CHART_CATEGORIES]
-    if not columns:
-        return df.sparkSession.createDataFrame([], "column string, value string, count long")
-    parts = []
-    for c in columns:
-        best = (
-            df.where(col(c).isNotNull())
-            .groupBy(col(c).cast("string").alias("value"))
-            .agg(F.count("*").alias("count"))
-            .orderBy(F.desc("count"), "value")
-            .limit(top)
-        )
-        parts.append(best.select(F.lit(c).alias("column"), "value", "count"))
-    return reduce(DataFrame.unionByName, parts)
-
-
+    return top_texts(df, columns, top)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import as_double, check_columns, col
-from tablewright.functions.ranks import index_rows, wall_micros
+from tablewright.functions.ranks import MOST_PIECES, PIECES, ROWS_PER_TASK, _segment, _sketch, _some, index_rows, wall_micros
 
 Z_95 = 1.96  # fixed multiplier of the moving-average interval
 DAY = 86_400_000_000
@@ -52,18 +52,32 @@ def _picked(names: Sequence[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), index.cast("int"))
 
 
-def _per_series(rows: DataFrame, by: Sequence[str], window: Column) -> DataFrame:
-    """One row per series: date pattern and level of the last ``window`` rows, in one partial aggregation."""
-    now, before = F.col("ts"), F.col("prev_ts")
+def _date_flags(now: Column) -> dict[str, Column]:
+    """Where a date lies in its month."""
+    dom, month_days = F.dayofmonth(now), F.dayofmonth(F.last_day(now.cast("date")))
+    ends, starts = dom == month_days, dom == 1
+    return {
+        "month_starts": starts,
+        "business_starts": starts | ((dom <= 3) & (F.weekday(now) == 0)),
+        "month_ends": ends,
+        "business_ends": ends | ((month_days - dom < 3) & (F.weekday(now) == 4)),
+    }
+
+
+def _gaps(now: Column, before: Column) -> tuple[Column, Column, Column]:
+    """Microseconds and months since the date before, and whether the step is one between working days."""
     gap = wall_micros(now) - wall_micros(before)
-    month = F.year(now) * 12 + F.month(now)
-    month_gap = month - (F.year(before) * 12 + F.month(before))
+    month_gap = (F.year(now) * 12 + F.month(now)) - (F.year(before) * 12 + F.month(before))
     # 0 = Monday … 6 = Sunday
     weekday = F.weekday(now)
-    dom, month_days = F.dayofmonth(now), F.dayofmonth(F.last_day(now.cast("date")))
-    ends = dom == month_days
-    starts = dom == 1
     business_step = ((weekday == 0) & (gap == 3 * DAY)) | ((weekday > 0) & (weekday <= 4) & (gap == DAY))
+    return gap, month_gap, business_step
+
+
+def _per_series(rows: DataFrame, by: Sequence[str], window: Column) -> DataFrame:
+    """One row per series: date pattern and level of the last ``window`` rows, in one partial aggregation."""
+    now = F.col("ts")
+    gap, month_gap, business_step = _gaps(now, F.col("prev_ts"))
     tail = F.when(F.col("t") > F.col("n") - window, F.col("value"))
     return rows.groupBy(*[col(b) for b in by]).agg(
         F.max("n").alias("n"),
@@ -74,15 +88,60 @@ def _per_series(rows: DataFrame, by: Sequence[str], window: Column) -> DataFrame
         F.min(month_gap).alias("min_months"),
         F.max(month_gap).alias("max_months"),
         F.bool_and(business_step).alias("business_days"),
-        F.bool_and(starts).alias("month_starts"),
-        F.bool_and(starts | ((dom <= 3) & (weekday == 0))).alias("business_starts"),
-        F.bool_and(ends).alias("month_ends"),
-        F.bool_and(ends | ((month_days - dom < 3) & (weekday == 4))).alias("business_ends"),
+        *[F.bool_and(c).alias(n) for n, c in _date_flags(now).items()],
         F.avg(tail).alias("level"),
         F.stddev_samp(tail).alias("spread"),
     )
 
 
+def _date_pattern(dates: DataFrame, by: Sequence[str], pieces: int = PIECES, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The date columns of :func:`_per_series` out of ``(by…, ts)``, without numbering any row.
+
+    Rows of one date are counted before they move.  Dates are cut into ranges; each range of a series gives its first and
+    last date, its least and greatest gap and its flags, and the ranges' summaries are merged in
+    order, the gap between two of them included.
+    """
+    key = F.struct(*[col(b).alias(b) for b in by]) if by else F.struct(F.lit(0).alias("all"))
+    dates = dates.select(key.alias("_key"), "ts").withColumn("_x", wall_micros(F.col("ts")).cast("double"))
+    (splits,), rows = _sketch(_some(dates), ["_x"], pieces)
+    if rows / pieces > rows_per_task:
+        (splits,), _ = _sketch(_some(dates), ["_x"], min(MOST_PIECES, int(rows / rows_per_task)))
+    days = dates.groupBy("_key", "ts", "_x").agg(F.count("*").alias("c"))
+    days = _segment(days, "_x", splits if rows > rows_per_task else [], "_range")
+    inside = Window.partitionBy("_key", "_range").orderBy("ts")
+    days = days.withColumn("before", F.lag("ts").over(inside))
+    gap, month_gap, business_step = _gaps(F.col("ts"), F.col("before"))
+    ranges = days.groupBy("_key", "_range").agg(
+        F.sum("c").alias("n"),
+        F.max("c").alias("most"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.min(gap).alias("min_gap"),
+        F.max(gap).alias("max_gap"),
+        F.min(month_gap).alias("min_months"),
+        F.max(month_gap).alias("max_months"),
+        F.bool_and(business_step).alias("business_days"),
+        *[F.bool_and(c).alias(n) for n, c in _date_flags(F.col("ts")).items()],
+    )
+    # One row per series and range, so this window stays small.
+    ranges = ranges.withColumn("before", F.lag("last_ts").over(Window.partitionBy("_key").orderBy("_range")))
+    seam, seam_months, seam_step = _gaps(F.col("first_ts"), F.col("before"))
+    twice = F.col("most") > 1  # a second row of a date follows at no distance
+    none = F.when(twice, F.lit(0))
+    merged = ranges.groupBy("_key").agg(
+        F.sum("n").alias("n"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.min(F.least("min_gap", seam, none)).alias("min_gap"),
+        F.max(F.greatest("max_gap", seam, none)).alias("max_gap"),
+        F.min(F.least("min_months", seam_months, none)).alias("min_months"),
+        F.max(F.greatest("max_months", seam_months, none)).alias("max_months"),
+        F.bool_and(F.coalesce(F.col("business_days"), seam_step, ~twice) & F.coalesce(seam_step, F.lit(True)) & ~twice).alias("business_days"),
+        *[F.bool_and(n).alias(n) for n in ("month_starts", "business_starts", "month_ends", "business_ends")],
+    )
+    return merged.select(*[F.col("_key")[b].alias(b) for b in by], *merged.columns[1:])
+
+
 def _with_frequency(stats: DataFrame) -> DataFrame:
     """Adds ``frequency`` (its code), ``inferred``, ``unit`` and ``step`` to per-series date statistics."""
     g = F.col("min_gap")
@@ -213,9 +272,8 @@ def frequency(df: DataFrame, ts: str, by: Sequence[str] = ()) -> DataFrame:
     ``B`` …); otherwise the mean gap picks S, T, H, D, W or M.  Fewer than
     three dates give null.
     """
-    dated = df.withColumn("_one", F.lit(0.0))
-    stats = _per_series(numbered(dated, ts, "_one", by), by, F.lit(0))
-    return _with_frequency(stats).select(*[col(b) for b in by], "n", "first_ts", "last_ts", "frequency", "inferred")
+    dates = series(df.withColumn("_one", F.lit(0.0)), ts, "_one", by).drop("value")
+    return _with_frequency(_date_pattern(dates, by)).select(*[col(b) for b in by], "n", "first_ts", "last_ts", "frequency", "inferred")
 
 
 def window_rows(n: Column, fraction: float = 0.3, least: int = 5) -> Column:

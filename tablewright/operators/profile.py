@@ -22,6 +22,7 @@ from tablewright.functions.columns import (
     text_columns,
 )
 from tablewright.functions.ranks import quantiles
+from tablewright.functions.texts import kept_counts, text_counts, top_texts
 
 
 def _table(df: DataFrame, aggregates: Sequence[Column], entries: Sequence[Column], schema: str) -> DataFrame:
@@ -122,14 +123,14 @@ def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     columns = list(columns if columns is not None else text_columns(df))
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, count long, unique long, top string, freq long")
-    counts = _text_values(df, columns)
-    best = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("count")).alias("c"), F.col("value").alias("v"))))
-    return counts.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0)).alias("count"),
-        F.count("value").alias("unique"),
-        best["v"].alias("top"),
-        (-best["c"]).alias("freq"),
+    counts = kept_counts(df, columns)
+    best = top_texts(df, columns, 1, counts).select("column", F.col("value").alias("top"), F.col("count").alias("freq"))
+    totals = counts.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("count"))), F.lit(0)).alias("count"),
+        F.count("key").alias("unique"),
     )
+    # One row per column of the schema.
+    return totals.join(F.broadcast(best), "column", "left")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -144,14 +145,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
     if exact:
-        # A long text stands for itself by its digest, longer than any text kept as it is.
-        cells = df.select(
-            *[
-                F.when(F.length(t) > 64, F.concat(F.lit("sha-256 "), F.sha2(t, 256))).otherwise(t).alias(c)
-                for c, t in ((c, col(c).cast("string")) for c in columns)
-            ]
-        )
-        return _text_values(cells, columns).groupBy("column").agg(F.count("*").alias("distinct_values"))
+        return text_counts(df, columns).groupBy("column").agg(F.count("*").alias("distinct_values"))
     sketches = [
         (F.approx_count_distinct(col(c)) + F.coalesce(F.max(col(c).isNull().cast("long")), F.lit(0))).alias(f"d{i}")
         for i, c in enumerate(columns)
@@ -237,17 +231,13 @@ def column_details(df: DataFrame, top: int = 10) -> DataFrame:
     # All sides hold one row per column of the schema.
     out = _column_counts(df).join(F.broadcast(numbers), "column", "left")
     if texts:
-        counts = _text_values(df, texts).where(F.col("value").isNotNull())
+        counts = kept_counts(df, texts)
+        best = top_texts(df, texts, top, counts)
         place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
-        # The rank filter is applied before the shuffle too, so one task sees `top` rows per map task.
-        best = (
-            counts.withColumn("place", place)
-            .where(F.col("place") <= top)
-            .groupBy("column")
-            .agg(F.sort_array(F.collect_list(F.struct("place", "value", "count"))).alias("top_values"))
-        )
-        # Reads the counts column too, so that both uses share one shuffle.
-        unique = counts.groupBy("column").agg(F.when(F.sum("count") > 0, F.count("*")).alias("unique_values"))
+        best = best.withColumn("place", place).groupBy("column")
+        best = best.agg(F.sort_array(F.collect_list(F.struct("place", "value", "count"))).alias("top_values"))
+        some = F.count_if(F.col("key").isNotNull())
+        unique = counts.groupBy("column").agg(F.when(some > 0, some).alias("unique_values"))
         out = out.join(F.broadcast(unique), "column", "left").join(F.broadcast(best), "column", "left")
     else:
         out = out.withColumns(

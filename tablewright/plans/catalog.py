@@ -589,6 +589,11 @@ def top_categories(spark: SparkSession, folder: str) -> DataFrame:
     return distribution.top_values(table(spark, folder, "part"))
 
 
+@query("top_texts", " UNION ALL ".join(_counted(c, "documents") for c in ("text", "source")))
+def top_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return distribution.top_values(table(spark, folder, "documents"), ["text", "source"])
+
+
 # --- facts -------------------------------------------------------------------------------------------------------
 
 
