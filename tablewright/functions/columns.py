@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,6 +128,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder as Parquet and read again: later scans read only the columns they use."""
+    if any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
+        return checkpointed(df)  # a column without a type has no place in a file
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The table written to the shared checkpoint folder, so later stages read it and never recompute it."""
     context = df.sparkSession.sparkContext

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import contextlib
 import math
-import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from statistics import NormalDist
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.columns import checkpointed, col, shared_folder
+from tablewright.functions.columns import checkpointed, col, stored
 from tablewright.functions.ranks import in_blocks, index_rows
 from tablewright.operators import css
 from tablewright.operators.forecast import (
@@ -596,13 +595,6 @@ def _least_squares(slim: DataFrame, chosen: DataFrame, keys: list[str], key_sche
     return done.where("gram2 IS NULL").drop("gram2", "hint").unionByName(long)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """One small row per series, written and read again, so that a pass's plan holds nothing of the passes before."""
-    path = f"{shared_folder(df.sparkSession)}/search-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _long_series(slim: DataFrame, chosen: DataFrame, done: DataFrame, keys: list[str], key_schema: str, reach: int, block_rows: int, edge: int) -> DataFrame:
     """Series of many blocks: one pass over the blocks for each step of all their searches."""
     key_cols = [col(k) for k in keys]
@@ -617,7 +609,8 @@ def _long_series(slim: DataFrame, chosen: DataFrame, done: DataFrame, keys: list
         hint = None if row["first_hint"] is None else np.array(list(row["first_hint"]), dtype=float)
         return css.Search(orders, _start(_unflatten(list(row["gram2"])), orders), hint).row()
 
-    state = _stored(_per_row(state, begin, f"{css.Search.COLUMNS}, error string").drop("gram2", "first_hint"))
+    # Written and read again in each pass, so that a pass's plan holds nothing of the passes before.
+    state = stored(_per_row(state, begin, f"{css.Search.COLUMNS}, error string").drop("gram2", "first_hint"))
     search = ["p", "d", "q", *[c.split()[0] for c in css.Search.COLUMNS.split(", ")]]
     # A block of a series as one row, written once; every pass reads it where it lies.
     packed = in_blocks(slim.where(F.col("n") > block_rows), reach, block_rows).groupBy(*key_cols, "block")
@@ -651,7 +644,7 @@ def _long_series(slim: DataFrame, chosen: DataFrame, done: DataFrame, keys: list
         part = _per_row(with_state(state.where("searching"), *search), summary, f"{_SUMMARY}, error string")
         part = part.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("block", "gram", "tail", "n_residuals"))).alias("parts"))
         told = _per_row(_add_to_series(state, part, keys), advance, f"{css.Search.COLUMNS}, error string")
-        state = _stored(told.drop("parts"))
+        state = stored(told.drop("parts"))
 
     def over_gaps(row: dict) -> dict:
         search, own = css.Search.of(row), np.array(row["own"], dtype=bool)

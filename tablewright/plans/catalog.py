@@ -974,8 +974,37 @@ def stream_new_files(spark: SparkSession, folder: str) -> DataFrame:
                round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM m GROUP BY c_mktsegment""",
 )
 def customer_segments(spark: SparkSession, folder: str) -> DataFrame:
-    options = runs.Options(strategy="mean", dedupe=True)
-    table_ = runs.prepared(made(spark, folder, inputs.CUSTOMERS_WITH_GAPS), options)
-    groups = facts.measure_by(table_, "c_acctbal", "c_mktsegment")
-    shares = facts.group_share(table_, "c_mktsegment").select("c_mktsegment", "share")
+    options = runs.Options(strategy="mean", dedupe=True, measure="c_acctbal", dimension="c_mktsegment")
+    results = runs.run(made(spark, folder, inputs.CUSTOMERS_WITH_GAPS), "full", options)
+    groups, shares = results["measure_by"], results["group_share"].select("c_mktsegment", "share")
     return rounded(rounded(groups.join(shares, "c_mktsegment"), 4, "mean", "median"), 6, "share")
+
+
+@query(
+    "run_summary",
+    f"""SELECT CAST(count(*) AS BIGINT) AS "rows", 5 AS "columns", 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS column_list,
+               CAST(0 AS BIGINT) AS missing_values, CAST(0 AS DOUBLE) AS missing_percentage, 'c_custkey,c_nationkey,c_acctbal' AS numeric_columns,
+               'c_name,c_mktsegment' AS categorical_columns, '' AS date_columns, 3 AS n_numeric, 2 AS n_categorical, 0 AS n_date
+        FROM (SELECT DISTINCT * FROM ({CUSTOMERS}) x) c""",
+)
+def run_summary(spark: SparkSession, folder: str) -> DataFrame:
+    results = runs.run(made(spark, folder, inputs.CUSTOMERS_WITH_GAPS), "full", runs.Options(strategy="mean"))
+    lists = ("column_list", "numeric_columns", "categorical_columns", "date_columns")
+    return results["summary"].withColumns({c: F.array_join(c, ",") for c in lists})
+
+
+@query(
+    "run_forecast",
+    f"""WITH m AS (SELECT avg(o_totalprice) AS v FROM ({ORDERS}) o),
+             r AS (SELECT DISTINCT o_orderkey, o_custkey, coalesce(o_orderstatus, 'Unknown') AS s, coalesce(o_totalprice, v) AS y, o_orderdate AS ts, o_orderpriority
+                   FROM ({ORDERS}) o, m),
+             n AS (SELECT y, row_number() OVER (ORDER BY ts, y) AS t, count(*) OVER () AS n FROM r),
+             w AS (SELECT avg(y) AS level, stddev_samp(y) AS spread, max(greatest(5, CAST(floor(n * 0.3) AS BIGINT))) AS size
+                   FROM n WHERE t > n - greatest(5, CAST(floor(n * 0.3) AS BIGINT)))
+        SELECT CAST(k AS INTEGER) AS step, round(level, 4) AS value, round(level - 1.96 * spread, 4) AS lower, round(level + 1.96 * spread, 4) AS upper,
+               'sma' AS model, CAST(size AS BIGINT) AS window_size FROM w, (SELECT unnest(range(1, 11)) AS k) p""",
+)
+def run_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    options = runs.Options(strategy="mean", date="o_orderdate", target="o_totalprice", periods=_PERIODS)
+    results = runs.run(made(spark, folder, inputs.ORDERS_WITH_GAPS), "forecast_only", options)
+    return rounded(results["forecast"].select("step", "value", "lower", "upper", "model", "window_size"), 4, "value", "lower", "upper")

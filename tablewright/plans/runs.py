@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import categorical_columns, nan_to_null, numeric_columns, text_columns
+from tablewright.functions.columns import nan_to_null, numeric_columns, stored, text_columns
 from tablewright.operators import arima, clean, distribution, facts, forecast, profile, transform, validate
 from tablewright.sources import files, sinks
 
@@ -52,50 +52,79 @@ def prepared(df: DataFrame, options: Options) -> DataFrame:
     return out
 
 
-def run(df: DataFrame, mode: str = "full", options: Options | None = None) -> dict[str, DataFrame]:
-    """Result tables of a run by name, each computed when it is used."""
+class Results(Mapping[str, DataFrame]):
+    """Result tables by name; each is built when it is first asked for, and then kept."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders, self._built = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def run(df: DataFrame, mode: str = "full", options: Options | None = None) -> Results:
+    """Result tables of a run by name.  No job runs before one is asked for.
+
+    The processed table is made and written once, by whichever result needs it first.
+    """
     if mode not in MODES:
         raise ValueError(f"Unknown mode: {mode}")
     options = options or Options()
     df = nan_to_null(df)
-    out: dict[str, DataFrame] = {"validation": validate.validate(df, options.required)}
-    # A forecast alone is one of the processed table, too.
-    table = df if mode == "insights_only" else prepared(df, options)
+    made: list[DataFrame] = []
+
+    def table() -> DataFrame:
+        # A forecast alone is one of the processed table, too.
+        if not made:
+            made.append(df if mode == "insights_only" else stored(prepared(df, options)))
+        return made[0]
+
+    out: dict[str, Callable[[], DataFrame]] = {"validation": lambda: validate.validate(df, options.required)}
     if mode in ("full", "process_only"):
         out["processed"] = table
-        out["cleaning_report"] = clean.cleaning_report(df, options.strategy, options.dedupe)
+        out["cleaning_report"] = lambda: clean.cleaning_report(df, options.strategy, options.dedupe)
     if mode in ("full", "insights_only"):
-        out.update(_insights(table, options))
+        out |= _insights(df, table, options)
     if mode in ("full", "forecast_only") and options.date and options.target:
-        ahead = arima.forecast(table, options.date, options.target, options.periods, options.model, by=options.by)
-        out["forecast"] = ahead
-        out["forecast_chart"] = forecast.chart_series(table, options.date, options.target, ahead, options.by)
-    return out
+        out["forecast"] = lambda: arima.forecast(table(), options.date, options.target, options.periods, options.model, by=options.by)
+        out["forecast_chart"] = lambda: forecast.chart_series(table(), options.date, options.target, results["forecast"], options.by)
+    results = Results(out)
+    return results
 
 
-def _insights(table: DataFrame, options: Options) -> dict[str, DataFrame]:
-    numbers, texts = numeric_columns(table), text_columns(table)
+def _insights(df: DataFrame, table: Callable[[], DataFrame], options: Options) -> dict[str, Callable[[], DataFrame]]:
+    """What there is to show follows from the column types alone: cleaning keeps them, indicator columns are numbers."""
+    numbers = len(numeric_columns(df)) + len(options.one_hot)
+    texts = [c for c in text_columns(df) if c not in options.one_hot]
     out = {
-        "summary": profile.summary(table),
-        "missing": profile.missing(table),
-        "complete_rows": profile.complete_rows(table),
-        "description": profile.description_lines(table),
+        "summary": lambda: profile.summary(table()),
+        "missing": lambda: profile.missing(table()),
+        "complete_rows": lambda: profile.complete_rows(table()),
+        "description": lambda: profile.description_lines(table()),
     }
     if numbers:
-        out["describe"] = profile.describe(table)
-        out["histogram"] = distribution.histogram(table)
-        out["boxes"] = distribution.boxes(table)
-    if len(numbers) > 1:
-        out["correlations"] = distribution.correlations(table)
-    if categorical_columns(table) and texts:
-        out["top_values"] = distribution.top_values(table)
+        out["describe"] = lambda: profile.describe(table())
+        out["histogram"] = lambda: distribution.histogram(table())
+        out["boxes"] = lambda: distribution.boxes(table())
+    if numbers > 1:
+        out["correlations"] = lambda: distribution.correlations(table())
+    if texts:
+        out["top_values"] = lambda: distribution.top_values(table())
     if options.measure and options.dimension:
-        out["measure_by"] = facts.measure_by(table, options.measure, options.dimension)
-        out["group_gap"] = facts.group_gap(table, options.measure, options.dimension)
+        out["measure_by"] = lambda: facts.measure_by(table(), options.measure, options.dimension)
+        out["group_gap"] = lambda: facts.group_gap(table(), options.measure, options.dimension)
     if options.dimension:
-        out["group_share"] = facts.group_share(table, options.dimension)
+        out["group_share"] = lambda: facts.group_share(table(), options.dimension)
     if options.date:
-        out["rows_by_year"] = facts.rows_by_year(table, options.date, options.dimension)
+        out["rows_by_year"] = lambda: facts.rows_by_year(table(), options.date, options.dimension)
     return out
 
 
@@ -111,14 +140,14 @@ def file_worker(spark: SparkSession, folder: str, options: Options | None = None
         state = validate.validate(df, options.required).first()
         if not state["valid"]:
             raise files.IngestError("; ".join(state["errors"]))
-        table = prepared(df, options)
+        table = stored(prepared(df, options))
         target = sinks.write_files(table, sinks.processed_path(folder, path), fmt)
-        texts = profile.description_lines(df).agg(
+        texts = profile.description_lines(table).agg(
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text")
         )
         insights = F.create_map(F.lit("data_description"), texts.scalar())
         use_cases = F.array().cast("array<struct<title:string,description:string,impact:string,effort:string>>")
-        document = sinks.insights_document(df, path.rsplit("/", 1)[-1], insights, use_cases)
+        document = sinks.insights_document(table, path.rsplit("/", 1)[-1], insights, use_cases)
         sinks.write_files(document, sinks.processed_path(folder, path, "insights"), "json")
         return {"output_path": target}
 

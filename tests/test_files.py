@@ -250,3 +250,31 @@ def test_run_modes(spark):
     assert "forecast" not in runs.run(df, "insights_only", options)
     with pytest.raises(ValueError):
         runs.run(df, "sideways")
+
+
+def test_run_does_nothing_before_it_is_asked(spark):
+    rows = [(i, ["x", "y"][i % 2], float(i % 7) if i % 5 else None, dt.date(2024, 1, 1) + dt.timedelta(days=i), None) for i in range(60)]
+    df = spark.createDataFrame(rows, "`a b` int, k string, v double, d date, `odd,;{}()=` void")
+    context = spark.sparkContext
+    context.setJobGroup("lazy run", "")
+    try:
+        options = runs.Options(strategy="median", measure="v", dimension="k", date="d", target="v", periods=4)
+        for mode in runs.MODES:
+            assert runs.run(df, mode, options)
+        assert not context.statusTracker().getJobIdsForGroup("lazy run")
+        results = runs.run(df.drop("odd,;{}()="), "full", options)
+        assert results["group_share"].count() == 2 and results["processed"] is results["processed"]
+        # What is read is the table that was written, once.
+        assert results["measure_by"].inputFiles() and set(results["measure_by"].inputFiles()) <= set(results["processed"].inputFiles())
+        assert runs.run(df, "full", options)["summary"].first()["rows"] == 60
+    finally:
+        context._jsc.clearJobGroup()
+
+
+def test_file_worker_describes_the_processed_table(spark, tmp_path):
+    source = tmp_path / "t.csv"
+    source.write_text("a,b\n1,x\n1,x\n,y\n")
+    runs.file_worker(spark, str(tmp_path / "out"), fmt="parquet")(str(source))
+    document = spark.read.json(str(tmp_path / "out" / "t_insights")).first()
+    assert document["data_summary"]["rows"] == 2 and document["data_summary"]["missing_values"]["a"] == 0
+    assert "2 rows" in document["insights"]["data_description"]
