@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import re
+import uuid
+
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import nan_to_null
+from tablewright.functions.columns import nan_to_null, shared_folder, stored
+from tablewright.sources import ranges
 from tablewright.sources.excel import read_excel
 from tablewright.sources.tables import load_table
 from tablewright.sources.text import apply_types, blank_to_null, distinct_names, infer_types
@@ -51,30 +55,66 @@ def size_of(spark: SparkSession, path: str) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited text with a header row; types are found in one pass after null spellings are removed."""
+    """Delimited text with a header row; types are found in one pass after null spellings are removed.
+
+    Records that span lines are read from byte ranges in parallel, too.  The files of a folder must have one header.
+    """
     # A line with an odd number of quotes leaves a quoted cell open.  Without such
     # lines every record is one line, and large files can be read in splits.
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     spans_lines = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    options = {"multiLine": spans_lines, "escape": '"', "nullValue": "", "emptyValue": ""}
-    raw = spark.read.options(header=False, **options)
-    first = raw.csv(path).first()
+    options = {"escape": '"', "nullValue": "", "emptyValue": ""}
+    if spans_lines:
+        found = stored(ranges.records(spark, path, ranges.QuotedLines()))
+        options["multiLine"] = True
+        # Headers that differ are two already; no more are wanted.
+        heads = [r["text"] for r in found.where("first").select("text").distinct().limit(2).collect()]
+        if len(heads) > 1:
+            raise IngestError(f"Files with different headers: {path}")
+        first = _cells(spark, heads[0], options) if heads else None
+    else:
+        raw = spark.read.options(header=False, **options)
+        first = raw.csv(path).first()
     if first is None:
         raise IngestError(f"Empty file: {path}")
     names = distinct_names([v or "" for v in first])
     # Positional names in the schema: Spark would rename repeated headers its own way.
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    body = spark.read.options(header=True, enforceSchema=True, **options).schema(schema).csv(path)
+    if spans_lines:
+        cells = found.where("NOT first").select(F.from_csv("text", schema, {k: str(v) for k, v in options.items()}).alias("cells"))
+        body = cells.select("cells.*")
+    else:
+        body = spark.read.options(header=True, enforceSchema=True, **options).schema(schema).csv(path)
     text = body.select(*[blank_to_null(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
     return apply_types(text, infer_types(text))
 
 
+def _cells(spark: SparkSession, record: str, options: dict) -> list[str | None]:
+    """The cells of one record; there are no more than delimiters and one."""
+    most = record.count(",") + 1
+    schema = ", ".join(f"c{i} string" for i in range(most))
+    row = spark.range(1).select(F.from_csv(F.lit(record), schema, {k: str(v) for k, v in options.items()}).alias("cells")).first()["cells"]
+    cells = list(row)
+    # Delimiters inside quotes leave cells over.
+    outside = "".join(record.split('"')[::2]).count(",") + 1
+    return cells[:outside]
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of records; a top-level object is refused."""
-    whole = spark.read.text(path, wholetext=True)
-    if not whole.where(~F.col("value").rlike(r"^\s*\[")).isEmpty():
-        raise IngestError(f"JSON file must hold a list of records: {path}")
-    return spark.read.option("multiLine", True).json(path)
+    """A JSON list of records; a top-level object is refused.
+
+    The list is cut into its records range by range, with one record in memory; these are written a line each and
+    read as such.
+    """
+    target = f"{shared_folder(spark).rstrip('/')}/records-{uuid.uuid4()}"
+    try:
+        ranges.records(spark, path, ranges.ListedRecords()).select("text").write.text(target)
+    except PythonException as e:
+        said = re.findall(r"ValueError: (JSON [^\n]*)", str(e))
+        if not said:
+            raise
+        raise IngestError(f"{said[0]}: {path}") from e
+    return spark.read.json(target)
 
 
 def load(spark: SparkSession, uri: str, limit: int | None = None, allow_empty: bool = False) -> DataFrame:
