@@ -17,6 +17,7 @@ from tablewright.sources.text import apply_types, blank_to_null, distinct_names,
 
 # File types that can be loaded (.xls is recognised, but its old binary form is not decoded).
 SUPPORTED = [".csv", ".xls", ".xlsx", ".json", ".parquet"]
+UNDECODED = ".xls"
 
 
 class IngestError(Exception):
@@ -32,6 +33,11 @@ def is_supported(path: Column) -> Column:
     return file_type(path).isin(SUPPORTED)
 
 
+def is_loadable(path: Column) -> Column:
+    """Supported, and of a form that is decoded here."""
+    return is_supported(path) & (file_type(path) != UNDECODED)
+
+
 def base_name(path: Column) -> Column:
     """File name without folder and extension."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
@@ -126,7 +132,7 @@ def load(spark: SparkSession, uri: str, limit: int | None = None, allow_empty: b
         df = load_table(spark, uri[len("table:") :], limit)
     else:
         kind = uri[uri.rfind(".") :].lower() if "." in uri.rsplit("/", 1)[-1] else ""
-        if kind not in SUPPORTED or kind == ".xls":
+        if kind not in SUPPORTED or kind == UNDECODED:
             raise IngestError(f"Unsupported file type: {kind or uri}")
         readers = {".csv": read_csv, ".json": read_json, ".xlsx": read_excel}
         try:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tablewright.sources.files import is_supported, list_files
+from tablewright.sources.files import is_loadable, is_supported, list_files
 from tablewright.streaming.ledger import append_results, new_files, read_ledger
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -112,8 +112,12 @@ def run_batch(
     Returns this run's ledger rows.
     """
     begin = dt.datetime.now(dt.timezone.utc)
-    done = read_ledger(spark, ledger).where("status = 'success'")
-    todo = new_files(list_files(spark, folder, glob), done).select("path")
+    past = read_ledger(spark, ledger)
+    todo = new_files(list_files(spark, folder, glob), past.where("status = 'success'")).select("path")
+    # A file of a type that is known but not decoded gets one error row, as another try would end alike.
+    undecoded = ~is_loadable(F.col("path"))
+    tried = past.select(F.col("file_path").alias("path")).distinct()
+    todo = todo.where(~undecoded).unionByName(todo.where(undecoded).join(tried, "path", "left_anti"))
     for results in _handle_all((r["path"] for r in todo.toLocalIterator()), on_file, parallel):
         append_results(spark, ledger, results)
     return read_ledger(spark, ledger).where(F.col("processed_at") >= F.lit(begin))

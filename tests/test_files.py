@@ -182,7 +182,7 @@ def test_batch_handles_new_files_once_and_goes_on_after_a_failure(spark, tmp_pat
     cleaned = spark.read.csv(f"{out}/good_processed", header=True)
     assert sorted(r["v"] for r in cleaned.collect()) == ["2.0", "2.0"]
     note = spark.read.json(f"{out}/good_insights").first()
-    assert note["file_name"] == "good.csv" and "DataFrame shape: 3 rows" in note["insights"]["data_description"]
+    assert note["file_name"] == "good.csv" and "DataFrame shape: 2 rows" in note["insights"]["data_description"]
     put(source / "bad.csv", "a,b\n1,2\n")
     put(source / "more.json", '[{"a": 1}]')
     second = watch.run_batch(spark, str(source), book, work)
@@ -278,3 +278,32 @@ def test_file_worker_describes_the_processed_table(spark, tmp_path):
     document = spark.read.json(str(tmp_path / "out" / "t_insights")).first()
     assert document["data_summary"]["rows"] == 2 and document["data_summary"]["missing_values"]["a"] == 0
     assert "2 rows" in document["insights"]["data_description"]
+
+
+def test_ledger_stays_small_and_survives_a_cut(spark, tmp_path):
+    book = str(tmp_path / "book")
+    for i in range(40):
+        ledger.append_results(spark, book, [{"file_path": f"/in/f{i}.csv", "status": "success"}])
+    assert len(os.listdir(book)) <= 2 + 8 + ledger.FAN_IN  # merged ones, single ones, replaced ones
+    names = [r["base_name"] for r in ledger.read_ledger(spark, book).collect()]
+    assert sorted(names) == sorted(f"f{i}" for i in range(40))
+    # A segment that was cut short, and a merge that was: neither counts, and the next call puts its own in their place.
+    for cut in ("results-000000000040-000000000040", "results-000000000000-000000000255"):
+        os.mkdir(f"{book}/{cut}")
+        (tmp_path / "book" / cut / "part-0.parquet").write_bytes(b"half")
+    assert ledger.read_ledger(spark, book).count() == 40
+    ledger.append_results(spark, book, [{"file_path": "/in/last.csv", "status": "error", "message": "no"}])
+    assert ledger.read_ledger(spark, book).count() == 41
+    assert ledger.read_ledger(spark, str(tmp_path / "none")).count() == 0
+    put(tmp_path / "other" / "x.txt", "x")
+    with pytest.raises(ledger.LedgerError):
+        ledger.read_ledger(spark, str(tmp_path / "other"))
+
+
+def test_an_undecoded_type_is_tried_once(spark, tmp_path):
+    put(tmp_path / "in" / "old.xls", "not read")
+    put(tmp_path / "in" / "new.csv", "a\n1\n")
+    work = runs.file_worker(spark, str(tmp_path / "out"))
+    runs_ = [watch.run_batch(spark, str(tmp_path / "in"), str(tmp_path / "book"), work).collect() for _ in range(2)]
+    assert {(r["base_name"], r["status"]) for r in runs_[0]} == {("old", "error"), ("new", "success")}
+    assert runs_[1] == []
