@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import checkpointed, shared_folder
 from tablewright.operators import arima, clean, distribution, extract, facts, forecast, profile, transform, validate
 from tablewright.plans import inputs, runs
-from tablewright.sources import files, tables
+from tablewright.functions import ranks
+from tablewright.sources import documents, files, sinks, tables
 from tablewright.streaming import ledger, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1008,3 +1009,167 @@ def run_forecast(spark: SparkSession, folder: str) -> DataFrame:
     options = runs.Options(strategy="mean", date="o_orderdate", target="o_totalprice", periods=_PERIODS)
     results = runs.run(made(spark, folder, inputs.ORDERS_WITH_GAPS), "forecast_only", options)
     return rounded(results["forecast"].select("step", "value", "lower", "upper", "model", "window_size"), 4, "value", "lower", "upper")
+
+
+# --- files, tables and documents, there and back -----------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
+@query("csv_round_trip", "SELECT doc_id, nullif(text, '') AS text, lang, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents")
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts, with the lines and quotes they hold, written as delimited text and loaded again."""
+    path = sinks.write_files(table(spark, folder, "documents"), _place(spark, "documents.csv"), "csv")
+    return files.load(spark, path)
+
+
+@query("json_round_trip", "SELECT c_custkey, c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer")
+def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """One JSON list of records for each nation, loaded as one table."""
+    records = F.to_json(F.collect_list(F.struct("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment"))).alias("value")
+    path = _place(spark, "customers.json")
+    table(spark, folder, "customer").groupBy("c_nationkey").agg(records).write.partitionBy("c_nationkey").text(path)
+    return files.load(spark, path)
+
+
+@query("table_replace_append", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation")
+def table_replace_append(spark: SparkSession, folder: str) -> DataFrame:
+    name = "round_trip_names"
+    parts = [table(spark, folder, t).select(f"{t[0]}_{t}key", f"{t[0]}_name").toDF("r_regionkey", "r_name") for t in ("nation", "region", "nation")]
+    for part, mode in zip(parts, ("replace", "replace", "append")):
+        sinks.write_table(part, name, mode)
+    return tables.load_table(spark, name)
+
+
+@query("sql_statement", "SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority")
+def sql_statement(spark: SparkSession, folder: str) -> DataFrame:
+    table(spark, folder, "orders").createOrReplaceTempView("statement_orders")
+    done = tables.execute(spark, "CREATE OR REPLACE TEMPORARY VIEW finished AS SELECT * FROM statement_orders WHERE o_orderstatus = 'F'")
+    assert not done.columns
+    return tables.query(spark, "SELECT o_orderpriority, count(*) AS n FROM finished GROUP BY o_orderpriority")
+
+
+@query(
+    "folder_listing",
+    " UNION ALL ".join(f"SELECT '{t}' AS base_name, '.parquet' AS file_type, TRUE AS supported FROM (SELECT count(*) FROM {t}) x" for t in inputs.TABLES),
+)
+def folder_listing(spark: SparkSession, folder: str) -> DataFrame:
+    found = files.list_files(spark, folder, "*.parquet")
+    return found.select(files.base_name(F.col("path")).alias("base_name"), "file_type", "supported")
+
+
+@query(
+    "insights_document",
+    f"""SELECT 'orders.parquet' AS file_name, 'DataFrame shape: ' || CAST(count(*) AS VARCHAR) || ' rows, 6 columns' AS first_line,
+               CAST(count(*) AS BIGINT) AS "rows", 6 AS "columns", CAST(count(*) - count(o_totalprice) AS BIGINT) AS missing_prices,
+               'Review the price' AS first_case FROM ({ORDERS}) o""",
+)
+def insights_document(spark: SparkSession, folder: str) -> DataFrame:
+    """An insights document written as JSON and read again."""
+    df = made(spark, folder, inputs.ORDERS_WITH_GAPS)
+    lines = profile.description_lines(df).agg(F.min_by("line", "line_no")).scalar()
+    case = F.struct(*[F.lit(v).alias(n) for n, v in (("title", "Review the price"), ("description", "-"), ("impact", "High"), ("effort", "Low"))])
+    document = sinks.insights_document(df, "orders.parquet", F.create_map(F.lit("data_description"), lines), F.array(case))
+    path = sinks.write_files(document, _place(spark, "orders_insights"), "json")
+    found = spark.read.json(path)
+    return found.select(
+        "file_name",
+        F.col("insights.data_description").alias("first_line"),
+        F.col("data_summary.rows").alias("rows"),
+        F.col("data_summary.columns").cast("int").alias("columns"),
+        F.col("data_summary.missing_values.o_totalprice").alias("missing_prices"),
+        F.col("use_cases")[0]["title"].alias("first_case"),
+    )
+
+
+@query(
+    "forecast_document",
+    f"""{_SMA}, h AS (SELECT event_type, count(*) AS n, sum(value) AS total, max(ts) AS last_ts FROM events GROUP BY event_type),
+             g AS (SELECT event_type, count(*) AS n, max(level) AS level, max(level + 1.96 * spread) AS upper, max(next_ts) AS last_ts FROM ahead GROUP BY event_type)
+        SELECT h.event_type, CAST(h.n AS BIGINT) AS n_history, round(total, 4) AS total, CAST(g.n AS BIGINT) AS n_ahead,
+               round(level, 6) AS value, round(upper, 6) AS upper, g.last_ts FROM h JOIN g USING (event_type)""",
+)
+def forecast_document(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with whole history and forecast, written and read again."""
+    events = table(spark, folder, "events")
+    ahead = forecast.forecast_sma(events, "ts", "value", _PERIODS, by=["event_type"])
+    found = spark.read.json(documents.write_forecasts(events, "ts", "value", ahead, _place(spark, "forecasts"), ["event_type"]))
+    past, next_ = F.col("original_data.values"), F.col("forecast.values")
+    return found.select(
+        "event_type",
+        F.size(past).cast("long").alias("n_history"),
+        F.round(F.aggregate(past, F.lit(0.0), lambda a, v: a + v), 4).alias("total"),
+        F.size(next_).cast("long").alias("n_ahead"),
+        F.round(next_[0], 6).alias("value"),
+        F.round(F.col("confidence_intervals.upper")[0], 6).alias("upper"),
+        F.to_timestamp_ntz(F.array_max("forecast.dates")).alias("last_ts"),
+    )
+
+
+@query(
+    "forecast_fallback",
+    """SELECT event_type, CAST(step AS INTEGER) AS step, CAST(3 AS DOUBLE) AS value, CAST(3 AS DOUBLE) AS lower, 'sma' AS model, TRUE AS has_reason
+       FROM (SELECT DISTINCT event_type FROM events) e, (SELECT unnest(range(1, 11)) AS step) p""",
+)
+def forecast_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """A model that cannot be fitted, as no value differs from another, gives way to the moving average."""
+    flat = table(spark, folder, "events").select("event_type", "ts", F.lit(3.0).alias("value"))
+    found = arima.forecast(flat, "ts", "value", _PERIODS, model="arima", by=["event_type"])
+    return found.select("event_type", "step", "value", "lower", "model", F.col("error").isNotNull().alias("has_reason"))
+
+
+@query(
+    "run_batch",
+    " UNION ALL ".join(
+        f"SELECT '{t}.parquet' AS file, 'success' AS status, CAST(count(*) AS VARCHAR) AS details FROM {t}" for t in inputs.TABLES if t != "region"
+    )
+    + " UNION ALL SELECT 'region.parquet', 'error', 'region has ' || CAST(count(*) AS VARCHAR) || ' rows' FROM region",
+)
+def run_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """One scheduled batch over the table files, of which one fails; the others are handled all the same."""
+
+    def count_rows(path: str) -> dict:
+        n = files.load(spark, path).count()
+        if "region" in path.rsplit("/", 1)[-1]:
+            raise ValueError(f"region has {n} rows")
+        return {"message": str(n)}
+
+    return ledger.file_results(watch.run_batch(spark, folder, _place(spark, "ledger"), count_rows, "*.parquet"))
+
+
+# --- the ways taken by tables too large for one task, with their limits forced down -------------------------------
+
+
+@query(
+    "quantiles_segmented",
+    """SELECT event_type, CAST(count(value) AS BIGINT) AS n, round(quantile_cont(value, 0.25), 6) AS q25,
+              round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75 FROM events GROUP BY event_type""",
+)
+def quantiles_segmented(spark: SparkSession, folder: str) -> DataFrame:
+    found = ranks.quantiles(
+        table(spark, folder, "events"), ["value"], [0.25, 0.5, 0.75], by=["event_type"], pieces=32, rows_per_task=10, counted_directly=0
+    )
+    return rounded(found.drop("column"), 6, "q25", "q50", "q75")
+
+
+@query(
+    "rows_segmented",
+    """SELECT event_type, ts, value, CAST(row_number() OVER w AS BIGINT) AS t, CAST(count(*) OVER (PARTITION BY event_type) AS BIGINT) AS n
+       FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, value)""",
+)
+def rows_segmented(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").select("event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+    return ranks.index_rows(rows, ["event_type"], ["ts", "value"], pieces=64, rows_per_task=10)
+
+
+@query(
+    "correlations_with_gaps",
+    " UNION ALL ".join(
+        f"""SELECT '{a}' AS column_x, '{b}' AS column_y, {'CASE WHEN count(' + a + ') > 1 THEN 1.0 END' if a == b else f'round(corr({a}, {b}), 6)'}::DOUBLE AS corr
+            FROM ({CUSTOMERS}) c""" for a in ("c_custkey", "c_nationkey", "c_acctbal") for b in ("c_custkey", "c_nationkey", "c_acctbal")
+    ),
+)
+def correlations_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(distribution.correlations(made(spark, folder, inputs.CUSTOMERS_WITH_GAPS)), 6, "corr")

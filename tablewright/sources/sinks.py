@@ -19,7 +19,8 @@ def write_files(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """A folder of Parquet, CSV (with header) or JSON files, written in parallel."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        # As the reader here and others take it: quotes doubled, blanks and empty texts as they are.
+        writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         writer.format(fmt).save(path)
     return path
@@ -49,8 +50,7 @@ def insights_document(df: DataFrame, file_name: str, insights: Column, use_cases
 def forecast_documents(forecast: DataFrame, by: list[str]) -> DataFrame:
     """One nested row per series: model, forecast values and intervals in step order.
 
-    Bounded by the number of periods.  History is left out of the nested row
-    because a series may be of any length; write ``chart_series`` beside it.
+    Bounded by the number of periods.  ``documents.write_forecasts`` writes files with the whole history, too.
     """
     point = F.struct("step", "ts", "value", "lower", "upper")
     rows = forecast.groupBy(*by, "model", "frequency", "window_size", "error").agg(
