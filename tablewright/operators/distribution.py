@@ -82,23 +82,30 @@ def bin_rule(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
 def histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Histogram rows ``(column, bin, low, high, count)``, empty bins included, last bin closed."""
     columns = _charted(df, columns)
     found = bin_rule(df, columns)
-    # One row per column of the schema, worked out once and used twice below.
-    rule = F.broadcast(df.sparkSession.createDataFrame(found.collect(), found.schema))
+    rules = found.collect()  # one row per column of the schema
+    if not rules:
+        return df.sparkSession.createDataFrame([], "column string, bin long, low double, high double, count long")
+    rule = F.broadcast(df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rules)], f"code int, {_ddl(found)}"))
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
-    binned = (
-        melt(df, columns)
-        .join(rule, "column")
-        .withColumn("bin", F.least(F.floor((F.col("value") - F.col("lo")) / width).cast("long"), F.col("bins") - 1))
-    )
-    counts = binned.groupBy("column", "bin").agg(F.count("*").alias("c"))
+    # The rule is written into the expressions, so rows are binned where they are read and counted by two numbers.
+    places = []
+    for i, r in enumerate(rules):
+        v, step = as_double(df, r["column"]), (r["hi"] - r["lo"]) / r["bins"]
+        place = F.least(F.floor((v - F.lit(r["lo"])) / F.lit(step)).cast("long"), F.lit(r["bins"] - 1).cast("long"))
+        places.append(F.struct(F.lit(i).alias("code"), F.when(v.isNotNull(), place).alias("bin")))
+    counts = df.select(F.inline(F.array(*places))).where("bin IS NOT NULL").groupBy("code", "bin").agg(F.count("*").alias("c"))
     block = rule.withColumn("block", F.explode(_whole_numbers(F.col("bins"))))
     start = F.col("block") * 65536
     every = block.withColumn("bin", F.explode(F.sequence(start, F.least(start + 65535, F.col("bins") - 1))))
-    return every.join(counts, ["column", "bin"], "left").select(
+    return every.join(counts, ["code", "bin"], "left").select(
         "column",
         "bin",
         (F.col("lo") + F.col("bin") * width).alias("low"),
@@ -109,29 +116,55 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def density(df: DataFrame, columns: Sequence[str] | None = None, points: int = GRID_POINTS, fineness: int = 16) -> DataFrame:
+def density(df: DataFrame, columns: Sequence[str] | None = None, points: int = GRID_POINTS) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth: ``(column, point, x, density)``.
 
-    Values are first counted in cells of 1/``fineness`` bandwidth, so that the
-    kernel is summed over cells and not over rows; the curve differs from the
-    row-by-row one by less than (1/fineness)²/24 in relative terms.
+    Values are gathered in cells of 1/8 bandwidth; a cell keeps the sums of the first powers of its
+    values' distances from its middle, and the kernels of all its values come from those by the kernel's series
+    around the middle.  A value is at most 1/16 bandwidth off, so the terms left out are below 1e-12 of the
+    kernel's top for each value: the curve is the row-by-row one.  Points so far from a cell that its
+    kernels are exactly 0.0 are left out.
     """
     columns = _charted(df, columns)
     stats = _stats(df, columns).where("n > 1 AND std > 0")
     bandwidth = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     grid = F.broadcast(stats.withColumn("h", bandwidth))  # one row per column
-    cell = F.floor((F.col("value") - F.col("lo")) / (F.col("h") / fineness)).cast("long")
-    cells = melt(df, columns).join(grid, "column").groupBy("column", cell.alias("cell")).agg(F.count("*").alias("c"))
-    centre = F.col("lo") + (F.col("cell") + 0.5) * (F.col("h") / fineness)
-    x = F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / (points - 1)
-    kernel = F.exp(-F.pow((x - centre) / F.col("h"), 2) / 2)
-    spread = (
+    width = F.col("h") / CELLS_PER_BANDWIDTH
+    cell = F.floor((F.col("value") - F.col("lo")) / width).cast("long")
+    middle = F.col("lo") + (F.col("cell") + 0.5) * width
+    placed = melt(df, columns).join(grid, "column").withColumn("cell", cell).withColumn("off", (F.col("value") - middle) / F.col("h"))
+    power, powers = F.lit(1.0), []
+    for k in range(SERIES_TERMS):
+        powers.append(F.sum(power / math.factorial(k)).alias(f"m{k}"))
+        power = power * F.col("off")
+    cells = placed.groupBy("column", "cell").agg(*powers)
+    step = (F.col("hi") - F.col("lo")) / (points - 1)
+    first = F.ceil((middle - ZERO_BEYOND * F.col("h") - F.col("lo")) / step)
+    last = F.floor((middle + ZERO_BEYOND * F.col("h") - F.col("lo")) / step)
+    near = F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(points - 1)).cast("int"))
+    x = F.col("lo") + F.col("point") * step
+    # Hermite polynomials are what the kernel's derivatives multiply it with.
+    u = F.col("u")
+    hermite = [F.lit(1.0), u]
+    while len(hermite) < SERIES_TERMS:
+        hermite.append(u * hermite[-1] - (len(hermite) - 1) * hermite[-2])
+    kernels = F.exp(-u * u / 2) * sum((F.col(f"m{k}") * hermite[k] for k in range(1, SERIES_TERMS)), F.col("m0"))
+    reached = (
         cells.join(grid, "column")
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("x", x)
-        .withColumn("weight", F.col("c") * kernel / (F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5)))
+        .where(last >= first)
+        .withColumn("point", F.explode(near))
+        .withColumn("u", (x - middle) / F.col("h"))
+        .groupBy("column", "point")
+        .agg(F.sum(kernels).alias("kernels"))
     )
-    return spread.groupBy("column", "point").agg(F.max("x").alias("x"), F.sum("weight").alias("density"))
+    every = grid.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    total = F.coalesce("kernels", F.lit(0.0)) / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
+    return every.join(reached, ["column", "point"], "left").select("column", "point", x.alias("x"), total.alias("density"))
+
+
+CELLS_PER_BANDWIDTH = 8
+SERIES_TERMS = 8
+ZERO_BEYOND = 39.0  # bandwidths behind which exp(-u²/2) is 0.0 in double precision
 
 
 def _fences(df: DataFrame, columns: Sequence[str], reach: float) -> DataFrame:

@@ -516,11 +516,10 @@ def dist_histogram(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH long AS ({_long(_MEASURES[:2], "lineitem")}),
         s AS (SELECT "column", count(*) AS n, min(v) AS lo, max(v) AS hi,
                      stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), CAST(-0.2 AS DOUBLE)) AS h FROM long GROUP BY "column"),
-        cells AS (SELECT "column", floor((v - lo) / (h / 16)) AS cell, count(*) AS c FROM long JOIN s USING ("column") GROUP BY 1, 2),
         grid AS (SELECT *, lo + p * (hi - lo) / 199 AS x FROM s, (SELECT unnest(range(200)) AS p) g)
         SELECT "column", CAST(p AS INTEGER) AS point, round(x, 6) AS x,
-               round(sum(c * exp(-pow((x - (lo + (cell + 0.5) * (h / 16))) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 9) AS density
-        FROM grid JOIN cells USING ("column") GROUP BY "column", p, x, n, h""",
+               round(sum(exp(-pow((x - v) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 9) AS density
+        FROM grid JOIN long USING ("column") GROUP BY "column", p, x, n, h""",
 )
 def dist_kde(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(distribution.density(table(spark, folder, "lineitem"), _MEASURES[:2]), 6, "x"), 9, "density")

@@ -110,3 +110,12 @@ def test_date_patterns_number_no_rows(spark):
     plan = forecast.frequency(_dates(spark), "ts", ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "row_number" not in plan.lower()
     assert forecast.frequency(_dates(spark).drop("k").where("false"), "ts").count() == 0
+
+
+def test_density_of_far_values(spark):
+    x = np.concatenate([np.random.default_rng(3).normal(size=400), [1e4, 1e4 + 1e-3]])
+    got = distribution.density(spark.createDataFrame(pd.DataFrame({"x": x}))).toPandas().sort_values("point")
+    h = x.std(ddof=1) * len(x) ** -0.2
+    grid = np.linspace(x.min(), x.max(), 200)
+    want = np.exp(-(((grid[:, None] - x[None, :]) / h) ** 2) / 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert len(got) == 200 and np.allclose(got["density"], want, rtol=1e-9, atol=want.max() * 1e-12)

@@ -228,7 +228,7 @@ def test_density_close_to_direct_sum(spark):
     h = x.std(ddof=1) * len(x) ** -0.2
     grid = np.linspace(x.min(), x.max(), 200)
     want = np.exp(-(((grid[:, None] - x) / h) ** 2) / 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
-    assert np.allclose(got["x"], grid) and np.abs(got["density"] - want).max() < 2e-3 * want.max()
+    assert np.allclose(got["x"], grid) and np.abs(got["density"] - want).max() < 1e-11 * want.max()
 
 
 def test_boxes_and_outliers(spark):
