@@ -876,6 +876,9 @@ def forecast_arima(spark: SparkSession, folder: str) -> DataFrame:
     return arima.forecast(daily, "ts", "value", _PERIODS, model="arima", by=["o_orderpriority"])
 
 
+_FIVE_PERCENT = -2.861593  # statistic whose p-value is 0.05
+
+
 @query(
     "unit_root",
     """WITH s AS (SELECT event_type, value AS y, lag(value) OVER (PARTITION BY event_type ORDER BY ts, value) AS x FROM events),
@@ -888,6 +891,24 @@ def unit_root(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found.select("event_type", "n", "lags", "statistic"), 6, "statistic")
 
 
+@query(
+    "forecast_order",
+    f"""WITH s AS (SELECT o_orderpriority AS k, value AS y, lag(value) OVER w AS x, lag(value, 2) OVER w AS x2
+                  FROM ({plain(inputs.DAILY_ORDERS)}) d WINDOW w AS (PARTITION BY o_orderpriority ORDER BY ts, value)),
+            f AS (SELECT k, count(*) AS n, regr_slope(y - x, x) / sqrt((regr_syy(y - x, x) - regr_sxy(y - x, x) * regr_slope(y - x, x)) / (regr_count(y - x, x) - 2) / regr_sxx(y - x, x)) AS level,
+                         regr_slope(y - 2 * x + x2, x - x2) / sqrt((regr_syy(y - 2 * x + x2, x - x2) - regr_sxy(y - 2 * x + x2, x - x2) * regr_slope(y - 2 * x + x2, x - x2))
+                             / (regr_count(y - 2 * x + x2, x - x2) - 2) / regr_sxx(y - 2 * x + x2, x - x2)) AS step FROM s GROUP BY k)
+       SELECT k AS o_orderpriority, CAST(n AS BIGINT) AS n, CAST(least(5, greatest(1, n // 10)) AS INTEGER) AS p,
+              CAST(CASE WHEN level <= {_FIVE_PERCENT} THEN 0 WHEN step <= {_FIVE_PERCENT} THEN 1 ELSE 2 END AS INTEGER) AS d,
+              CAST(least(2, greatest(1, n // 20)) AS INTEGER) AS q FROM f""",
+)
+def forecast_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with unit-root tests without lags, where the other engine can state them."""
+    daily = checkpointed(made(spark, folder, inputs.DAILY_ORDERS))
+    fits = arima.fit_arima(daily, "ts", "value", _PERIODS, by=["o_orderpriority"], max_lag=0)
+    return fits.select("o_orderpriority", "n", "p", "d", "q")
+
+
 @query(
     "forecast_ar1",
     """WITH RECURSIVE s AS (
