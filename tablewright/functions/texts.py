@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import checkpointed, col
 
 SHORT = 64  # characters of a text that may move as they are
+FEW = 8  # columns that are worth a scan each
 _MARK = "sha-256 "  # makes a digest longer than any text that stands for itself
 
 _COUNTS = "column string, value string, count long"
@@ -42,11 +43,18 @@ def top_texts(df: DataFrame, columns: Sequence[str], top: int, counts: DataFrame
     """The most frequent texts of each column, the smaller one first on a tie: ``(column, value, count)``."""
     if not columns:
         return df.sparkSession.createDataFrame([], _COUNTS)
-    counts = (text_counts(df, columns) if counts is None else counts).where("key IS NOT NULL")
-    order = Window.partitionBy("column").orderBy(F.desc("count"), "part", "key")
-    # The rank filter is applied before the shuffle too, so one task sees `top` rows per map task.
-    best = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top + 1)
-    rows = best.orderBy("column", "place").collect()  # top + 1 short rows a column
+    if counts is None and len(columns) <= FEW:
+        # Each column by itself: one task keeps `top` rows of each task's counts.
+        order = [F.desc("count"), "part", "key"]
+        best = [text_counts(df, [c]).where("key IS NOT NULL").orderBy(*order).limit(top + 1) for c in columns]
+        rows = reduce(DataFrame.unionByName, best).collect()
+        rows.sort(key=lambda r: (-r["count"], r["part"].encode(), r["key"].encode()))
+    else:
+        counts = (text_counts(df, columns) if counts is None else counts).where("key IS NOT NULL")
+        order = Window.partitionBy("column").orderBy(F.desc("count"), "part", "key")
+        # The rank filter is applied before the shuffle too, so one task sees `top` rows per map task.
+        best = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top + 1)
+        rows = best.orderBy("column", "place").collect()  # top + 1 short rows a column
     picked: list[tuple[str, str, int]] = []
     for c in columns:
         mine = [r for r in rows if r["column"] == c]

@@ -103,41 +103,59 @@ def _date_pattern(dates: DataFrame, by: Sequence[str], pieces: int = PIECES, row
     """
     key = F.struct(*[col(b).alias(b) for b in by]) if by else F.struct(F.lit(0).alias("all"))
     dates = dates.select(key.alias("_key"), "ts").withColumn("_x", wall_micros(F.col("ts")).cast("double"))
-    (splits,), rows = _sketch(_some(dates), ["_x"], pieces)
-    if rows / pieces > rows_per_task:
-        (splits,), _ = _sketch(_some(dates), ["_x"], min(MOST_PIECES, int(rows / rows_per_task)))
+    rows, splits = dates.count(), []
+    if rows > rows_per_task:
+        (splits,), _ = _sketch(_some(dates), ["_x"], max(pieces, min(MOST_PIECES, rows // rows_per_task)))
     days = dates.groupBy("_key", "ts", "_x").agg(F.count("*").alias("c"))
-    days = _segment(days, "_x", splits if rows > rows_per_task else [], "_range")
+    days = _segment(days, "_x", splits, "_range")
+    # What the gaps and flags are made of, worked out once a date.
+    now = F.col("ts")
+    flags = _date_flags(now)
+    days = days.select(
+        "_key", "_range", "ts", "c", wall_micros(now).alias("us"), (F.year(now) * 12 + F.month(now)).alias("month"),
+        F.weekday(now).alias("weekday"), *[c.alias(n) for n, c in flags.items()],
+    )
     inside = Window.partitionBy("_key", "_range").orderBy("ts")
-    days = days.withColumn("before", F.lag("ts").over(inside))
-    gap, month_gap, business_step = _gaps(F.col("ts"), F.col("before"))
+    gap, months = F.col("us") - F.lag("us").over(inside), F.col("month") - F.lag("month").over(inside)
+    days = days.select("*", gap.alias("gap"), months.alias("months"))
+
+    def business_step(gap: Column, weekday: Column) -> Column:
+        # 0 = Monday … 6 = Sunday
+        return ((weekday == 0) & (gap == 3 * DAY)) | ((weekday > 0) & (weekday <= 4) & (gap == DAY))
+
     ranges = days.groupBy("_key", "_range").agg(
         F.sum("c").alias("n"),
         F.max("c").alias("most"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        F.min(gap).alias("min_gap"),
-        F.max(gap).alias("max_gap"),
-        F.min(month_gap).alias("min_months"),
-        F.max(month_gap).alias("max_months"),
-        F.bool_and(business_step).alias("business_days"),
-        *[F.bool_and(c).alias(n) for n, c in _date_flags(F.col("ts")).items()],
+        F.min("us").alias("first_us"),
+        F.max("us").alias("last_us"),
+        F.min("month").alias("first_month"),
+        F.max("month").alias("last_month"),
+        F.min("gap").alias("min_gap"),
+        F.max("gap").alias("max_gap"),
+        F.min("months").alias("min_months"),
+        F.max("months").alias("max_months"),
+        F.bool_and(business_step(F.col("gap"), F.col("weekday"))).alias("business_days"),
+        *[F.bool_and(n).alias(n) for n in flags],
     )
     # One row per series and range, so this window stays small.
-    ranges = ranges.withColumn("before", F.lag("last_ts").over(Window.partitionBy("_key").orderBy("_range")))
-    seam, seam_months, seam_step = _gaps(F.col("first_ts"), F.col("before"))
+    in_order = Window.partitionBy("_key").orderBy("_range")
+    seams = {"seam": F.col("first_us") - F.lag("last_us").over(in_order), "seam_months": F.col("first_month") - F.lag("last_month").over(in_order)}
+    ranges = ranges.select("*", *[c.alias(n) for n, c in seams.items()])
+    seam_step = business_step(F.col("seam"), F.weekday("first_ts"))
     twice = F.col("most") > 1  # a second row of a date follows at no distance
     none = F.when(twice, F.lit(0))
     merged = ranges.groupBy("_key").agg(
         F.sum("n").alias("n"),
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
-        F.min(F.least("min_gap", seam, none)).alias("min_gap"),
-        F.max(F.greatest("max_gap", seam, none)).alias("max_gap"),
-        F.min(F.least("min_months", seam_months, none)).alias("min_months"),
-        F.max(F.greatest("max_months", seam_months, none)).alias("max_months"),
+        F.min(F.least("min_gap", "seam", none)).alias("min_gap"),
+        F.max(F.greatest("max_gap", "seam", none)).alias("max_gap"),
+        F.min(F.least("min_months", "seam_months", none)).alias("min_months"),
+        F.max(F.greatest("max_months", "seam_months", none)).alias("max_months"),
         F.bool_and(F.coalesce(F.col("business_days"), seam_step, ~twice) & F.coalesce(seam_step, F.lit(True)) & ~twice).alias("business_days"),
-        *[F.bool_and(n).alias(n) for n in ("month_starts", "business_starts", "month_ends", "business_ends")],
+        *[F.bool_and(n).alias(n) for n in flags],
     )
     return merged.select(*[F.col("_key")[b].alias(b) for b in by], *merged.columns[1:])
 
