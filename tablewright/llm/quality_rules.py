@@ -67,12 +67,18 @@ def repeat_words(words: list[bytes]) -> int:
 def compression(raw: bytes) -> tuple[bool, float, int, int]:
     """Verdict of the bands, ratio of the whole text, chunks outside their band, chunks.
 
-    The last chunk counts only if it is full, or if it is the only one.
+    A rest shorter than a chunk is judged with what is before it, as the text's last full chunk; a text
+    shorter than a chunk is one chunk, judged by the limits of its length.
     """
     ratio = _ratio(raw)
     low, high = next((low, high) for upto, low, high in WHOLE if upto is None or len(raw) <= upto)
     good = low <= ratio <= high
-    chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
+    if len(raw) < CHUNK_BYTES:
+        return good, ratio, int(not good), 1
+    starts = list(range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES))
+    if len(raw) % CHUNK_BYTES:
+        starts.append(len(raw) - CHUNK_BYTES)
+    chunks = [raw[i : i + CHUNK_BYTES] for i in starts]
     bad = sum(not CHUNK[0] <= _ratio(chunk) <= CHUNK[1] for chunk in chunks)
     return good and bad <= CHUNK_SHARE * len(chunks), ratio, bad, len(chunks)
 
