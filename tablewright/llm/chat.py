@@ -39,14 +39,26 @@ BEGIN = "<s>"
 #: Opening and closing of the roles with a form of their own (fixed values of the template).
 FORMS = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 _OTHER = ("[ROLE] ", "[/ROLE]")
-_CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]"
-_MARK = re.compile(rf"(\\*)({_CONTROL})")
+_CONTROL = re.compile(r"</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]")
 LEVELS = 3
 
 
+def _marks(text: str, begin: int = 0) -> Iterator[tuple[int, str, int]]:
+    """Begin, control string and number of backslashes before it of every control string; the time is linear in the text."""
+    after = begin
+    for mark in _CONTROL.finditer(text, begin):
+        slashes = mark.start() - after - len(text[after : mark.start()].rstrip("\\"))
+        yield mark.start(), mark[0], slashes
+        after = mark.end()
+
+
 def _escape(text: str, level: int) -> str:
     if level >= 1:
-        text = _MARK.sub(lambda m: "\\" * (2 * len(m[1]) + 1) + m[2], text)
+        parts, after = [], 0
+        for at, control, slashes in _marks(text):
+            parts += [text[after:at], "\\" * (slashes + 1), control]
+            after = at + len(control)
+        text = "".join(parts) + text[after:]
     if level >= 2:
         text += "\\" * (len(text) - len(text.rstrip("\\")))
     return text
@@ -82,20 +94,19 @@ def read_turn(rendered: str, at: int = 0) -> tuple[str, str, int, int, int]:
     role, begin, closing = _opening(rendered, at)
     pad = " " if closing[0] == " " else ""
     text, after = [], begin
-    for mark in _MARK.finditer(rendered, begin):
-        slashes = len(mark[1])
+    for at, control, slashes in _marks(rendered, begin):
         if slashes % 2:
-            text += [rendered[after : mark.start()], "\\" * (slashes // 2), mark[2]]
-            after = mark.end()
+            text += [rendered[after : at - slashes], "\\" * (slashes // 2), control]
+            after = at + len(control)
             continue
-        end = mark.start(2) - len(pad)
-        if mark[2] != closing.lstrip() or end < begin or rendered[end : mark.start(2)] != pad:
+        end = at - len(pad)
+        if control != closing.lstrip() or end < begin or rendered[end:at] != pad:
             raise ValueError("Another mark inside a turn")
         if pad:
             text.append(rendered[after:end])  # the blank parts the text's backslashes from the mark
         else:
-            text += [rendered[after : mark.start()], "\\" * (slashes // 2)]
-        return role, "".join(text), begin, end, mark.end()
+            text += [rendered[after : at - slashes], "\\" * (slashes // 2)]
+        return role, "".join(text), begin, end, at + len(control)
     raise ValueError("A turn without end")
 
 
@@ -114,7 +125,7 @@ def safe_render(role: str, text: str) -> tuple[str, int, int, int]:
 TURNS = pa.schema(
     [
         ("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("rendered", pa.string()),
-        ("loss_begin", pa.int64()), ("loss_end", pa.int64()), ("level", pa.int32()),
+        ("loss_begin", pa.int64()), ("loss_end", pa.int64()), ("level", pa.int32()), ("text", pa.string()),
     ]
 )
 
@@ -127,12 +138,14 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     def run(batch: pa.RecordBatch) -> dict:
         roles = [r.as_py() or "" for r in batch.column("role")]
-        found = [safe_render(r, t.as_py() or "") for r, t in zip(roles, batch.column("text"))]
+        texts = [t.as_py() or "" for t in batch.column("text")]
+        found = [safe_render(r, t) for r, t in zip(roles, texts)]
         mask = [r == "assistant" for r in roles]
         return {
             "conv_id": batch.column("conv_id"), "turn": batch.column("turn"), "role": roles, "rendered": [f[0] for f in found],
             "loss_begin": [f[1] if m else None for f, m in zip(found, mask)],
             "loss_end": [f[2] if m else None for f, m in zip(found, mask)], "level": [f[3] for f in found],
+            "text": texts,
         }
 
     rows = pick(df, conv_id=(conv_col, "bigint"), turn=(turn_col, "bigint"), role=(role_col, "string"), text=(text_col, "string"))
@@ -173,7 +186,7 @@ class _Reader:
 
 def read_back(turns: DataFrame) -> DataFrame:
     """Every conversation as it reads in the rendered turns; see :data:`READ`."""
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "rendered")
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = None
