@@ -11,7 +11,7 @@ from tablewright.llm.common import held_out, pick
 def labelled(
     labels: DataFrame, label_col: str, bound: int, modulus: int, rest: int, id_col: str = "doc_id"
 ) -> DataFrame:
-    """At most ``bound`` rows ``(doc_id, label double)``, chosen by a hash of the id, none of them held out.
+    """At most ``bound`` rows ``(doc_id, label double)``, chosen by a hash of the id and the same ones in every run, none of them held out.
 
     Rows without id or label are left out; several labels of one id give their mean.
     """
@@ -20,7 +20,7 @@ def labelled(
     n = rows.count()
     if n > bound:
         place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40))
-        rows = rows.where(place < int((1 << 40) * (bound / n))).limit(bound)
+        rows = rows.where(place < int((1 << 40) * (bound / n))).orderBy(place, "doc_id").limit(bound)
     return rows
 
 

@@ -3,8 +3,7 @@
 A text is the set of hashes of its n-grams of four and five bytes, lower-cased.  From a
 bounded sample of labelled texts (:data:`SAMPLE`), counted where the texts are, comes the
 log ratio of each n-gram between toxic and other texts.  A logistic regression over all
-n-grams that :data:`LEAST_ROWS` sampled texts hold, each scaled by its ratio, gives the
-weights; its gradients are summed over the sample where it lies, so no row of it goes to
+n-grams that a sampled text holds, each scaled by its ratio, gives the weights; its gradients are summed over the sample where it lies, so no row of it goes to
 the driver.  All texts are then scored whole, by one look-up per n-gram.
 
 Results of odd input: null and empty texts have no n-grams and get the score of the
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import bounded_batches, checkpointed, col, held_out, map_batches, pick, tree_sum
 from tablewright.llm.samples import labelled, with_text
 
-#: Labelled rows the weights are fitted to, at most; rows of them that hold an n-gram with a weight; hash buckets.
-SAMPLE, LEAST_ROWS, BUCKETS = 40_000, 5, 1 << 20
+#: Labelled rows the weights are fitted to, at most; hash buckets.
+SAMPLE, BUCKETS = 40_000, 1 << 20
 SIZES = (4, 5)
 MODULUS, REST, THRESHOLD = 3, 1, 0.7
 #: Passes over the sample, at most; share of the first gradient at which they end; steps remembered; sampled rows to a task.
@@ -176,7 +175,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int =
     if texts.min() == 0:
         mean = min(max(texts[1] / max(1, texts.sum()), 1e-9), 1 - 1e-9)
         return Linear(np.zeros(0, np.int32), np.zeros(0), float(np.log(mean / (1 - mean))))
-    kept = np.flatnonzero(counts.sum(axis=0) >= LEAST_ROWS).astype(np.int32)
+    kept = np.flatnonzero(counts.sum(axis=0) > 0).astype(np.int32)
     other, toxic = counts[:, kept] + 1.0
     ratio = np.log(toxic / (texts[1] + 2)) - np.log(other / (texts[0] + 2))
     shared = df.sparkSession.sparkContext.broadcast(kept)
