@@ -38,7 +38,9 @@ from tablewright.llm.contamination import words
 VOCABULARY, SINGLE, ENDINGS = 50_000, 191, 64
 CLASSES = SINGLE + ENDINGS
 PAD = CLASSES  # what lies outside the text
-HIDDEN, ROUNDS, BATCH, STEP = 32, 3, 512, 0.01
+HIDDEN, ROUNDS, STEP = 32, 3, 0.01
+#: Words to a step at first and at most; after so many steps of a task they double.
+BATCH, LARGEST, GROW = 512, 4096, 128
 _FLUSH, _CHUNK = 300_000, 2048
 _AROUND = (0, 1, 3, 4)  # of a window of five
 _WINDOW = np.arange(-2, 3)
@@ -72,6 +74,30 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The ``size`` words of the greatest counts, or all if fewer; among words of one count a hash decides.
+
+    Steps of the count's logarithm, then counts, then slices of the hash are taken whole as long as they
+    fit, so that only the words of one slice are sorted.  The driver sees numbers of words alone.
+    """
+    place = F.xxhash64("word")
+    rest, room, taken = counts, size, counts.limit(0)
+    for key in (F.floor(F.log2("n") * 64), F.col("n"), F.shiftright(place, 48).cast("long")):
+        kinds = {r.key: r.kinds for r in rest.groupBy(key.alias("key")).agg(F.count("*").alias("kinds")).collect()}
+        least = over = None
+        for at in sorted(kinds, reverse=True):
+            if kinds[at] > room:
+                over = at
+                break
+            least, room = at, room - kinds[at]
+        if least is not None:
+            taken = taken.union(rest.where(key >= least))
+        if over is None:
+            return taken
+        rest = rest.where(key == over)
+    return taken.union(rest.orderBy(place.desc(), "word").limit(room))
+
+
 @dataclass
 class Vocabulary:
     """Known words, and by number (known words, then one unknown word per ending) class and log share of the class."""
@@ -83,17 +109,7 @@ class Vocabulary:
 
     @staticmethod
     def of(counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-        # Words by steps of their count's logarithm (a few thousand steps at most), so only frequent words come to the driver.
-        step = F.floor(F.log2("n") * 64).cast("int")
-        steps = sorted(((r.step, r.kinds) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("kinds")).collect()), reverse=True)
-        least, room = None, size
-        for at, kinds in steps:
-            room -= kinds
-            if room < 0:
-                break
-            least = at
-        top = [] if least is None else counts.where(step >= least).collect()
-        top = sorted(top, key=lambda r: (-r.n, bytes(r.word)))
+        top = sorted(most_frequent(counts, size).collect(), key=lambda r: (-r.n, bytes(r.word)))
         per_class = {r.ending: (r.n, r.kinds) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
         known = [bytes(r.word) for r in top]
         n = np.array([r.n for r in top], float)
@@ -209,13 +225,13 @@ def train(samples: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> Networ
             own = Network(*[p.copy() for p in shared.value.parts()])
             steps, random, seen = _Adam(own), np.random.Generator(np.random.Philox(key=turn)), 0
             for batch in batches:
-                for value in batch.column("classes"):
-                    padded = np.frombuffer(value.as_buffer(), np.uint8)
-                    middles = random.permutation(middles_of(padded, turn, rounds))
-                    for at in range(0, len(middles), BATCH):
-                        part = middles[at : at + BATCH]
-                        steps.step(own, _gradients(own, padded[part[:, None] + _WINDOW]))
-                        seen += len(part)
+                padded = _padded(batch)
+                middles, at = random.permutation(middles_of(padded, turn, rounds)), 0
+                while at < len(middles):
+                    part = middles[at : at + min(LARGEST, BATCH << (steps.n // GROW))]
+                    steps.step(own, _gradients(own, padded[part[:, None] + _WINDOW]))
+                    at += len(part)
+                seen += at
             return seen, [p.astype(np.float64) * seen for p in own.parts()]
 
         n, sums = tree_sum(samples, local, lambda a, b: (a[0] + b[0], [x + y for x, y in zip(a[1], b[1])]), (0, []))
@@ -241,17 +257,27 @@ def middles_of(padded: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return np.flatnonzero(padded != PAD)[turn::rounds]
 
 
-def training_classes(rows: DataFrame, vocabulary) -> DataFrame:
-    """Classes of every word of every text, one byte each, with pads between texts."""
-    schema = pa.schema([("classes", pa.binary())])
+CODED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("share", pa.float64()), ("classes", pa.binary())])
+
+
+def coded_texts(rows: DataFrame, vocabulary) -> DataFrame:
+    """Of every text its words, the sum of their log shares, and their classes, one byte each between pads."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        known, numbers, out = vocabulary.value, _numbers_of(vocabulary), []
+        known, numbers = vocabulary.value, _numbers_of(vocabulary)
+        lengths, shares, classes = [], [], []
         for at in range(0, batch.num_rows, 64):
-            out.append(windows(_coded(batch.slice(at, 64), numbers), known.classes).tobytes())
-        return {"classes": [b"".join(out)]}
+            for n in _coded(batch.slice(at, 64), numbers):
+                lengths.append(len(n))
+                shares.append(float(known.shares[n].sum()))
+                classes.append(windows([n], known.classes).tobytes())
+        return {"doc_id": batch.column("doc_id"), "n_words": lengths, "share": shares, "classes": classes}
+
+    return map_batches(rows, CODED, run)
+
 
-    return map_batches(rows.select("text"), schema, run)
+def _padded(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_buffer() for v in batch.column("classes")), np.uint8)
 
 
 @lru_cache(maxsize=1)
@@ -267,23 +293,20 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     rows = pick(df, doc_id=(id_col, "bigint"), text=(text_col, "string"))
     context = df.sparkSession.sparkContext
     vocabulary = context.broadcast(Vocabulary.of(checkpointed(word_counts(rows)), size))
-    samples = checkpointed(training_classes(rows, vocabulary))
-    network = context.broadcast(train(samples, vocabulary.value.prior))
+    coded = checkpointed(coded_texts(rows, vocabulary))
+    network = context.broadcast(train(coded.select("classes"), vocabulary.value.prior))
 
     def run(batch: pa.RecordBatch) -> dict:
-        known, net, numbers = vocabulary.value, network.value, _numbers_of(vocabulary)
-        lengths, sums = [], []
-        for at in range(0, batch.num_rows, 64):
-            coded = _coded(batch.slice(at, 64), numbers)
-            for n in coded:
-                padded = windows([n], known.classes)
-                total = float(known.shares[n].sum())
-                for i in range(0, len(n), _CHUNK):
-                    to = min(len(n), i + _CHUNK)
-                    total += float(net.log_chances([padded[i + k : to + k] for k in _AROUND], padded[i + 2 : to + 2]).sum(dtype=float))
-                lengths.append(len(n))
-                sums.append(total)
-        per_word = [s / n if n else 0.0 for s, n in zip(sums, lengths)]
+        net, padded = network.value, _padded(batch)
+        middles = np.flatnonzero(padded != PAD)
+        chances = np.zeros(len(middles) + 1)
+        for i in range(0, len(middles), _CHUNK):
+            here = middles[i : i + _CHUNK]
+            chances[i + 1 : i + 1 + len(here)] = net.log_chances([padded[here + k - 2] for k in _AROUND], padded[here])
+        lengths, total = batch.column("n_words").to_numpy(), np.cumsum(chances)
+        ends = np.cumsum(lengths)
+        sums = total[ends] - total[ends - lengths] + batch.column("share").to_numpy()
+        per_word = np.where(lengths > 0, sums / np.maximum(lengths, 1), 0.0)
         return {"doc_id": batch.column("doc_id"), "n_words": lengths, "log_chance": sums, "per_word": per_word}
 
-    return map_batches(rows, SCHEMA, run)
+    return map_batches(coded, SCHEMA, run)
