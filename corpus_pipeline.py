@@ -4,9 +4,11 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is writt
 Parquet and read again as the next stage's ``docs``.  All but the last return the
 columns of ``docs``, whatever they are besides ``doc_id`` and ``text``.
 
-Results of odd input: null and empty texts fail the quality rules; repeated rows of one
-id count as one document, of which near-copy removal keeps one row; rows without id stay
-unless a rule rejects their text; empty tables pass through every stage.
+Results of odd input: null and empty texts fail the quality rules; rows that repeat an id
+and its text count as one document, of which near-copy removal keeps one row; an id with
+several texts is judged text by text, and keeps one row for each group of near copies that
+it names; rows without id stay unless the rules, the classifier or the benchmark reject
+their text; empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -36,14 +38,24 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
-    groups = near_copies.near_copies(docs)
-    return _rows_of(docs, groups.where("kept"))
+    kept = near_copies.groups(docs).where("kept AND doc_id IS NOT NULL")
+    one = kept.groupBy("doc_id", "group").agg(F.min("text_key").alias("text_key"))
+    name = _free_name(docs)
+    keyed = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
+    own = F.col("doc_id").cast("bigint")
+    there = one.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
+    same = (own == F.col("_kept_id")) & (F.col(name) == F.col("_kept_key"))
+    with_id = keyed.where(own.isNotNull()).join(there, same, "left_semi").dropDuplicates(["doc_id", name])
+    return with_id.drop(name).unionByName(docs.where(own.isNull()))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
-    found = contamination.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return _rows_of(docs, found.where("NOT contaminated"))
+    name = _free_name(docs)
+    keyed = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
+    found = contamination.contamination(keyed, read(spark, sf_dir, "benchmark"), id_col=name)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad_key"))
+    return keyed.join(bad, F.col(name) == F.col("_bad_key"), "left_anti").drop(name)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +63,12 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(docs, public_file("piece_bpe_32k.model"))
 
 
-def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows whose id is kept, one per id; rows without id stay."""
-    ids = kept.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id"))
-    own = F.col("doc_id").cast("bigint")
-    with_id = docs.where(own.isNotNull()).join(ids, own == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where(own.isNull()))
+def _free_name(docs: DataFrame) -> str:
+    """Name of a key column that no column of the documents has."""
+    name = "_text_key"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return name
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -26,6 +26,7 @@ and kept; an empty table gives an empty table; columns other than id and text ar
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -37,8 +38,10 @@ from tablewright.llm.common import checkpointed, map_batches, pick, tree_sum
 
 PERCENT, WORDS = 80, 2
 REGISTERS, MANTISSA, BANDS, BAND_ROWS = 256, 10, 56, 7
-#: Standard errors that the estimate leaves to a pair (4.5: three in a million pairs at the limit), and rounds of leaders.
-ERRORS, ROUNDS = 4.5, 2
+#: Standard errors that the estimate and the register bits leave to a pair, and rounds of leaders.
+ERRORS, ROUNDS = 6.0, 2
+#: Rows of ids and keys to a task, and rows of a bucket that one task holds against the outsiders.
+TASK_ROWS, BUCKET_ROWS = 1 << 18, 1 << 13
 #: Least and greatest size of the bit filter that keeps texts without candidates out of the
 #: shuffle.  It holds 16 bits per candidate up to 32 MB; beyond that it only saves less work.
 FILTER_BITS = (1 << 20, 1 << 28)
@@ -158,7 +161,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return ((a == b).mean(axis=1) - chance) / (1.0 - chance)
 
 
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("registers", pa.binary())])
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("registers", pa.binary())])
 
 
 def parities(found: np.ndarray) -> np.ndarray:
@@ -186,12 +189,12 @@ def sketches(rows: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         found = _sets(batch.column("text"), words)
         return {
-            "doc_id": batch.column("doc_id"), "n_shingles": [len(f) for f in found],
+            "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n_shingles": [len(f) for f in found],
             "class": [_class(f) if len(f) else None for f in found],
             "registers": [sketch(f).tobytes() if len(f) else None for f in found],
         }
 
-    return map_batches(rows, SKETCHES, run)
+    return map_batches(rows.withColumn("text_key", F.xxhash64("text")), SKETCHES, run)
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -264,24 +267,38 @@ def _filter_place(classes: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray
     return mix(classes.astype(np.int64).view(_U) ^ mix(ids.astype(np.int64).view(_U))) & _U(size - 1)
 
 
-def _leaders(members: DataFrame, rank: Column) -> DataFrame:
-    """Of every bucket with several components: the largest one there, and the first of its members by ``rank``."""
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows in no more partitions than their number asks for, as each partition costs files in every shuffle."""
+    return df.coalesce(max(1, math.ceil(rows / TASK_ROWS)))
+
+
+def _open_buckets(members: DataFrame, rank: Column, rows: int) -> DataFrame:
+    """The members of buckets with several components, and of each such bucket its rows, its largest
+    component, and the first of that one's members by ``rank``.
+
+    Components only grow together, so buckets of one component need no later look.
+    """
     first = F.min(F.struct(rank.alias("rank"), F.col("class").alias("a"))).alias("first")
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("size"), first)
+    sizes = _few(members.groupBy("key", "comp").agg(F.count("*").alias("size"), first), rows)
     lead = F.max(F.struct("size", "first.rank", "first.a", F.col("comp").alias("a_comp"))).alias("lead")
-    return sizes.groupBy("key").agg(lead, F.count("*").alias("n_comps")).where("n_comps > 1").select("key", "lead.a", "lead.a_comp")
+    leads = sizes.groupBy("key").agg(lead, F.count("*").alias("n_comps"), F.sum("size").alias("total")).where("n_comps > 1")
+    return _few(members.join(leads.select("key", "lead.a", "lead.a_comp", "total"), "key"), rows)
 
 
-def _leader_pairs(members: DataFrame, step: int) -> DataFrame:
-    """Pairs of a bucket's leader and its members of other components.
+def _rank(step: int) -> Column:
+    """Order of the members that may lead a bucket.
 
     At first all buckets of a group share few leaders, which settles most of the group by few
     pairs.  Later each bucket has its own, so whoever is left meets as many leaders as it has
     buckets, all of the component that most of the bucket belongs to.
     """
-    rank = F.xxhash64("class", F.lit(step)) if step == 0 else F.xxhash64("class", "key", F.lit(step))
-    pairs = members.join(_leaders(members, rank), "key").where("comp <> a_comp")
-    return pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
+    return F.xxhash64("class", F.lit(step)) if step == 0 else F.xxhash64("class", "key", F.lit(step))
+
+
+def _leader_pairs(held: DataFrame, rows: int) -> DataFrame:
+    """Pairs of a bucket's leader and its members of other components."""
+    pairs = held.where("comp <> a_comp").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b"))
+    return _few(pairs.distinct(), rows)
 
 
 def _differ(names: list[str]) -> Column:
@@ -289,33 +306,32 @@ def _differ(names: list[str]) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in names])
 
 
-def _rest_pairs(members: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(held: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in the buckets that still hold several, if sizes, parities and register bits allow a link.
 
     One of the two is always outside the bucket's largest component, so only those are held
-    against the bucket.  Parities that differ are a lower bound of the shingles that do, so
-    they rule out no link, and few but links pass them in sets that are not much larger than
-    the parities.  For larger ones, bits of two registers differ with half the chance that
-    the registers do; 4.5 standard errors are left, of as many independent bits as the
-    smaller set can have.
+    against the bucket, of which each task takes some rows.  Parities that differ are a lower
+    bound of the shingles that do, so they rule out no link, and few but links pass them in
+    sets that are not much larger than the parities.  For larger ones, bits of two registers
+    differ with half the chance that the registers do; :data:`ERRORS` standard errors are
+    left, of as many independent bits as the smaller set can have.
     """
     bits, odd = ([c for c in df.columns if c.startswith(p)] for df, p in ((active, "bits_"), (sets, "odd_")))
-    there = members.join(_leaders(members, F.col("class")).select("key", "a_comp"), "key").withColumn("outside", F.expr("comp <> a_comp"))
-    keys = there.groupBy("class").agg(F.collect_set("key").alias("keys"))  # at most one per band
-    known = keys.join(active.select("class", "n", *bits), "class").join(sets.select("class", *odd), "class")
-    right = checkpointed(there.join(known, "class"))
-    left = right.where("outside").select(*[F.col(c).alias(f"{c}_b") for c in ("key", "class", "comp", "n", "keys", *bits, *odd)])
+    parts = F.ceil(F.col("total") / BUCKET_ROWS).cast("int")
+    there = held.select("key", "class", "comp", F.expr("comp <> a_comp").alias("outside"), parts.alias("parts"))
+    known = there.join(active.select("class", "n", *bits), "class").join(sets.select("class", *odd), "class")
+    right = known.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
+    left = known.where("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.select(*[F.col(c).alias(f"{c}_b") for c in ("key", "part", "class", "comp", "n", *bits, *odd)])
     apart = (1 - percent / 100) / 2
     room = F.sqrt(F.lit(apart * (1 - apart)) / F.least(F.col("n"), F.col("n_b"), F.lit(REGISTERS)))
     alike = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (
         (100 + percent) * _differ(odd) <= (100 - percent) * (F.col("n") + F.col("n_b"))
     )
     other = F.expr("NOT outside OR comp < comp_b") & (F.col("comp") != F.col("comp_b"))
-    # Of all buckets that hold both, only the one with the smallest key gives the pair.
-    once = F.col("key") == F.array_min(F.array_intersect("keys", "keys_b"))
-    fits = alike & (_differ(bits) <= REGISTERS * (apart + 4.5 * room)) & once
-    pairs = left.join(right, (F.col("key") == F.col("key_b")) & other & fits)
-    return pairs.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b"))
+    fits = alike & (_differ(bits) <= REGISTERS * (apart + ERRORS * room))
+    pairs = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("part") == F.col("part_b")) & other & fits)
+    return pairs.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
@@ -360,22 +376,32 @@ def components(links: DataFrame) -> DataFrame:
     the rounds grow with the logarithm of a component's width.
     """
     links = checkpointed(links)
-    ways = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a"))
-    labels = checkpointed(ways.groupBy("node").agg(F.min("to").alias("low")).select("node", F.least("node", "low").alias("comp")))
+    n = 2 * links.count()
+    ways = _few(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a")), n)
+    labels = ways.groupBy("node").agg(F.min("to").alias("low")).select("node", F.least("node", "low").alias("comp"))
+    labels = checkpointed(_few(labels, n))
     while True:
-        heard = ways.join(labels, "node").groupBy(F.col("to").alias("node")).agg(F.min("comp").alias("heard"))
+        heard = _few(ways.join(labels, "node"), n).groupBy(F.col("to").alias("node")).agg(F.min("comp").alias("heard"))
         nearer = labels.join(heard, "node", "left").select("node", F.col("comp").alias("before"), F.least("comp", "heard").alias("comp"))
-        nearer = checkpointed(nearer)
+        nearer = checkpointed(_few(nearer, n))
         up = nearer.select(F.col("node").alias("comp"), F.col("comp").alias("upper"))
-        moved = checkpointed(nearer.join(up, "comp", "left").select("node", "before", F.least("comp", "upper").alias("comp")))
+        moved = nearer.join(up, "comp", "left").select("node", "before", F.least("comp", "upper").alias("comp"))
+        moved = checkpointed(_few(moved, n))
         labels = moved.select("node", "comp")
         if moved.where("before <> comp").isEmpty():
             return labels
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of every row.
+    """``(doc_id, n_shingles, component_id, kept)`` of every row; see :func:`groups`."""
+    return groups(df, id_col, text_col, percent, words).drop("text_key", "group")
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, group, component_id, kept)`` of every row.
 
+    ``text_key`` is xxhash64 of the text and ``group`` a label of the component (null without
+    shingles); both tell rows of one id apart.
     Rows are linked if their sets share at least ``percent`` in a hundred of their union;
     the component is named by its smallest id, whose row is kept.
     """
@@ -389,27 +415,34 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     members = checkpointed(_shared_buckets(classes))
     active = checkpointed(_active(members, classes))
     sets = checkpointed(_sets_of(rows, active, words))
-    now = members.withColumn("comp", F.col("class"))
+    now, n = members.withColumn("comp", F.col("class")), members.count()
     tested = links = comps = None
     for step in range(ROUNDS + 1):
-        pairs = _leader_pairs(now, step) if step < ROUNDS else _rest_pairs(now, active, sets, percent)
+        held = checkpointed(_open_buckets(_few(now, n), _rank(step), n))
+        n = held.count()
+        pairs = _leader_pairs(held, n) if step < ROUNDS else _rest_pairs(held, active, sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         likely = checkpointed(_likely(pairs, active, percent))
+        now = held.select("key", "class", "comp")
         if likely.isEmpty():
             continue
         found = checkpointed(_links(likely, sets, percent))
         tested = likely if tested is None else tested.union(likely)
         links = found if links is None else links.union(found)
         comps = components(links)
-        now = members.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        now = held.select("key", "class").join(comps.withColumnRenamed("node", "class"), "class", "left")
+        now = now.withColumn("comp", F.coalesce("comp", "class"))
     if comps is None:
-        named = classes.select("class", F.col("rep").alias("component_id"))
+        named = classes.select("class", F.col("class").alias("group"), F.col("rep").alias("component_id"))
     else:
         linked = classes.select("class", "rep").join(comps.withColumnRenamed("node", "class"), "class")
         names = linked.groupBy("comp").agg(F.min("rep").alias("name"))
-        of = linked.join(names, "comp").select("class", "name")
-        named = classes.join(of, "class", "left").select("class", F.coalesce("name", "rep").alias("component_id"))
-    out = drawn.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+        of = linked.join(names, "comp").select("class", "comp", "name")
+        named = classes.join(of, "class", "left").select(
+            "class", F.coalesce("comp", "class").alias("group"), F.coalesce("name", "rep").alias("component_id")
+        )
+    out = drawn.select("doc_id", "text_key", "n_shingles", "class").join(named, "class", "left")
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == own, F.lit(True))
+    return out.select("doc_id", "text_key", "n_shingles", "group", own.alias("component_id"), kept.alias("kept"))
