@@ -167,10 +167,9 @@ def test_toxicity_keeps_rare_and_weak_evidence(spark):
     assert set(toxicity.grams("zorvux").tolist()) <= set(model.buckets.tolist())
     table, rest = model.table(), " ".join(plain[:5])
     assert model.score(f"zorvux {rest}", table) > model.score(f"wyquop {rest}", table) + 0.3
-    # The sample's counts by hand: every n-gram that enough rows hold has a weight, however even its counts.
+    # The sample's counts by hand: every n-gram that a row holds has a weight, however rare or even its counts.
     sampled = [t for i, (t, _) in enumerate(rows) if zlib.crc32(str(i).encode()) % toxicity.MODULUS != toxicity.REST]
-    held = Counter(g for t in sampled for g in np.unique(toxicity.grams(t)).tolist())
-    assert set(model.buckets.tolist()) == {g for g, n in held.items() if n >= 5}
+    assert set(model.buckets.tolist()) == {g for t in sampled for g in toxicity.grams(t).tolist()}
 
 
 def test_language(spark, odd):
@@ -374,3 +373,100 @@ def test_large_group_around_the_limit(spark):
     assert 1 < len(set(comp)) < 150
     found = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(comp))
+
+
+def test_quality_rules_judge_the_last_part(spark):
+    """A rest shorter than a chunk is judged; a short text is one chunk with the limits of its length."""
+    draw = np.random.default_rng(3)
+    kinds = [draw.choice(list(b"etaoinshrdlu"), int(draw.integers(2, 9))).astype(np.uint8).tobytes() for _ in range(150)]
+    prose = b" ".join(kinds[i] for i in draw.integers(0, 150, 3000))[: 2 * 4096]
+    assert quality_rules.compression(prose)[2:] == (0, 2)
+    assert quality_rules.compression(prose + b"a" * 4000)[2:] == (1, 3)
+    assert quality_rules.compression(prose[:3000])[2:] == (0, 1) and quality_rules.compression(b"a" * 3000)[2:] == (1, 1)
+
+
+def test_chat_long_texts_and_ties(spark):
+    """Escaping takes time in proportion to the text, and turns of one number stand in the order of role and text."""
+    text = "\\" * 2_000_000 + "[INST]" + "\\" * 1001
+    rendered, begin, end, level = chat.safe_render("assistant", text)
+    assert chat.read_turn(rendered)[1] == text and level == 2
+    rows = [(1, 0, "user", "A"), (1, 0, "user", "<s>"), (1, 0, "user", "[INST]"), (1, 0, "user", "Z")]
+    found = chat.read_back(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    want = "".join(f"{r[2]}\n{r[3]}\n" for r in sorted(rows))
+    assert found.turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 30, 63, 64, 100, 500])
+def test_most_frequent_words(spark, size):
+    """Exactly as many words as asked for, none of them less frequent than one left out, and the same ones whatever the partitions."""
+    rows = [(f"w{i}".encode(), 1000 if i < 40 else 997 if i < 60 else 5 if i < 64 else 1) for i in range(200)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    found = [(bytes(r.word), r.n) for r in lm_scoring.most_frequent(counts, size).collect()]
+    assert len(set(found)) == len(found) == min(size, 200)
+    assert sorted((n for _, n in found), reverse=True) == sorted((n for _, n in rows), reverse=True)[:size]
+    again = lm_scoring.most_frequent(counts.repartition(5), size).collect()
+    assert sorted(found) == sorted((bytes(r.word), r.n) for r in again)
+
+
+def test_bounded_sample_is_the_same_in_every_run(spark):
+    from tablewright.llm.samples import labelled
+
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    draws = [sorted(r.doc_id for r in labelled(df, "toxic", 100, 3, 1).collect()) for df in (labels, labels.repartition(7))]
+    assert draws[0] == draws[1] and 50 < len(draws[0]) <= 100
+
+
+def test_pipeline_tells_rows_of_one_id_apart(spark, tmp_path):
+    """Of rows that share an id each text is judged for itself, and no clean text is lost."""
+    import corpus_pipeline
+
+    item = " ".join(f"q{i}" for i in range(20))
+    texts = {n: " ".join(f"{n}{i}" for i in range(40)) for n in "abcd"}
+    rows = [(1, texts["a"], 7), (1, texts["b"], 8), (1, texts["b"], 8), (2, texts["a"] + " z", 9), (1, item, 10), (None, item, 11), (None, texts["c"], 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_key int")
+    benchmark = spark.createDataFrame([(5, item)], "item_id long, text string")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    one = corpus_pipeline.one_of_each(spark, docs, str(tmp_path))
+    assert one.columns == docs.columns
+    assert sorted(r._text_key for r in one.collect()) == [7, 8, 10, 11, 12]
+    clean = corpus_pipeline.uncontaminated(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(r._text_key for r in clean.collect()) == [7, 8, 8, 9, 12]
+
+
+def test_hot_buckets_are_cut_without_losing_links(spark, monkeypatch):
+    """Buckets taken by a few rows at a time give the groups that whole buckets give."""
+    draw = np.random.Generator(np.random.Philox(key=4))
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for at in draw.choice(120, int(draw.integers(4, 12)), replace=False):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(map(tuple, near_copies.near_copies(df).collect()))
+    monkeypatch.setattr(near_copies, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(near_copies, "ROUNDS", 0)
+    assert sorted(map(tuple, near_copies.near_copies(df).collect())) == whole
+
+
+def test_lm_scores_against_a_plain_loop(spark):
+    """Scores of ten texts, word by word, with the network and vocabulary that the operator trains."""
+    draw = random.Random(8)
+    names = [f"t{i}" for i in range(30)]
+    texts = [" ".join(draw.choice(names) for _ in range(draw.choice([0, 1, 2, 5, 90]))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    known = lm_scoring.Vocabulary.of(lm_scoring.word_counts(df))
+    shared = spark.sparkContext.broadcast(known)
+    net = lm_scoring.train(lm_scoring.coded_texts(df, shared).select("classes"), known.prior)
+    numbers = known.numbers()
+    found = {r.doc_id: r for r in lm_scoring.lm_scores(df).collect()}
+    for i, text in list(enumerate(texts))[:10]:
+        own = [numbers[w.encode()] for w in text.split()]
+        classes = [lm_scoring.PAD] * 2 + [int(known.classes[n]) for n in own] + [lm_scoring.PAD] * 2
+        want = 0.0
+        for at, n in enumerate(own):
+            hidden = np.tanh(sum(net.tables[j][classes[at + k]] for j, k in enumerate((0, 1, 3, 4))) + net.bias)
+            scores = hidden @ net.out + net.out_bias
+            want += scores[classes[at + 2]] - np.log(np.exp(scores).sum()) + known.shares[n]
+        assert found[i].n_words == len(own) and abs(found[i].log_chance - want) < 1e-3 * max(1, len(own))
